@@ -33,6 +33,9 @@ LEAST_DOCS, LEAST_LOG_ODDS = 4, 2.5
 STEM_LENGTHS = range(4, 9)
 #: Letters from which one typing error is forgiven.
 LEAST_FUZZY = 5
+#: A misspelled term counts for less; a term whose misspellings occur in more than this share of clean documents is
+#: only looked for as it is spelled.
+FUZZY_WEIGHT, MAX_FUZZY_SHARE = 0.7, 0.002
 WINDOW = 60
 THRESHOLD = 0.3
 
@@ -49,6 +52,7 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.root: dict = {}
+        self.strict: set[str] = set()  # terms that are only looked for as they are spelled
         for words, slot in ((terms, "term"), (stems, "stem")):
             for word, weight in words.items():
                 node = self.root
@@ -56,8 +60,8 @@ class Lexicon:
                     node = node.setdefault(c, {})
                 node[slot] = weight
 
-    def find(self, word: str) -> tuple[float, bool] | None:
-        """(weight, exact) of the best match of a word, or None."""
+    def find(self, word: str) -> tuple[float, bool, str] | None:
+        """(weight, exact, term) of the best match of a word, or None."""
         node, stem = self.root, None
         for c in word:
             node = node.get(c)
@@ -65,33 +69,33 @@ class Lexicon:
                 break
             stem = node.get("stem", stem)
         if node is not None and "term" in node:
-            return node["term"], True
+            return node["term"], True, word
         if stem is not None:
-            return stem, True
+            return stem, True, word
         if len(word) < LEAST_FUZZY:
             return None
-        weight = self._within_one(word)
-        return None if weight is None else (weight, False)
+        found = self._within_one(word)
+        return None if found is None else (found[0], False, found[1])
 
-    def _within_one(self, word: str) -> float | None:
-        """The largest weight of a term at Levenshtein distance 1: the word's automaton, as bit masks of the positions
+    def _within_one(self, word: str) -> tuple[float, str] | None:
+        """The weightiest term at Levenshtein distance 1: the word's automaton, as bit masks of the positions
         reached with no and with one error, walked along the trie."""
         masks: dict[str, int] = {}
         for k, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << k
         done, best = 1 << len(word), None
-        stack = [(self.root, 1, 0b11)]
+        stack = [(self.root, 1, 0b11, "")]
         while stack:
-            node, none, one = stack.pop()
-            if "term" in node and (none | one) & done and (best is None or node["term"] > best):
-                best = node["term"]
+            node, none, one, term = stack.pop()
+            if "term" in node and (none | one) & done and term not in self.strict and (best is None or (node["term"], term) > best):
+                best = node["term"], term
             for c, child in node.items():
                 if len(c) == 1:
                     mask = masks.get(c, 0)
                     exact = (none & mask) << 1
                     wrong = (one & mask) << 1 | none | none << 1 | exact << 1
                     if exact | wrong:
-                        stack.append((child, exact, wrong))
+                        stack.append((child, exact, wrong, term + c))
         return best
 
 
@@ -109,18 +113,18 @@ def is_quoted(text: str, start: int, end: int) -> bool:
 
 
 def features(text: str | None, known: _Remembered) -> list[float]:
-    """Sums of the weights of exact, misspelled and quoted matches, and matches for each hundred words."""
+    """Sums of the weights of matches and of quoted matches, and matches for each hundred words."""
     lowered = (text or "").lower()
     words = _WORD.findall(lowered)
     if not any(map(known.__getitem__, words)):
-        return [0.0, 0.0, 0.0, 0.0]
-    sums = [0.0, 0.0, 0.0]
+        return [0.0, 0.0, 0.0]
+    sums = [0.0, 0.0]
     n = 0
     for m in _WORD.finditer(lowered):
         if hit := known[m[0]]:
-            weight, exact = hit
+            weight, exact, _ = hit
             quoted = is_quoted(lowered, m.start(), m.end())
-            sums[2 if quoted else 0 if exact else 1] += weight
+            sums[quoted] += weight if exact else FUZZY_WEIGHT * weight
             n += not quoted
     return [*np.log1p(sums).tolist(), min(5.0, 100 * n / len(words))]
 
@@ -184,18 +188,27 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     if not n_toxic or n_toxic == n_all:
         share = n_toxic / n_all if n_all else 0.0
         sample.unpersist()
-        return Lexicon({}, {}), np.array([log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0, 0.0, 0.0])
+        return Lexicon({}, {}), np.array([log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0, 0.0])
     lexicon = learn_lexicon(sample, n_toxic, n_all - n_toxic)
 
+    def misspelled(batches):
+        known = _Remembered(lexicon.find)
+        for pdf in batches:
+            terms = [hit[2] for t in pdf["text"] for hit in {known[w] for w in _WORD.findall(t.lower())} if hit and not hit[1]]
+            yield pd.DataFrame({"term": pd.Series(terms, dtype=object)})
+
+    found = sample.where("toxic = 0").mapInPandas(misspelled, "term string").groupBy("term").count().collect()  # at most the lexicon
+    lexicon.strict = {r["term"] for r in found if r["count"] > max(1, MAX_FUZZY_SHARE * (n_all - n_toxic))}
+
     def measure(batches):
         known = _Remembered(lexicon.find)
         for pdf in batches:
             rows = [features(t, known) for t in pdf["text"]]
-            yield pd.DataFrame(rows, columns=list("abcd")).assign(toxic=pdf["toxic"].to_numpy())
+            yield pd.DataFrame(rows, columns=list("abc")).assign(toxic=pdf["toxic"].to_numpy())
 
-    pdf = sample.mapInPandas(measure, "a double, b double, c double, d double, toxic int").toPandas()  # bounded by the sample
+    pdf = sample.mapInPandas(measure, "a double, b double, c double, toxic int").toPandas()  # bounded by the sample
     sample.unpersist()
-    return lexicon, fit_logistic(pdf[list("abcd")].to_numpy(), pdf["toxic"].to_numpy(float))
+    return lexicon, fit_logistic(pdf[list("abc")].to_numpy(), pdf["toxic"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -208,7 +221,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         lexicon, beta = shared.value
         known = _Remembered(lexicon.find)
         for batch in batches:
-            x = np.array([features(t, known) for t in batch.column("text").to_pylist()]).reshape(-1, 4)
+            x = np.array([features(t, known) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
             score = 1 / (1 + np.exp(-(beta[0] + x @ beta[1:])))
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
