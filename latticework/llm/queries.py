@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, fingerprints, langid, mixing, packing, quality, toxicity, wrappers
+from . import attribution, fingerprints, jaccard, langid, mixing, packing, quality, substrings, toxicity, wrappers
 from .common import documents, held_out, materialize
 from .sql import ORACLES
 
@@ -58,6 +58,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substrings.dedup_substrings(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_near(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
