@@ -34,8 +34,8 @@ from .common import materialize
 from .components import connected
 from .shingles import WordHasher, _mixed, shingle_set
 
-SHINGLE = 3
-PERCENT = 90
+SHINGLE = 5
+PERCENT = 80
 #: Tokens of more documents than this are frequent; the class that is handed to every task is bounded by its largest tokens.
 FREQUENT, LARGEST_CLASS = 50, 1 << 20
 K = 2
@@ -194,8 +194,10 @@ def near_links(docs: DataFrame, base: DataFrame, length: int = SHINGLE, percent:
     """Links (a, b) between sets, enough of them to connect every two similar sets."""
     frequent = frequent_tokens(docs, length)
     index = materialize(entries(docs, frequent, length, percent), "index")
-    shared = index.groupBy("key").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high"), F.count("*").alias("_n")).where("_low < _high").select("key", "_n")
-    buckets = materialize(index.join(shared, "key").distinct(), "buckets")
+    again = index.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    entered = materialize(index.join(again.select("key"), "key").distinct(), "entered-again")
+    shared = entered.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")  # copies of one set do not count
+    buckets = materialize(entered.join(shared, "key"), "buckets")
 
     sids = buckets.select("sid").distinct()
     wanted = materialize(base.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size")), "sets")
@@ -246,3 +248,15 @@ def join_near(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) ->
     names = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     alone = labelled.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.where("root IS NOT NULL").join(names, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay when each group of near duplicates keeps the document that names it.
+
+    Rows without an id stay; of several rows with one id one stays."""
+    labels = join_near(docs.select("doc_id", "text"), length, percent)
+    names = materialize(labels.where("component_id IS NOT NULL").select("component_id").distinct(), "names")
+    kept = docs.join(names, docs["doc_id"] == names["component_id"], "left_semi")
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -64,7 +64,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_near(documents(spark, sf_dir).select("doc_id", "text"))
+    return jaccard.join_near(documents(spark, sf_dir).select("doc_id", "text"), length=3, percent=90)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
