@@ -52,8 +52,17 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """array<string> of the words; empty for null or blank text."""
-    cleaned = F.coalesce(text, F.lit(""))
-    return F.filter(F.split(cleaned, SPACE), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+
+
+def windows(hashes: Column, width: int) -> Column:
+    """Hashes of the windows of so many neighbours, from shifted copies of the array; not for shorter arrays."""
+    n = F.size(hashes) - (width - 1)
+    out = F.slice(hashes, 1, n)
+    for k in range(1, width):
+        out = F.zip_with(out, F.slice(hashes, k + 1, n), lambda x, y: F.xxhash64(x, y))
+    return out
 
 
 def parts_for(rows: int, per_part: int, least: int = 1, most: int = 1 << 16) -> int:

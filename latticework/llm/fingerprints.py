@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, ranked, words_of
+from .common import let, materialize, ranked, windows, words_of
 
 SHINGLE = 5
 BINS = 256
@@ -32,9 +32,8 @@ def shingle_hashes(text: Column) -> Column:
     """array<long> of non-negative 63-bit hashes of the shingles of a text."""
 
     def of(h: Column) -> Column:
-        several = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE))))
         few = F.array(F.aggregate(h, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)))
-        return F.when(F.size(h) >= SHINGLE, several).when(F.size(h) > 0, few).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(h) >= SHINGLE, windows(h, SHINGLE)).when(F.size(h) > 0, few).otherwise(F.array().cast("array<bigint>"))
 
     words = F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
     return F.transform(let(words, of), lambda x: x.bitwiseAND(F.lit((1 << 63) - 1)))
@@ -51,7 +50,7 @@ def bin_minima(hashes: Column) -> Column:
     def first(s: Column) -> Column:
         return F.filter(s, lambda x, i: (i == 0) | (of_bin(x) != of_bin(F.get(s, i - 1))))
 
-    minima = let(F.array_sort(F.concat(hashes, sentinels)), first)
+    minima = let(F.sort_array(F.concat(hashes, sentinels)), first)
     return F.transform(minima, lambda x: F.when(x.bitwiseAND(F.lit(low)) == low, F.lit(-1).cast("long")).otherwise(x.bitwiseAND(F.lit(low))))
 
 
