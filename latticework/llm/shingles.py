@@ -1,13 +1,26 @@
-"""Hashed words and windows of words as NumPy arrays, for operators that read whole texts in Arrow batches."""
+"""Hashed words and windows of words as NumPy arrays, straight from the bytes of Arrow columns.
+
+The words of many texts are hashed at once: a running sum of bytes times powers of an odd base gives the polynomial of
+any stretch of bytes as a difference, and the inverse power moves it to the origin. No word becomes a Python object.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
-from .tokens import _Remembered
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = np.uint64(0xD6E8FEB86659FD93)  # the base of windows
+#: Bytes that are hashed together; a longer text is hashed alone.
+CHUNK = 1 << 20
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)  # an odd constant: the base of the rolling hashes
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -18,14 +31,54 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words of texts given as UTF-8; bytes.split() without arguments splits at just the white
-    space that a word may not hold, and bytes.lower() changes A-Z alone."""
+    """64-bit hashes of words; a word is a run of bytes other than space, tab, line feed, vertical tab, form feed and
+    carriage return. lower maps A-Z alone."""
+
+    def __init__(self, lower: bool = False):
+        self.lower = lower
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def __init__(self):
-        self.known = _Remembered(xxhash.xxh64_intdigest)
+    def _reach(self, n: int) -> None:
+        if n > len(self.powers):
+            size = 1 << (n - 1).bit_length()
+            with np.errstate(over="ignore"):
+                self.powers, self.inverses = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, _INVERSE))
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        n = len(data)
+        if not n:
+            yield from [np.zeros(0, np.uint64)] * (len(offsets) - 1)
+            return
+        self._reach(n)
+        inside = ~_SPACE[data]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets[:-1]] = edge[-1] = True  # texts do not run into each other
+        before = np.concatenate(([False], inside[:-1])) & ~edge[:-1]
+        after = np.concatenate((inside[1:], [False])) & ~edge[1:]
+        starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        if self.lower:
+            data = _LOWER[data]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:n], dtype=np.uint64)))
+            hashes = _mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+        cuts = np.searchsorted(starts, offsets)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield hashes[a:b]
+
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The hashes of the words of each text of a binary column; none for null."""
+        if column.null_count:
+            column = column.fill_null(b"")
+        if not len(column):
+            return
+        wide = pa.types.is_large_binary(column.type)
+        offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+            yield from self._chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            a = b
 
 
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -44,9 +97,6 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
         return _mixed(total)
 
 
-def shingle_set(hasher: WordHasher, text: bytes | None, length: int) -> np.ndarray:
-    """Sorted distinct hashes of the windows of a lower-cased text; one of the whole sequence where it has fewer words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(window_hashes(hasher(words), min(length, len(words))))
+def shingle_set(words: np.ndarray, length: int) -> np.ndarray:
+    """Sorted distinct hashes of the windows; one of the whole sequence where there are fewer words."""
+    return np.unique(window_hashes(words, min(length, len(words)))) if len(words) else np.zeros(0, np.uint64)

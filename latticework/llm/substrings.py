@@ -23,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ from .shingles import WordHasher, window_hashes
 LENGTH = 13
 SHORTEST = 8
 #: Words that a task takes together, and entries that a bucket is planned for.
-BLOCK_WORDS, BUCKET_ENTRIES = 3_000_000, 1_500_000
+BLOCK_WORDS, BUCKET_ENTRIES = 1_500_000, 1_000_000
 LAST = (1 << 63) - 1
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -112,24 +113,24 @@ def _settled(hashes, docs, places, orders, last: bool):
     return by_hash, order > least if last else least < most, order == least
 
 
-_ENTRIES = "bucket int, hashes binary, orders binary, rows binary, counts binary, places binary"
+_ENTRIES = "bucket int, block long, hashes binary, orders binary, rows binary, counts binary, places binary"
 
 
 def _entries(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
-    """docs: row, ord, text (binary) and, but for the first level, places (array of packed places)."""
+    """docs: row, ord, text (binary) and, but for the first level, places (packed)."""
     given = "places" in docs.columns
     names = [x.split()[0] for x in _ENTRIES.split(", ")]
 
-    def packed(bucket, hashes, docs_, places, orders, rows):
+    def packed(bucket, block_id, hashes, docs_, places, orders, rows):
         """One row of output; documents are run-length coded."""
         by_doc = np.argsort(docs_.astype(np.uint16), kind="stable") if len(orders) < 1 << 16 else np.argsort(docs_, kind="stable")
         d = docs_[by_doc]
         starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
         counts = np.diff(np.append(starts, len(d))).astype(np.uint32)
         at = d[starts]
-        return (int(bucket), b"" if hashes is None else hashes[by_doc].tobytes(), orders[at].tobytes(), rows[at].tobytes(), counts.tobytes(), places[by_doc].astype(np.uint32).tobytes())
+        return (int(bucket), block_id, b"" if hashes is None else hashes[by_doc].tobytes(), orders[at].tobytes(), rows[at].tobytes(), counts.tobytes(), places[by_doc].astype(np.uint32).tobytes())
 
-    def block(held):
+    def block(held, block_id):
         hashes, docs_, places = (np.concatenate(x) for x in list(zip(*held["windows"], strict=True)))
         orders, rows = np.array(held["orders"], np.int64), np.array(held["rows"], np.int64)
         at, repeated, stands = _settled(hashes, docs_, places, orders[docs_], level.last)
@@ -138,26 +139,25 @@ def _entries(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
             i = at[which]
             if not len(i):
                 continue
-            bucket = ((hashes[i] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) if is_entry else rows[docs_[i]].view(np.uint64) % np.uint64(buckets)
+            bucket = ((hashes[i] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) if is_entry else np.full(len(i), block_id % buckets)
             order = np.argsort(bucket, kind="stable")
             i, bucket = i[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = i[a:b]
-                out.append(packed(bucket[a], hashes[part] if is_entry else None, docs_[part], places[part], orders, rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=names)
+                out.append(packed(bucket[a], block_id, hashes[part] if is_entry else None, docs_[part], places[part], orders, rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=names)
 
     def run(batches):
-        hasher, words_held = WordHasher(), 0
+        hasher, words_held, block_id = WordHasher(), 0, TaskContext.get().partitionId() << 32
         held: dict[str, list] = {"windows": [], "orders": [], "rows": []}
         for batch in batches:
             marks = batch.column("places").to_pylist() if given else [None] * batch.num_rows
-            for row, order, text, places in zip(batch.column("row").to_pylist(), batch.column("ord").to_pylist(), batch.column("text").to_pylist(), marks, strict=True):
-                words = (text or b"").split()
+            for row, order, words, places in zip(batch.column("row").to_pylist(), batch.column("ord").to_pylist(), hasher.texts(batch.column("text")), marks, strict=True):
                 if len(words) < level.least_words:
                     continue
-                at = np.frombuffer(b"".join(places), np.uint32) if places else None
-                hashes, looked_up = level.candidates(hasher(words), at)
+                at = np.frombuffer(places, np.uint32) if places else None
+                hashes, looked_up = level.candidates(words, at)
                 found = np.flatnonzero(looked_up)
                 if not len(found):
                     continue
@@ -166,40 +166,57 @@ def _entries(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                 held["rows"].append(row)
                 words_held += len(words)
                 if words_held >= BLOCK_WORDS:
-                    yield block(held)
-                    held, words_held = {"windows": [], "orders": [], "rows": []}, 0
+                    yield block(held, block_id)
+                    held, words_held, block_id = {"windows": [], "orders": [], "rows": []}, 0, block_id + 1
         if held["rows"]:
-            yield block(held)
+            yield block(held, block_id)
 
     return docs.mapInArrow(run, _ENTRIES)
 
 
 def _answers(entries: DataFrame, last: bool) -> DataFrame:
-    """row, places (packed): the windows that are repeated, from every bucket."""
+    """row, places (packed): the windows that are repeated. Every bucket answers each block in one piece, and the answers
+    to a block are dealt out to its documents."""
+
+    def runs(of: np.ndarray):
+        order = np.argsort(of, kind="stable")
+        sorted_ = of[order]
+        starts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(of) else np.zeros(0, np.int64)
+        return order, starts, np.append(starts[1:], len(of)).astype(np.int64)
 
     def settle(table: pa.Table) -> pa.Table:
-        hashes, orders, rows, places, known = [], [], [], [], []
-        for h, o, r, c, p in zip(*(table.column(x).to_pylist() for x in ("hashes", "orders", "rows", "counts", "places")), strict=True):
+        hashes, orders, rows, places, blocks, known = [], [], [], [], [], []
+        for block, h, o, r, c, p in zip(*(table.column(x).to_pylist() for x in ("block", "hashes", "orders", "rows", "counts", "places")), strict=True):
             counts = np.frombuffer(c, np.uint32)
+            row, place = np.repeat(np.frombuffer(r, np.int64), counts), np.frombuffer(p, np.uint32)
             if h:
                 hashes.append(np.frombuffer(h, np.uint64))
                 orders.append(np.repeat(np.frombuffer(o, np.int64), counts))
-                rows.append(np.repeat(np.frombuffer(r, np.int64), counts))
-                places.append(np.frombuffer(p, np.uint32))
+                rows.append(row)
+                places.append(place)
+                blocks.append(np.full(len(row), block, np.int64))
             else:
-                known.append((np.repeat(np.frombuffer(r, np.int64), counts), np.frombuffer(p, np.uint32)))
+                known.append((np.full(len(row), block, np.int64), row, place))
         if hashes:
-            h, o, r, p = map(np.concatenate, (hashes, orders, rows, places))
+            h, o, r, p, b = map(np.concatenate, (hashes, orders, rows, places, blocks))
             at, repeated, _ = _settled(h, r, p, o, last)
-            known.append((r[at[repeated]], p[at[repeated]]))
-        r, p = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-        order = np.argsort(r, kind="stable")
+            at = at[repeated]
+            known.append((b[at], r[at], p[at]))
+        b, r, p = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        order, starts, ends = runs(b)
+        b, r, p = b[order], r[order], p[order]
+        cut = [slice(x, y) for x, y in zip(starts, ends, strict=True)]
+        return pa.table({"block": b[starts], "rows": pa.array([r[c].tobytes() for c in cut], pa.binary()), "places": pa.array([p[c].tobytes() for c in cut], pa.binary())})
+
+    def deal(table: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.int64)
+        p = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32)
+        order, starts, ends = runs(r)
         r, p = r[order], p[order]
-        starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(r))
-        return pa.table({"row": r[starts], "places": pa.array([p[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())})
+        return pa.table({"row": r[starts], "places": pa.array([p[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary())})
 
-    return entries.groupBy("bucket").applyInArrow(settle, "row long, places binary").groupBy("row").agg(F.collect_list("places").alias("places"))
+    answers = entries.groupBy("bucket").applyInArrow(settle, "block long, rows binary, places binary")
+    return answers.groupBy("block").applyInArrow(deal, "row long, places binary")
 
 
 def covered(n_words: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -234,7 +251,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     for k in range(len(lengths)):
         level = Level(lengths, k)
         buckets = parts_for(chars // 20, BUCKET_ENTRIES)
-        marks = materialize(_answers(_entries(rows, level, buckets), level.last), f"level-{lengths[k]}")
+        marks = _answers(_entries(rows, level, buckets), level.last)
+        if not unique:  # the same row may stand in several blocks
+            marks = marks.groupBy("row").agg(F.collect_list("places").alias("_p")).select("row", F.aggregate("_p", F.lit(b""), lambda a, x: F.concat(a, x)).alias("places"))
+        marks = materialize(marks, f"level-{lengths[k]}")
         if marks.isEmpty():
             break
         rows = slim.join(marks, "row")
@@ -253,12 +273,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Tr
         hasher = WordHasher()
         for batch in batches:
             texts, sizes, gone, digests = [], [], [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                words = (text or b"").split()
-                removed = None
+            for text, words_hashed, places in zip(batch.column("text").to_pylist(), hasher.texts(batch.column("text")), batch.column("places").to_pylist(), strict=True):
+                words = (text or b"").split()  # splits at the same bytes
                 if places:
-                    hashes = window_hashes(hasher(words), length)
-                    removed = covered(len(words), _same_as(hashes, np.frombuffer(b"".join(places), np.uint32)), length)
+                    hashes = window_hashes(words_hashed, length)
+                    removed = covered(len(words), _same_as(hashes, np.frombuffer(places, np.uint32)), length)
                     if with_text:
                         text = cut_text(text, removed)
                     words_kept = [w for w, g in zip(words, removed.tolist(), strict=True) if not g]
