@@ -51,14 +51,27 @@ class Lexicon:
     """A trie of terms (whole words) and stems (beginnings of words) with their weights."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.root: dict = {}
-        self.strict: set[str] = set()  # terms that are only looked for as they are spelled
+        self.terms, self.root = terms, {}
         for words, slot in ((terms, "term"), (stems, "stem")):
             for word, weight in words.items():
-                node = self.root
-                for c in word:
-                    node = node.setdefault(c, {})
-                node[slot] = weight
+                self._put(self.root, word, slot, weight)
+        self.forgive(set(terms))
+
+    @staticmethod
+    def _put(node: dict, word: str, slot: str, weight: float) -> None:
+        for c in word:
+            node = node.setdefault(c, {})
+        node[slot] = weight
+
+    def forgive(self, words: set[str]) -> None:
+        """Terms whose misspellings count; the others are only looked for as they are spelled."""
+        self.forgiven: dict = {}
+        words = {w for w in words if len(w) >= LEAST_FUZZY}
+        for word in words:
+            self._put(self.forgiven, word, "term", self.terms[word])
+        # One error leaves the first two letters of a term or its last two as they are.
+        self.begins, self.ends = {w[:2] for w in words}, {w[-2:] for w in words}
+        self.lengths = range(max(LEAST_FUZZY, min(map(len, words), default=0) - 1), max(map(len, words), default=-2) + 2)
 
     def find(self, word: str) -> tuple[float, bool, str] | None:
         """(weight, exact, term) of the best match of a word, or None."""
@@ -72,7 +85,7 @@ class Lexicon:
             return node["term"], True, word
         if stem is not None:
             return stem, True, word
-        if len(word) < LEAST_FUZZY:
+        if len(word) not in self.lengths or word[:2] not in self.begins and word[-2:] not in self.ends:
             return None
         found = self._within_one(word)
         return None if found is None else (found[0], False, found[1])
@@ -84,10 +97,10 @@ class Lexicon:
         for k, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << k
         done, best = 1 << len(word), None
-        stack = [(self.root, 1, 0b11, "")]
+        stack = [(self.forgiven, 1, 0b11, "")]
         while stack:
             node, none, one, term = stack.pop()
-            if "term" in node and (none | one) & done and term not in self.strict and (best is None or (node["term"], term) > best):
+            if "term" in node and (none | one) & done and (best is None or (node["term"], term) > best):
                 best = node["term"], term
             for c, child in node.items():
                 if len(c) == 1:
@@ -198,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
             yield pd.DataFrame({"term": pd.Series(terms, dtype=object)})
 
     found = sample.where("toxic = 0").mapInPandas(misspelled, "term string").groupBy("term").count().collect()  # at most the lexicon
-    lexicon.strict = {r["term"] for r in found if r["count"] > max(1, MAX_FUZZY_SHARE * (n_all - n_toxic))}
+    lexicon.forgive(set(lexicon.terms) - {r["term"] for r in found if r["count"] > max(1, MAX_FUZZY_SHARE * (n_all - n_toxic))})
 
     def measure(batches):
         known = _Remembered(lexicon.find)
