@@ -1,0 +1,15 @@
+"""A matrix that grows by a stream of entries: running sums of cells or rows, kept as streaming state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def running_cells(entries: DataFrame) -> DataFrame:
+    """(i, j, v) of a stream of entries, entries of one cell summed; for update or complete output."""
+    return entries.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def running_row_sums(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("i").agg(F.sum("v").alias("v"))
