@@ -114,7 +114,7 @@ def test_constructors(spark):
     assert cells.count() == 50 == cells.select("i", "j").distinct().count()
     assert convert.to_numpy(construct.poisson2d(spark, 3))[4].tolist() == [0, -1, 0, -1, 4, -1, 0, -1, 0]
     with pytest.raises(ValueError):
-        construct.diags(spark, [[1.0]], [0], (3, 3))
+        construct.diags(spark, [[1.0, 2.0]], [0], (3, 3))
 
 
 def test_complex(spark):
