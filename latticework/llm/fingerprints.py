@@ -17,6 +17,8 @@ document is the row itself; null ids come last in descending order.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from .common import let, materialize, ranked, windows, words_of
 SHINGLE = 5
 BINS = 256
 BITS = 8
+#: Steps of a walk that are looked at one by one before the rest is searched.
+TRIES = 16
 _BIN_SHIFT = 63 - (BINS.bit_length() - 1)
 
 
@@ -40,7 +44,7 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def bin_minima(hashes: Column) -> Column:
-    """array<long> of BINS elements: the smallest hash of each bin without its bin's bits, or -1."""
+    """array<long> of BINS elements: the smallest hash of each bin without its bin's bits, or null."""
     low = (1 << _BIN_SHIFT) - 1
     sentinels = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.call_function("shiftleft", i.cast("long"), F.lit(_BIN_SHIFT)) + F.lit(low))
 
@@ -51,20 +55,48 @@ def bin_minima(hashes: Column) -> Column:
         return F.filter(s, lambda x, i: (i == 0) | (of_bin(x) != of_bin(F.get(s, i - 1))))
 
     minima = let(F.sort_array(F.concat(hashes, sentinels)), first)
-    return F.transform(minima, lambda x: F.when(x.bitwiseAND(F.lit(low)) == low, F.lit(-1).cast("long")).otherwise(x.bitwiseAND(F.lit(low))))
+    return F.transform(minima, lambda x: F.when(x.bitwiseAND(F.lit(low)) != low, x.bitwiseAND(F.lit(low))))
+
+
+def _permutations() -> tuple[list[int], list[int], list[int]]:
+    """For each bin the start, the odd step and the step's inverse of its own walk over all bins (a power of two)."""
+    mixed = [int.from_bytes(hashlib.sha256(b"bin %d" % i).digest()[:8], "little") for i in range(BINS)]
+    steps = [(x >> 32) % BINS | 1 for x in mixed]
+    return [x % BINS for x in mixed], steps, [pow(s, -1, BINS) for s in steps]
 
 
 def densified(minima: Column) -> Column:
-    """Low-order bits of the bins, empty ones filled from the first full bin of their own permutation; [] if all are empty."""
+    """Low-order bits of the bins; an empty bin takes those of the first full bin on its walk. [] if all are empty.
+
+    Where many bins are full the walk is followed, since a few tries are enough; where few are, the full bin with the
+    least place on the walk is taken, which is the same one."""
+    begin, step, inverse = (F.array(*map(F.lit, x)) for x in _permutations())
+    starts, steps, _ = _permutations()
+    tried = F.array(*(F.lit((starts[i] + j * steps[i]) % BINS) for i in range(BINS) for j in range(TRIES)))
+    mask = F.lit((1 << BITS) - 1)
 
     def fill(m: Column) -> Column:
         def walk(i: Column) -> Column:
-            begin, step = F.pmod(F.hash(i, F.lit(1)), F.lit(BINS)), F.pmod(F.hash(i, F.lit(2)), F.lit(BINS)).bitwiseOR(F.lit(1))
-            # an odd step visits all bins of a power of two
-            return F.aggregate(F.sequence(F.lit(0), F.lit(BINS - 1)), F.lit(-1).cast("long"), lambda a, j: F.when(a >= 0, a).otherwise(F.get(m, F.pmod(begin + j * step, F.lit(BINS)))))
-
-        whole = F.transform(m, lambda x, i: F.when(x >= 0, x).otherwise(walk(i)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
-        return F.when(F.exists(m, lambda x: x >= 0), whole).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(F.sequence(F.lit(TRIES), F.lit(BINS - 1)), F.lit(None).cast("long"), lambda a, j: F.coalesce(a, F.get(m, F.pmod(F.get(begin, i) + j * F.get(step, i), F.lit(BINS)))))
+
+        def followed(x: Column, i: Column) -> Column:
+            return F.coalesce(x, *(F.get(m, F.get(tried, i * TRIES + j)) for j in range(TRIES)), walk(i)).bitwiseAND(mask).cast("int")
+
+        def nearest(full: Column):
+            def of(x: Column, i: Column) -> Column:
+                placed = F.transform(full, lambda b: F.pmod((b - F.get(begin, i)) * F.get(inverse, i), F.lit(BINS)) * (1 << BITS) + F.get(m, b).bitwiseAND(mask))
+                return F.coalesce(x, F.array_min(placed)).bitwiseAND(mask).cast("int")
+
+            return of
+
+        n_full = F.size(F.array_compact(m))
+        full = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(m, b).isNotNull())
+        return (
+            F.when(n_full == 0, F.array().cast("array<int>"))
+            .when(n_full == BINS, F.transform(m, lambda x: x.bitwiseAND(mask).cast("int")))
+            .when(n_full >= BINS // 8, F.transform(m, followed))
+            .otherwise(let(full, lambda f: F.transform(m, nearest(f))))
+        )
 
     return let(minima, fill)
 
