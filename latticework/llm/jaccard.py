@@ -37,11 +37,13 @@ from .shingles import WordHasher, _mixed, shingle_set
 SHINGLE = 5
 PERCENT = 80
 #: Tokens of more documents than this are frequent; the class that is handed to every task is bounded by its largest tokens.
-FREQUENT, LARGEST_CLASS = 50, 1 << 20
+FREQUENT, LARGEST_CLASS = 100, 1 << 20
 K = 2
-BITMAP_BITS = 2048
+BITS_PER_TOKEN = 8
 BLOCK_DOCS = 20_000
 SUB_BUCKET = 1000
+#: Ids of documents whose texts are wanted are broadcast up to this many bytes; beyond, the texts are joined to them.
+BROADCAST_BYTES = 32 << 20
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -79,25 +81,37 @@ def _pairs(x: np.ndarray) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[(tokens % np.uint64(BITMAP_BITS)).astype(np.int64)] = 1
+    """A bit for each token, in about BITS_PER_TOKEN bits a token: a power of two, so that a wider map folds onto a narrower."""
+    size = max(64, 1 << (BITS_PER_TOKEN * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def most_overlap(x: bytes, y: bytes, m: int, n: int) -> int:
+    """No two sets of m and n tokens with these bitmaps share more: a bit that only one has is a token that only one has."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return (m + n - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
 def _texts(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("string").cast("binary").alias("text"))
 
 
 def summaries(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_shingles, sid (hash of the set, null for the empty set), bits (bitmap of the set)."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, sid long, bits binary").fields])
+    """doc_id, n_shingles, sid (hash of the set, null for the empty set)."""
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, sid long").fields])
 
     def run(batches):
-        hasher = WordHasher()
+        hasher = WordHasher(lower=True)
         for batch in batches:
-            sets = [shingle_set(hasher, t, length) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(w, length) for w in hasher.texts(batch.column("text"))]
             sids = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(sids, pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(sids, pa.int64())], names=schema.names)
 
     return _texts(docs, "doc_id").mapInArrow(run, schema)
 
@@ -106,7 +120,7 @@ def frequent_tokens(docs: DataFrame, length: int) -> np.ndarray:
     """The frequent class as a sorted array of hashes, at most LARGEST_CLASS."""
 
     def run(batches):
-        hasher, held, n = WordHasher(), [], 0
+        hasher, held, n = WordHasher(lower=True), [], 0
 
         def counted():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -114,7 +128,7 @@ def frequent_tokens(docs: DataFrame, length: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], names=["token", "n"])
 
         for batch in batches:
-            held += [shingle_set(hasher, t, length) for t in batch.column("text").to_pylist()]
+            held += [shingle_set(w, length) for w in hasher.texts(batch.column("text"))]
             n += batch.num_rows
             if n >= BLOCK_DOCS:
                 yield counted()
@@ -132,11 +146,11 @@ def entries(docs: DataFrame, frequent: np.ndarray, length: int, percent: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        hasher, seen = WordHasher(), set()
+        hasher, seen = WordHasher(lower=True), set()
         for batch in batches:
             keys, sids, sizes = [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingle_set(hasher, text, length)
+            for words in hasher.texts(batch.column("text")):
+                tokens = shingle_set(words, length)
                 sid = xxhash.xxh64_intdigest(tokens.tobytes())
                 if not len(tokens) or sid in seen:
                     continue
@@ -151,19 +165,26 @@ def entries(docs: DataFrame, frequent: np.ndarray, length: int, percent: int) ->
     return _texts(docs).mapInArrow(run, "key long, sid long, size int")
 
 
+def _bitmaps(texts: DataFrame, length: int) -> DataFrame:
+    """sid, size, bits."""
+
+    def run(batches):
+        hasher = WordHasher(lower=True)
+        for batch in batches:
+            sets = [shingle_set(w, length) for w in hasher.texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(list(map(len, sets)), pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["sid", "size", "bits"])
+
+    return texts.mapInArrow(run, "sid long, size long, bits binary")
+
+
 def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that their bitmaps leave possible: equal tokens set equal bits, so that bits which differ bound the overlap."""
     left, right = bits.select(F.col("sid").alias("a"), F.col("bits").alias("_x"), F.col("size").alias("_m")), bits.select(F.col("sid").alias("b"), F.col("bits").alias("_y"), F.col("size").alias("_n"))
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_x", "_y"))
-            m, n = (batch.column(c).to_numpy() for c in ("_m", "_n"))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            keep = (m + n - differ) // 2 >= -(-percent * (m + n) // (100 + percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("_x", "_y", "_m", "_n")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([most_overlap(x, y, m, n) >= overlap_needed(m, n, percent) for x, y, m, n in rows], pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y", "_m", "_n").mapInArrow(run, "a long, b long")
 
@@ -173,11 +194,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
     left, right = texts.select(F.col("sid").alias("a"), F.col("text").alias("_x")), texts.select(F.col("sid").alias("b"), F.col("text").alias("_y"))
 
     def run(batches):
-        hasher = WordHasher()
+        hasher = WordHasher(lower=True)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist(), strict=True):
-                s, t = shingle_set(hasher, x, length), shingle_set(hasher, y, length)
+            for x, y in zip(hasher.texts(batch.column("_x")), hasher.texts(batch.column("_y")), strict=True):
+                s, t = shingle_set(x, length), shingle_set(y, length)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -200,15 +221,23 @@ def near_links(docs: DataFrame, base: DataFrame, length: int = SHINGLE, percent:
     buckets = materialize(entered.join(shared, "key"), "buckets")
 
     sids = buckets.select("sid").distinct()
-    wanted = materialize(base.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size")), "sets")
-    named = docs.join(wanted.select("doc_id", F.col("sid").alias("_sid")), "doc_id")
+    wanted = materialize(base.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sets")
+    n_wanted = wanted.count()
+    names = wanted.select("doc_id", F.col("sid").alias("_sid"))
+    named = docs.join(F.broadcast(names) if 24 * n_wanted <= BROADCAST_BYTES else names, "doc_id")
     nameless = docs.where("doc_id IS NULL").withColumn("_sid", F.lit(0).cast("long"))
     checked = _with_sid(named, length).where("sid = _sid").unionByName(_with_sid(nameless, length).join(sids, "sid", "left_semi"))
-    texts = materialize(checked.dropDuplicates(["sid"]).select("sid", "text"), "texts")
+    texts = materialize(checked.select("sid", "text"), "texts")
+    if texts.count() > n_wanted:  # equal ids
+        texts = materialize(texts.dropDuplicates(["sid"]), "texts")
+
+    bits = materialize(_bitmaps(texts, length), "bitmaps")
 
     def decide(pairs: DataFrame, name: str) -> DataFrame:
-        possible = materialize(_bounded(pairs, wanted, percent), f"{name}-possible")
-        return materialize(_verified(possible, texts, length, percent), name)
+        possible = materialize(_bounded(pairs, bits, percent), f"{name}-possible")
+        needed = materialize(possible.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{name}-needed")
+        few = 16 * needed.count() <= BROADCAST_BYTES
+        return materialize(_verified(possible, texts.join(F.broadcast(needed) if few else needed, "sid", "left_semi"), length, percent), name)
 
     # Neighbours in a hashed order of each bucket, which is dealt into parts where it is large.
     part = F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(F.col("_n") / SUB_BUCKET).cast("long"))
@@ -231,9 +260,9 @@ def _with_sid(docs: DataFrame, length: int) -> DataFrame:
     """_sid, sid, text: documents with the hash of their own set, which tells apart rows of equal ids."""
 
     def run(batches):
-        hasher = WordHasher()
+        hasher = WordHasher(lower=True)
         for batch in batches:
-            sids = [xxhash.xxh64_intdigest(shingle_set(hasher, t, length).tobytes()) - (1 << 63) for t in batch.column("text").to_pylist()]
+            sids = [xxhash.xxh64_intdigest(shingle_set(w, length).tobytes()) - (1 << 63) for w in hasher.texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_sid"), pa.array(sids, pa.int64()), batch.column("text")], names=["_sid", "sid", "text"])
 
     return _texts(docs, "_sid").mapInArrow(run, "_sid long, sid long, text binary")
