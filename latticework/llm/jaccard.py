@@ -40,7 +40,7 @@ PERCENT = 80
 FREQUENT, LARGEST_CLASS = 100, 1 << 20
 K = 2
 BITS_PER_TOKEN = 8
-BLOCK_DOCS = 20_000
+BLOCK_DOCS = 10_000
 SUB_BUCKET = 1000
 #: Ids of documents whose texts are wanted are broadcast up to this many bytes; beyond, the texts are joined to them.
 BROADCAST_BYTES = 32 << 20
@@ -123,16 +123,20 @@ def frequent_tokens(docs: DataFrame, length: int) -> np.ndarray:
         hasher, held, n = WordHasher(lower=True), [], 0
 
         def counted():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1])))
+            counts = np.diff(np.append(starts, len(tokens)))
             keep = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens[starts[keep]].view(np.int64)), pa.array(counts[keep])], names=["token", "n"])
 
         for batch in batches:
             held += [shingle_set(w, length) for w in hasher.texts(batch.column("text"))]
             n += batch.num_rows
             if n >= BLOCK_DOCS:
                 yield counted()
-                held, n = [], 0
+                n = 0
         if held:
             yield counted()
 
