@@ -4,7 +4,8 @@ The lexicon is learned from a bounded sample of labelled documents: words, and b
 far more frequent in toxic documents. It is held as a trie. Each word of a text is a Levenshtein automaton, run as bit
 masks, whose intersection with the trie yields exact terms, stems and misspelled terms; a worker remembers the outcome
 of words it has met. A window around each match tells a quotation or report from abuse. Sums of the matches go into a
-logistic regression fitted to the same sample.
+logistic regression fitted to the same sample, in which each class weighs as much as it does among all labelled
+documents outside the held-out fold, so that scores do not depend on which class the bound of the sample cuts.
 
 Edge cases: null and empty texts get the score of a text without any match; labels that are null, or of ids without a
 document, are ignored; an id that is labelled more than once counts as toxic if any label says so; without both
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, materialize
 from .tokens import _Remembered
 
 #: Bounds of the sample (documents of each class) and of the lexicon.
@@ -142,28 +143,41 @@ def features(text: str | None, known: _Remembered) -> list[float]:
     return [*np.log1p(sums).tolist(), min(5.0, 100 * n / len(words))]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Coefficients (the intercept first) by Newton's method with a ridge on all but the intercept."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, weights: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients (the intercept first) by Newton's method with a ridge on all but the intercept; weights: of the rows, 1 by default."""
     a = np.column_stack([np.ones(len(x)), x])
+    w = np.ones(len(x)) if weights is None else weights
     beta, penalty = np.zeros(a.shape[1]), ridge * np.diag([1e-6, *np.ones(x.shape[1])])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + penalty
-        step = np.linalg.solve(hessian, a.T @ (y - p) - penalty @ beta)
+        hessian = (a * (w * p * (1 - p))[:, None]).T @ a + penalty
+        step = np.linalg.solve(hessian, a.T @ (w * (y - p)) - penalty @ beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
     return beta
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most SAMPLE_DOCS documents of each class outside the held-out fold: text, toxic."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of all labelled documents with a text outside the held-out fold."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return marks.join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi")
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """At most SAMPLE_DOCS labelled documents of each class: text, toxic."""
     order = F.xxhash64("doc_id")
     chosen = marks.where("toxic = 1").orderBy(order).limit(SAMPLE_DOCS).unionByName(marks.where("toxic = 0").orderBy(order).limit(SAMPLE_DOCS))
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
+def class_weights(toxic: np.ndarray, counts: dict[int, int]) -> np.ndarray:
+    """Weights of the sample's rows, 1 on average, that give each class its share of all labelled documents."""
+    n = np.bincount(toxic, minlength=2)
+    share = np.array([counts[0], counts[1]]) / (counts[0] + counts[1])
+    return (share * len(toxic) / n)[toxic]
+
+
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
     terms = sample.select("toxic", F.explode(words).alias("word"))
@@ -196,7 +210,9 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    sample = labelled_sample(docs, labels).cache()
+    marks = materialize(labelled(docs, labels), "labelled")
+    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    sample = labelled_sample(docs, marks).cache()
     n_toxic, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n_toxic or n_toxic == n_all:
         share = n_toxic / n_all if n_all else 0.0
@@ -221,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
     pdf = sample.mapInPandas(measure, "a double, b double, c double, toxic int").toPandas()  # bounded by the sample
     sample.unpersist()
-    return lexicon, fit_logistic(pdf[list("abc")].to_numpy(), pdf["toxic"].to_numpy(float))
+    toxic = pdf["toxic"].to_numpy(int)
+    return lexicon, fit_logistic(pdf[list("abc")].to_numpy(), toxic.astype(float), weights=class_weights(toxic, counts))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

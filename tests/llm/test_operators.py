@@ -256,6 +256,21 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_beyond_the_sample(spark, monkeypatch):
+    # half of the toxic texts have no word of the lexicon; the share of toxic labels is 1 in 10 whatever the sample cuts
+    rows = [(k, prose(k, 30) + (" you idiot loser" if k % 20 == 0 else "")) for k in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(2000)] + [(k, 1) for k in range(5000, 9000)], "doc_id long, toxic int")
+
+    def scores(bound):
+        monkeypatch.setattr(toxicity, "SAMPLE_DOCS", bound)
+        return {r["doc_id"]: r for r in toxicity.score_toxicity(table, labels).collect()}
+
+    whole, cut = scores(3000), scores(150)
+    assert all(abs(whole[k]["score"] - cut[k]["score"]) < 0.05 and whole[k]["predicted"] == cut[k]["predicted"] for k in whole)
+    assert whole[1]["score"] < 0.15 and whole[0]["predicted"] == 1
+
+
 def test_attribution(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
