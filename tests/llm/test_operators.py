@@ -85,6 +85,35 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_id_of_many_scripts(spark):
+    # words of each script's letters, 60 common words a language; CJK letters from ranges of 2,000; 70 languages more
+    def words(seed, letters, length=5):
+        rng = np.random.default_rng(seed)
+        return ["".join(rng.choice(letters, length)) for _ in range(60)]
+
+    def letters(first, n):
+        return [c for c in map(chr, range(first, first + n)) if c.isalpha()]
+
+    latin = [*"abcdefghijklmnopqrstuvwxyz"]
+    vocabulary = {
+        "aa": words(1, latin), "de": words(2, [*latin, *"äöüß"]), "ru": words(3, letters(0x430, 32)), "uk": words(4, [*letters(0x430, 32), *"іїєґ"]), "el": words(5, letters(0x3B1, 25)), "hy": words(6, letters(0x561, 38)),
+        "zh": words(7, letters(0x4E00, 2000), 2), "ja": words(8, letters(0x5E00, 2000) + 20 * letters(0x3041, 86), 3), "ko": words(9, letters(0xAC00, 2000), 3), "ff": words(10, letters(0x1E922, 34)),
+    } | {f"x{k}": words(100 + k, latin) for k in range(70)}
+
+    def text(lang, seed, n):
+        return " ".join(np.random.default_rng(seed).choice(vocabulary[lang], n))
+
+    rows = [(f"{lang}-{k}", text(lang, k, 40), lang) for lang in vocabulary for k in range(2 if lang == "x69" else 8)]
+    learned = langid.references(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    assert set(learned) == set(vocabulary)
+    asked = spark.createDataFrame([(lang, text(lang, 1000 + k, 40)) for lang in vocabulary for k in range(3)], "want string, text string")
+    assert {(r["want"], r["lang_pred"]) for r in langid.identify(asked, learned).collect()} == {(x, x) for x in vocabulary}
+    # a letter outside the table ends and begins phrases like any other, and a short reference is no cheaper for letters that it lacks
+    parser = langid.Parser({"zh": "".join(map(chr, range(0x4E00, 0x4E00 + 500))), "aa": "short text"})
+    assert parser.phrases(["".join(map(chr, [*range(0x4E64, 0x4E96), *range(0x4E00, 0x4E10), 0x6000]))])[0][0].tolist() == [67, 3]
+    assert parser.predict(["".join(map(chr, range(0x4E00, 0x4E00 + 500, 7)))])[0] == ["zh"]
+
+
 def test_mixing(docs, empty):
     got = mixing.mix_sources(docs.drop("size")).collect()
     sizes = {"a": 0, "b": 0, None: 0}
