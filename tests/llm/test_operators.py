@@ -170,6 +170,17 @@ def test_html(spark):
     assert wrappers.extract_pages(table.limit(0)).count() == 0
 
 
+def test_html_beside_articles():
+    card = "<article class='card'><h3>{}</h3></article>"
+    for page in ("<main><div><header>head</header><p>one</p></div>{}</main>", "<div class='post'><p>head</p><p>one</p></div><section>{}</section>", "<main><p>head</p><article><p>one</p></article>{}</main>"):
+        assert wrappers.extract(PAGE.format(page.format(card.format("teaser")))) == "head\none\nteaser"
+    assert wrappers.extract("<header>site</header><div class='ad'>buy</div><article><header>head</header><p>one</p><div class='share'>x</div></article><p>after</p><footer>f</footer>") == "head\none\nafter"
+    # the template decides: what is the same on every page goes, inside an article or beside it
+    pages = [PAGE.format(f"<main><p>Our mission</p><p>{prose(k, 9)}</p>{card.format(prose(50 + k, 3))}{card.format('Read more here')}</main>") for k in range(8)]
+    template = wrappers.template_tree(wrappers.learn(pages))
+    assert [wrappers.extract(p, template) for p in pages] == [f"{prose(k, 9)}\n{prose(50 + k, 3)}" for k in range(8)]
+
+
 def test_tree_matching():
     def brute(a, b):
         if a.tag != b.tag:
