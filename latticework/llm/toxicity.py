@@ -15,7 +15,9 @@ classes in the sample every score is the share of toxic labels (0 without labels
 from __future__ import annotations
 
 import re
+from functools import reduce
 from math import log
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -49,14 +51,18 @@ _REPORT = re.compile(rf"\b(?:{'|'.join(REPORTING)})\b")
 
 
 class Lexicon:
-    """A trie of terms (whole words) and stems (beginnings of words) with their weights."""
+    """A trie of terms (whole words) and stems (beginnings of words) with their weights.
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+    families: words that a stem stands for, with their weights; their misspellings count as those of terms do.
+    """
+
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], families: dict[str, float] | None = None):
         self.terms, self.root = terms, {}
+        self.spelled = {**(families or {}), **terms}
         for words, slot in ((terms, "term"), (stems, "stem")):
             for word, weight in words.items():
                 self._put(self.root, word, slot, weight)
-        self.forgive(set(terms))
+        self.forgive(set(self.spelled))
 
     @staticmethod
     def _put(node: dict, word: str, slot: str, weight: float) -> None:
@@ -65,11 +71,11 @@ class Lexicon:
         node[slot] = weight
 
     def forgive(self, words: set[str]) -> None:
-        """Terms whose misspellings count; the others are only looked for as they are spelled."""
+        """Terms and words of stems whose misspellings count; the others are only looked for as they are spelled."""
         self.forgiven: dict = {}
         words = {w for w in words if len(w) >= LEAST_FUZZY}
         for word in words:
-            self._put(self.forgiven, word, "term", self.terms[word])
+            self._put(self.forgiven, word, "term", self.spelled[word])
         # One error leaves the first two letters of a term or its last two as they are.
         self.begins, self.ends = {w[:2] for w in words}, {w[-2:] for w in words}
         self.lengths = range(max(LEAST_FUZZY, min(map(len, words), default=0) - 1), max(map(len, words), default=-2) + 2)
@@ -178,6 +184,17 @@ def class_weights(toxic: np.ndarray, counts: dict[int, int]) -> np.ndarray:
     return (share * len(toxic) / n)[toxic]
 
 
+def families(sample: DataFrame, stems: dict[str, float]) -> dict[str, float]:
+    """Words of LEAST_FUZZY letters or more that begin with a stem, in LEAST_DOCS toxic documents or more, with the stem's weight."""
+    if not stems:
+        return {}
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= LEAST_FUZZY))
+    of = {n: [x for x in stems if len(x) == n] for n in sorted({len(x) for x in stems}, reverse=True)}
+    begun = sample.where("toxic = 1").select(F.explode(words).alias("word")).where(reduce(or_, (F.substring("word", 1, n).isin(x) for n, x in of.items())))
+    counted = begun.groupBy("word").count().where(F.col("count") >= LEAST_DOCS).collect()  # bounded by the sample
+    return {w: next(stems[w[:n]] for n in of if w[:n] in stems) for w in (r["word"] for r in counted)}
+
+
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
     terms = sample.select("toxic", F.explode(words).alias("word"))
@@ -206,7 +223,7 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
             begins[word] = odds
         else:
             whole[word] = odds
-    return Lexicon(whole, begins)
+    return Lexicon(whole, begins, families(sample, begins))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
@@ -226,8 +243,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
             terms = [hit[2] for t in pdf["text"] for hit in {known[w] for w in _WORD.findall(t.lower())} if hit and not hit[1]]
             yield pd.DataFrame({"term": pd.Series(terms, dtype=object)})
 
-    found = sample.where("toxic = 0").mapInPandas(misspelled, "term string").groupBy("term").count().collect()  # at most the lexicon
-    lexicon.forgive(set(lexicon.terms) - {r["term"] for r in found if r["count"] > max(1, MAX_FUZZY_SHARE * (n_all - n_toxic))})
+    found = sample.where("toxic = 0").mapInPandas(misspelled, "term string").groupBy("term").count().collect()  # at most the lexicon and its families
+    lexicon.forgive(set(lexicon.spelled) - {r["term"] for r in found if r["count"] > max(1, MAX_FUZZY_SHARE * (n_all - n_toxic))})
 
     def measure(batches):
         known = _Remembered(lexicon.find)

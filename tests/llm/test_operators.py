@@ -296,6 +296,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_misspelled_stems(spark):
+    lexicon = toxicity.Lexicon({}, {"scum": 3.0}, {"scummer": 3.0})
+    assert lexicon.find("scummy") == (3.0, True, "scummy") and lexicon.find("scmmer") == lexicon.find("xcummer") == (3.0, False, "scummer") and lexicon.find("scorner") is None
+    forms = ["scumber", "scumming", "scumlord"]
+    rows = [(k, prose(k, 30) + (f" you {forms[k % 3]}" if k % 2 else "")) for k in range(120)] + [(902, prose(902, 30) + " you scmming"), (903, prose(902, 30) + " you plodding"), (904, prose(902, 30) + " you scumming")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[903] < got[902] < got[904] and got[902] >= toxicity.THRESHOLD
+
+
 def test_toxicity_beyond_the_sample(spark, monkeypatch):
     # half of the toxic texts have no word of the lexicon; the share of toxic labels is 1 in 10 whatever the sample cuts
     rows = [(k, prose(k, 30) + (" you idiot loser" if k % 20 == 0 else "")) for k in range(2000)]
