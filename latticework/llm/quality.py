@@ -5,7 +5,7 @@ of all documents of the language by Jensen-Shannon distance (base 2, 0 to 1). Do
 mean anything are not judged by it (the minimum-length guards). Counts on words come first: base_failed drops a
 document whatever its histograms say.
 
-Edge cases: a null text has no words; a document whose language is null, rare (beyond MOST_LANGUAGES), or without
+Edge cases: a null text has no words; a document whose language is null or without
 enough text is compared with the classes of all documents and not by words; ties among common words go by code point;
 repeated rows are judged each; columns of the input named like an output column are replaced.
 """
@@ -28,7 +28,8 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.32
 COMMON_WORDS, LEAST_SHARE = 24, 1e-3
 #: Repeated windows up to which each window is looked up in their list.
 LOOKED_UP = 32
-MOST_LANGUAGES = 64
+#: References are broadcast up to this many characters (REFERENCE_CHARS for a language besides its words); beyond, documents are joined to them by language.
+BROADCAST_CHARS, REFERENCE_CHARS = 16_000_000, 500
 
 # The symbols, and the classes in the order in which they are taken out of the text; the last class is all that is left.
 SYMBOLS = "#*$%&|<>"
@@ -112,12 +113,12 @@ def places_sorted(found: Column) -> Column:
 
 
 def class_references(counts: DataFrame) -> DataFrame:
-    """Shares of the classes for each of the MOST_LANGUAGES largest languages, and for all documents under a null language."""
-    by_lang = materialize(counts.groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(f"_n_{n}").alias(n) for n in CLASS_NAMES)), "class-counts")
-    largest = by_lang.where("lang IS NOT NULL").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).drop("n")
+    """Shares of the classes for each language, and for all documents under a null language."""
+    by_lang = materialize(counts.groupBy("lang").agg(*(F.sum(f"_n_{n}").alias(n) for n in CLASS_NAMES)), "class-counts")
+    known = by_lang.where("lang IS NOT NULL")
     every = by_lang.agg(*(F.sum(n).alias(n) for n in CLASS_NAMES)).withColumn("lang", F.lit(None).cast("string"))
     total = sum(F.col(n) for n in CLASS_NAMES)
-    return largest.unionByName(every).select("lang", F.transform(F.array(*CLASS_NAMES), lambda x: x / F.when(total > 0, total)).alias("class_ref"))
+    return known.unionByName(every).select("lang", F.transform(F.array(*CLASS_NAMES), lambda x: x / F.when(total > 0, total)).alias("class_ref"))
 
 
 def word_references(docs: DataFrame) -> DataFrame:
@@ -170,8 +171,8 @@ def judge(docs: DataFrame, references: tuple[DataFrame, DataFrame] | None = None
     classes, common = references or (materialize(class_references(class_counts(docs)), "class-references"), materialize(word_references(docs), "word-references"))
     every = F.broadcast(classes.where("lang IS NULL").select(F.col("class_ref").alias("_every")))  # one row
     refs = classes.where("lang IS NOT NULL").join(common, "lang", "left")
-    # at most MOST_LANGUAGES rows with COMMON_WORDS words each
-    out = base_counts(docs).join(F.broadcast(refs), "lang", "left").join(every)
+    size = refs.agg(F.coalesce(F.sum(REFERENCE_CHARS + F.length(F.array_join(F.coalesce("ref_words", F.array().cast("array<string>")), ""))), F.lit(0))).first()[0]
+    out = base_counts(docs).join(F.broadcast(refs) if size <= BROADCAST_CHARS else refs, "lang", "left").join(every)
     class_counts_ = F.array(*(F.col(f"_n_{n}").cast("long") for n in CLASS_NAMES))
     n_chars = sum(F.col(f"_n_{n}") for n in CLASS_NAMES)
     out = out.withColumn("class_distance", F.when(n_chars >= MIN_CHARS, js_distance(class_counts_, F.coalesce("class_ref", "_every"))))

@@ -251,6 +251,24 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_of_many_languages(spark, monkeypatch):
+    # 70 languages, the small ones in capitals; texts of a language share its words
+    def text(k, seed):
+        words = [w.upper() if k >= 60 else w for w in WORDS[k : k + 30]]
+        return " ".join(np.random.default_rng(seed).choice(words, 120))
+
+    rows = [(f"{k}-{n}", text(k, n), f"l{k}") for k in range(70) for n in range(2 if k >= 60 else 4)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+
+    def judged():
+        return {r["doc_id"]: r for r in quality.judge(table).select("doc_id", "kept", "class_distance", "word_distance").collect()}
+
+    got = judged()
+    assert len(got) == len(rows) and all(r["word_distance"] is not None and r["class_distance"] < 0.1 and r["kept"] for r in got.values())
+    monkeypatch.setattr(quality, "BROADCAST_CHARS", 0)
+    assert judged() == got
+
+
 def test_repeats_beyond_the_list(spark):
     text = " ".join([*(f"w{k} x{k} y{k}" for k in range(60))] * 2) + " tail of it"
     got = quality.judge(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).first()
