@@ -1,14 +1,14 @@
-"""Helpers that several operators share: scratch tables, word patterns, the held-out fold, distributed order."""
+"""Helpers that several operators share: word patterns, the held-out fold, windows of arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from ..plans.scratch import Scratch, materialize
+
+__all__ = ["Scratch", "documents", "held_out", "let", "materialize", "parts_for", "schema_with", "windows", "words_of"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,23 +19,6 @@ HELD_OUT_FOLD = 2
 FOLDS = 4
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back, which cuts its lineage: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -69,24 +52,5 @@ def parts_for(rows: int, per_part: int, least: int = 1, most: int = 1 << 16) ->
     return int(max(least, min(most, -(-rows // per_part))))
 
 
-def ranked(df: DataFrame, order: list[Column], name: str, rows: int) -> DataFrame:
-    """df with `position` (long, from 0) in the given order, without one task seeing all rows.
-
-    Rows are dealt out by range, numbered within their range, and shifted by the number of rows in the ranges before.
-    The only unpartitioned window runs over one row per range.
-    """
-    dealt = df.repartitionByRange(parts_for(rows, 200_000, 4, 4096), *order).withColumn("_range", F.spark_partition_id())
-    dealt = materialize(dealt, name)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_range").orderBy(*order)
-    return (
-        dealt.withColumn("_n", F.row_number().over(within))
-        .join(F.broadcast(shifts), "_range")  # at most 4,096 rows
-        .withColumn("position", F.col("_shift") + F.col("_n") - 1)
-        .drop("_range", "_n", "_shift")
-    )
-
-
 def schema_with(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])

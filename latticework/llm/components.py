@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -30,9 +30,12 @@ def connected(links: DataFrame) -> DataFrame:
     def mark(edges: DataFrame):
         return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    before, now = None, mark(edges)
-    while now != before:
-        edges = materialize(small(large(edges)), "stars")
-        before, now = now, mark(edges)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with Scratch(links.sparkSession) as scratch:
+        edges = scratch.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+        before, now = None, mark(edges)
+        while now != before and now[0]:
+            rounds = scratch.keep(small(large(edges)), "stars")
+            scratch.drop(edges)
+            edges, before, now = rounds, now, mark(rounds)
+        stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return materialize(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components")

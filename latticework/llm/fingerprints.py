@@ -22,7 +22,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, ranked, windows, words_of
+from ..plans.ordering import numbered
+from .common import let, materialize, windows, words_of
 
 SHINGLE = 5
 BINS = 256
@@ -134,7 +135,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ids = materialize(rows.select("doc_id", "_h", F.length("text").cast("long").alias("n_chars")).distinct(), "ids")
     n, all_rows = ids.count(), docs.count()
     order = [F.col("doc_id").desc_nulls_last(), F.col("_h")]
-    placed = ranked(ids, order, "ids-in-order", n)
+    placed = numbered(ids, order, "position", n)
     following = placed.select(F.col("doc_id").alias("_next"), F.col("_h").alias("_next_h"), F.pmod(F.col("position") - 1, F.lit(max(n, 1))).alias("position"))
     links = materialize(placed.join(following, "position").drop("position"), "links")
 

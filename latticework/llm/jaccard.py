@@ -1,23 +1,25 @@
 """N-gram Jaccard join by token-combination prefixes (operator 10).
 
 A document's set holds the hashes of its distinct shingles. Documents with equal sets are one node from the start, so
-copies are never compared. Tokens are put in one order, the frequent class last, and a set of size n is known by its
-prefix: two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each. Where the first shared
-token may be a frequent one, the prefix is extended by K - 1 tokens and combinations of K frequent tokens are indexed
-instead, since two sets whose first shared token is frequent share K of them there (sets that are too small for that
-share the single token). The frequent class is counted over all documents: tokens met more than once in a block of
-documents are summed over the blocks, and the LARGEST_CLASS largest sums above FREQUENT form the class; any class gives
-the same links, the counts only make buckets small.
-
-A bucket (the sets under one token or combination) is never expanded into pairs. First each set is compared with its
-successor in a hashed order of each bucket, which costs as many comparisons as there are entries. Links found merge
-sets into components, and only pairs across the components that are left in a bucket are compared, those of its largest
-component with the others. A bitmap of each set bounds the overlap from above and spares most comparisons; what it lets
-through is decided on the full sets.
+copies are never compared. Tokens are put in one order, the frequent class last and its rarest tokens first, and a set
+of size n is known by its prefix: two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of
+each. Where the first shared token may be a frequent one, the prefix is extended by K - 1 tokens and combinations of K
+frequent tokens are indexed instead, since two sets whose first shared token is frequent share K of them there (sets
+that are too small for that share the single token). The frequent class is counted over all documents: tokens met more
+than once in a block of documents are summed over the blocks, and the LARGEST_CLASS largest sums above FREQUENT form
+the class; any class gives the same links, the counts only make buckets small.
+
+A bucket (the sets under one token or combination) is never expanded into pairs. Before the index is made, sets are
+sorted by minima of their tokens, several times over, and each is compared with its successor, which costs as many
+comparisons as there are sets and merges most copies into components. Of a bucket only entries of different components
+are paired, and of these only those whose sizes, places and signatures (counts of tokens by group, see buckets.py) leave
+the similarity possible; full signatures and then the full sets decide. The index travels packed, by key; keys that
+only one set has end there, and signatures join what is left. Keys whose bucket may be large (by the counts of the
+class) are salted, and their buckets cut into cells of bounded size that cover every pair to be looked at.
 
 Edge cases: null, empty or blank texts have the empty set and link with nothing; a text of fewer words than a shingle
 is one token; rows repeated, or with equal ids, are kept and labelled each; a null id never is a component's name
-unless all its documents have null ids; an empty table gives an empty result.
+unless all its documents have null ids; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import materialize
+from .buckets import Entries, apart, folded, overlap_needed, signature
+from .common import Scratch, materialize, parts_for
 from .components import connected
 from .shingles import WordHasher, _mixed, shingle_set
 
@@ -39,85 +41,102 @@ PERCENT = 80
 #: Tokens of more documents than this are frequent; the class that is handed to every task is bounded by its largest tokens.
 FREQUENT, LARGEST_CLASS = 100, 1 << 20
 K = 2
-BITS_PER_TOKEN = 8
-BLOCK_DOCS = 10_000
-SUB_BUCKET = 1000
-#: Ids of documents whose texts are wanted are broadcast up to this many bytes; beyond, the texts are joined to them.
-BROADCAST_BYTES = 32 << 20
-
-
-def overlap_needed(a: int, b: int, percent: int) -> int:
-    """The least intersection of sets of these sizes with similarity of percent or more."""
-    return -(-percent * (a + b) // (100 + percent))
+#: Documents whose tokens are counted together; entries of the index that are packed together, and that a part of it is planned for.
+BLOCK_DOCS, BLOCK_ENTRIES, PART_ENTRIES = 10_000, 500_000, 400_000
+#: Entries of a key that may be as many as this or more are salted, and their buckets cut into cells of this many a side.
+CELL = 1000
+#: Rows of the index that are held while cells are gone through (and the rest of the last cell).
+HELD_ROWS = 100_000
+#: Ids are broadcast up to this many bytes, at ID_BYTES each; beyond, both sides are shuffled.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 64
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+class FrequentClass:
+    """The frequent tokens, sorted, with their counts and places in the order (the rarest first)."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        by_token = np.argsort(tokens)
+        self.tokens, self.counts = tokens[by_token], counts[by_token]
+        self.rank = np.empty(len(tokens), np.int64)
+        self.rank[np.lexsort((self.tokens, self.counts))] = np.arange(len(tokens))
+        #: What a token outside the class may count.
+        self.rest = int(counts.min()) if len(tokens) >= LARGEST_CLASS else FREQUENT
+
+    def split(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rare tokens, frequent ones in their order, the counts of these)."""
+        if not len(self.tokens):
+            return tokens, tokens[:0], np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        common = self.tokens[at] == tokens
+        at = at[common]
+        at = at[np.argsort(self.rank[at])]
+        return tokens[~common], self.tokens[at], self.counts[at]
+
+
+def keys_of(tokens: np.ndarray, frequent: FrequentClass, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index keys of a set: its rare prefix tokens, and mixed combinations of frequent ones of the extended prefix.
 
-    tokens: sorted; frequent: sorted, the frequent class in the order of its hashes."""
+    Returns (keys, places, bounds): a key's place is that of its last token less the tokens before it in the
+    combination, so that at most size - place tokens are shared where the key is the first that is; bounds are the most
+    sets that a key can have, as far as counts tell."""
     n = len(tokens)
     p = prefix_length(n, percent)
-    at = np.searchsorted(frequent, tokens) if len(frequent) else np.zeros(n, np.int64)
-    common = (frequent[np.minimum(at, len(frequent) - 1)] == tokens) if len(frequent) else np.zeros(n, bool)
-    rare, often = tokens[~common], tokens[common]
-    keys = rare[:p]
-    if len(rare) >= p:
-        return keys
-    reach = often[: p + K - 1 - len(rare)]
-    parts = [keys, _pairs(reach)]
-    if n - p + 1 < K:  # so small that one shared token may be enough
-        parts.append(often[: p - len(rare)])
-    return np.concatenate(parts)
-
-
-def _pairs(x: np.ndarray) -> np.ndarray:
-    """One hash for each two of x, that is for K = 2."""
-    i, j = np.triu_indices(len(x), 1)
-    return _mixed(x[i] * np.uint64(0x9E3779B97F4A7C15) + _mixed(x[j]))
-
-
-def bitmap(tokens: np.ndarray) -> bytes:
-    """A bit for each token, in about BITS_PER_TOKEN bits a token: a power of two, so that a wider map folds onto a narrower."""
-    size = max(64, 1 << (BITS_PER_TOKEN * len(tokens) - 1).bit_length())
-    bits = np.zeros(size, np.uint8)
-    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
-
-
-def most_overlap(x: bytes, y: bytes, m: int, n: int) -> int:
-    """No two sets of m and n tokens with these bitmaps share more: a bit that only one has is a token that only one has."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return (m + n - int(np.bitwise_count(a ^ b).sum())) // 2
+    rare, often, counts = frequent.split(tokens)
+    head = rare[:p]
+    keys, places, bounds = [head], [np.arange(len(head))], [np.full(len(head), frequent.rest)]
+    if len(rare) < p:
+        m = min(len(often), p + K - 1 - len(rare))
+        i, j = np.triu_indices(m, 1)
+        keys.append(_mixed(often[i] * np.uint64(0x9E3779B97F4A7C15) + _mixed(often[j])))
+        places.append(len(rare) + j - 1)
+        bounds.append(np.minimum(counts[i], counts[j]))
+        if n - p + 1 < K:  # so small that one shared token may be enough
+            some = slice(0, p - len(rare))
+            keys.append(often[some])
+            places.append(len(rare) + np.arange(len(often[some])))
+            bounds.append(counts[some])
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(bounds)
 
 
 def _texts(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def _sid(tokens: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
 def summaries(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_shingles, sid (hash of the set, null for the empty set)."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, sid long").fields])
+    """doc_id, n_shingles, sid (hash of the set, null for the empty set), minima (four of its tokens, each the smallest by another order), sig."""
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, sid long, minima array<long>, sig binary").fields])
 
     def run(batches):
         hasher = WordHasher(lower=True)
         for batch in batches:
-            sets = [shingle_set(w, length) for w in hasher.texts(batch.column("text"))]
-            sids = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(sids, pa.int64())], names=schema.names)
+            sizes, sids, minima, sigs = [], [], [], []
+            for words in hasher.texts(batch.column("text")):
+                tokens = shingle_set(words, length)
+                sizes.append(len(tokens))
+                if len(tokens):
+                    other = _mixed(tokens)
+                    sids.append(_sid(tokens))
+                    minima.append(np.array([tokens[0], tokens[-1], other.min(), other.max()]).view(np.int64))
+                    sigs.append(signature(tokens))
+                else:
+                    sids.append(None)
+                    minima.append(None)
+                    sigs.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names)
 
     return _texts(docs, "doc_id").mapInArrow(run, schema)
 
 
-def frequent_tokens(docs: DataFrame, length: int) -> np.ndarray:
-    """The frequent class as a sorted array of hashes, at most LARGEST_CLASS."""
+def frequent_tokens(docs: DataFrame, length: int) -> FrequentClass:
+    """At most LARGEST_CLASS tokens."""
 
     def run(batches):
         hasher, held, n = WordHasher(lower=True), [], 0
@@ -141,123 +160,200 @@ def frequent_tokens(docs: DataFrame, length: int) -> np.ndarray:
             yield counted()
 
     counts = _texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
-    largest = counts.orderBy(F.desc("n"), "token").limit(LARGEST_CLASS).select("token").toPandas()["token"]
-    return np.sort(largest.to_numpy(np.int64).view(np.uint64))
+    largest = counts.orderBy(F.desc("n"), "token").limit(LARGEST_CLASS).toPandas()
+    return FrequentClass(largest["token"].to_numpy(np.int64).view(np.uint64), largest["n"].to_numpy(np.int64))
 
 
-def entries(docs: DataFrame, frequent: np.ndarray, length: int, percent: int) -> DataFrame:
-    """key, sid, size: the index; a set that occurs again in the same task is entered once."""
+def _index(docs: DataFrame, frequent: FrequentClass, length: int, percent: int, parts: int) -> DataFrame:
+    """key, sid, pos, salted: entries whose key another set has too (of salted keys all). Entries travel packed, one row
+    for each block of a task and part of the keys; a set that occurs again in the same task is entered once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def block(keys, sids, pos, bounds):
+        keys, sids, pos, salted = np.concatenate(keys), np.concatenate(sids), np.concatenate(pos), np.concatenate(bounds) >= CELL
+        with np.errstate(over="ignore"):
+            where = np.where(salted, _mixed(keys + sids.view(np.uint64)), keys)
+        part = (where >> np.uint64(40)) % np.uint64(parts)
+        part = part.astype(np.int64) * 2 + salted
+        order = np.argsort(part, kind="stable")
+        keys, sids, pos, part = keys[order], sids[order], pos[order], part[order]
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))).tolist()
+        spans = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (keys, sids, pos))], names=["part", "keys", "sids", "pos"])
+
     def run(batches):
-        hasher, seen = WordHasher(lower=True), set()
+        hasher, seen, n = WordHasher(lower=True), set(), 0
+        held: tuple[list, ...] = ([], [], [], [])
         for batch in batches:
-            keys, sids, sizes = [], [], []
             for words in hasher.texts(batch.column("text")):
                 tokens = shingle_set(words, length)
-                sid = xxhash.xxh64_intdigest(tokens.tobytes())
-                if not len(tokens) or sid in seen:
+                if not len(tokens) or (sid := _sid(tokens)) in seen:
                     continue
                 seen.add(sid)
-                found = keys_of(tokens, shared.value, percent)
-                keys.append(found)
-                sids.append(np.full(len(found), sid - (1 << 63), np.int64))
-                sizes.append(np.full(len(found), len(tokens), np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes))], names=["key", "sid", "size"])
-
-    return _texts(docs).mapInArrow(run, "key long, sid long, size int")
-
-
-def _bitmaps(texts: DataFrame, length: int) -> DataFrame:
-    """sid, size, bits."""
+                keys, places, bounds = keys_of(tokens, shared.value, percent)
+                for into, x in zip(held, (keys, np.full(len(keys), sid, np.int64), np.minimum(places, 0xFFFF).astype(np.uint16), bounds), strict=True):
+                    into.append(x)
+                n += len(keys)
+                if n >= BLOCK_ENTRIES:
+                    yield block(*held)
+                    held, n = ([], [], [], []), 0
+        if n:
+            yield block(*held)
+
+    def shared_keys(table: pa.Table) -> pa.Table:
+        salted = bool(table.column("part")[0].as_py() & 1)
+        keys, sids, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("sids", np.int64), ("pos", np.uint16)))
+        order = np.lexsort((sids, keys))
+        keys, sids, pos = keys[order], sids[order], pos[order]
+        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])))
+        keys, sids, pos = keys[fresh], sids[fresh], pos[fresh]
+        if not salted:
+            same = keys[1:] == keys[:-1]
+            again = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            keys, sids, pos = keys[again], sids[again], pos[again]
+        return pa.table({"key": keys.view(np.int64), "sid": sids, "pos": pos.astype(np.int32), "salted": pa.array(np.full(len(keys), salted))})
+
+    packed = _texts(docs).mapInArrow(run, "part long, keys binary, sids binary, pos binary")
+    return packed.groupBy("part").applyInArrow(shared_keys, "key long, sid long, pos int, salted boolean")
+
+
+def _cells(entries: DataFrame) -> DataFrame:
+    """Salted entries (key, sid, size, pos, root, sig) as the sides of cells that together hold every pair of entries of a
+    key of which one lies outside the key's largest component: role 1 is a share of all entries, role 2 of those outside."""
+    counts = entries.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("_main"), F.sum("count").alias("_n"), F.count("*").alias("_roots")).where("_roots > 1")
+    sides = counts.select("key", F.col("_main.root").alias("_main"), F.ceil(F.col("_n") / CELL).alias("_p"), F.ceil((F.col("_n") - F.col("_main.count")) / CELL).alias("_q"))
+    joined = entries.join(sides, "key").withColumn("_h", F.xxhash64("sid"))
+    zero = F.lit(0).cast("long")
+    all_ = joined.select("*", F.pmod("_h", "_p").alias("_x"), F.explode(F.sequence(zero, F.col("_q") - 1)).alias("_y"), F.lit(1).alias("role"))
+    outside = joined.where("root <> _main").select("*", F.pmod("_h", "_q").alias("_y"), F.explode(F.sequence(zero, F.col("_p") - 1)).alias("_x"), F.lit(2).alias("role"))
+    return all_.unionByName(outside).select(F.xxhash64("key", "_x", "_y").alias("cell"), "sid", "size", "pos", "root", "role", "sig")
+
+
+def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of sets of different components that meet in a cell and may be similar. Some stand there more than once."""
+    names = ("cell", "sid", "size", "pos", "root", "role")
 
     def run(batches):
-        hasher = WordHasher(lower=True)
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def settled(last: bool):
+            nonlocal held, rows
+            table = pa.Table.from_batches(held)
+            columns = [table.column(c).to_numpy().astype(np.int64) for c in names]
+            cut = len(table) if last else int(np.searchsorted(columns[0], columns[0][-1]))
+            sig = np.frombuffer(b"".join(table.column("sig").slice(0, cut).to_pylist()), np.uint8).reshape(cut, -1)
+            rest = table.slice(cut)
+            held, rows = rest.combine_chunks().to_batches(), len(rest)
+            for found in Entries(*(c[:cut] for c in columns), sig).pairs(percent):
+                if len(found):
+                    found = np.unique(found, axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        limit = HELD_ROWS
         for batch in batches:
-            sets = [shingle_set(w, length) for w in hasher.texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(list(map(len, sets)), pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["sid", "size", "bits"])
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= limit:
+                yield from settled(False)
+                limit = max(HELD_ROWS, 2 * rows)  # a cell that fills the hold is not gone through again for each batch
+        if rows:
+            yield from settled(True)
 
-    return texts.mapInArrow(run, "sid long, size long, bits binary")
+    dealt = cells.select(*names, "sig").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their bitmaps leave possible: equal tokens set equal bits, so that bits which differ bound the overlap."""
-    left, right = bits.select(F.col("sid").alias("a"), F.col("bits").alias("_x"), F.col("size").alias("_m")), bits.select(F.col("sid").alias("b"), F.col("bits").alias("_y"), F.col("size").alias("_n"))
+def _neighbours(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: likely pairs of sets that follow each other when all are sorted by one of their minima and then the next."""
 
     def run(batches):
+        last = None
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("_x", "_y", "_m", "_n")), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([most_overlap(x, y, m, n) >= overlap_needed(m, n, percent) for x, y, m, n in rows], pa.bool_()))
+            table = pa.Table.from_batches([batch] if last is None else [last, batch])
+            last = batch.slice(batch.num_rows - 1)
+            turn, first, sid, size = (table.column(c).to_numpy().astype(np.int64) for c in ("turn", "first", "sid", "size"))
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
+            i = np.flatnonzero((turn[1:] == turn[:-1]) & (first[1:] == first[:-1]))
+            found = Entries(first, sid, size, np.zeros(len(sid), np.int64), sid, None, sig).likely(i, i + 1, percent)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y", "_m", "_n").mapInArrow(run, "a long, b long")
+    turns = F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.col("minima")[k].alias("first"), F.col("minima")[(k + 1) % 4].alias("then")) for k in range(4))))
+    rows = sets.select("sid", "size", "narrow", turns.alias("_t")).select("_t.*", "sid", "size", F.col("narrow").alias("sig"))
+    order = ["turn", "first", "then", "sid"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
-    """The links among pairs (a, b), decided on the full sets. texts: sid, text of one document for each set."""
-    left, right = texts.select(F.col("sid").alias("a"), F.col("text").alias("_x")), texts.select(F.col("sid").alias("b"), F.col("text").alias("_y"))
+def _narrow(sets: DataFrame) -> DataFrame:
+    """sets (doc_id, sid, size, minima, sig) with narrow, the signature of fixed width."""
+    schema = T.StructType([*sets.schema.fields, T.StructField("narrow", T.BinaryType())])
 
     def run(batches):
-        hasher = WordHasher(lower=True)
         for batch in batches:
-            keep = []
-            for x, y in zip(hasher.texts(batch.column("_x")), hasher.texts(batch.column("_y")), strict=True):
-                s, t = shingle_set(x, length), shingle_set(y, length)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
-
-
-def _fit(a: str, b: str, percent: int):
-    """Sets of too different sizes can't be similar."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def near_links(docs: DataFrame, base: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between sets, enough of them to connect every two similar sets."""
-    frequent = frequent_tokens(docs, length)
-    index = materialize(entries(docs, frequent, length, percent), "index")
-    again = index.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-    entered = materialize(index.join(again.select("key"), "key").distinct(), "entered-again")
-    shared = entered.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")  # copies of one set do not count
-    buckets = materialize(entered.join(shared, "key"), "buckets")
-
-    sids = buckets.select("sid").distinct()
-    wanted = materialize(base.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sets")
-    n_wanted = wanted.count()
-    names = wanted.select("doc_id", F.col("sid").alias("_sid"))
-    named = docs.join(F.broadcast(names) if 24 * n_wanted <= BROADCAST_BYTES else names, "doc_id")
-    nameless = docs.where("doc_id IS NULL").withColumn("_sid", F.lit(0).cast("long"))
-    checked = _with_sid(named, length).where("sid = _sid").unionByName(_with_sid(nameless, length).join(sids, "sid", "left_semi"))
-    texts = materialize(checked.select("sid", "text"), "texts")
-    if texts.count() > n_wanted:  # equal ids
-        texts = materialize(texts.dropDuplicates(["sid"]), "texts")
-
-    bits = materialize(_bitmaps(texts, length), "bitmaps")
-
-    def decide(pairs: DataFrame, name: str) -> DataFrame:
-        possible = materialize(_bounded(pairs, bits, percent), f"{name}-possible")
-        needed = materialize(possible.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{name}-needed")
-        few = 16 * needed.count() <= BROADCAST_BYTES
-        return materialize(_verified(possible, texts.join(F.broadcast(needed) if few else needed, "sid", "left_semi"), length, percent), name)
-
-    # Neighbours in a hashed order of each bucket, which is dealt into parts where it is large.
-    part = F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(F.col("_n") / SUB_BUCKET).cast("long"))
-    order = Window.partitionBy("key", "_part").orderBy(F.xxhash64("sid", "key"), "sid")
-    paths = buckets.withColumn("_part", part).withColumn("_next", F.lead("sid").over(order)).withColumn("_size", F.lead("size").over(order))
-    first = decide(paths.where(F.col("_next").isNotNull() & _fit("size", "_size", percent)).select(F.least("sid", "_next").alias("a"), F.greatest("sid", "_next").alias("b")).distinct(), "first-links")
-
-    # What is left: pairs across components in a bucket, each outside the bucket's largest component against all others.
-    roots = materialize(connected(first), "roots")
-    labelled = materialize(buckets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "size", F.coalesce("root", "sid").alias("root")), "labelled")
-    counts = labelled.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("_main"), F.count("*").alias("_roots")).where("_roots > 1")
-    open_rows = materialize(labelled.join(counts.select("key", F.col("_main.root").alias("_main")), "key"), "open")
-    outside = open_rows.where("root <> _main").select("key", F.col("sid").alias("a"), F.col("size").alias("_m"), F.col("root").alias("_root"))
-    across = outside.join(open_rows, "key").where((F.col("_root") != F.col("root")) & ((F.col("root") == F.col("_main")) | (F.col("a") < F.col("sid"))) & _fit("_m", "size", percent))
-    second = decide(across.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct(), "second-links")
-    return first.unionByName(second)
+            narrow = [folded(np.frombuffer(x, np.uint8)).tobytes() for x in batch.column("sig").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(narrow, pa.binary())], names=schema.names)
+
+    return sets.mapInArrow(run, schema)
+
+
+class _Judge:
+    """Decides likely pairs: by full signatures, then by the full sets of their texts."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, length: int, percent: int, scratch: Scratch):
+        self.docs, self.sets, self.length, self.percent, self.scratch = docs, sets, length, percent, scratch
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        possible = self.scratch.keep(self._bounded(pairs.distinct()), f"{name}-possible")
+        texts = self._texts_of(possible, name)
+        found = self.scratch.keep(self._verified(possible, texts), name)
+        self.scratch.drop(possible, texts)
+        return found
+
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        left, right = (self.sets.select(F.col("sid").alias(c), F.col("sig").alias(f"_sig_{c}"), F.col("size").alias(f"_size_{c}")) for c in ("a", "b"))
+        percent = self.percent
+
+        def run(batches):
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("_sig_a", "_sig_b", "_size_a", "_size_b")), strict=True)
+                yield batch.select(["a", "b"]).filter(pa.array([(m + n - apart(x, y)) // 2 >= overlap_needed(m, n, percent) for x, y, m, n in rows], pa.bool_()))
+
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "_sig_a", "_sig_b", "_size_a", "_size_b").mapInArrow(run, "a long, b long")
+
+    def _texts_of(self, pairs: DataFrame, name: str) -> DataFrame:
+        """sid, text of one document for each set in the pairs. The ids of those documents are broadcast if they are few."""
+        sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        needed = self.scratch.keep(self.sets.join(sids, "sid").select("doc_id", F.col("sid").alias("_sid")), f"{name}-needed")
+        n, ids = needed.agg(F.count("*"), F.count("doc_id")).first()
+        wanted = needed.where("doc_id IS NOT NULL")
+        found = _with_sid(self.docs.join(F.broadcast(wanted) if ID_BYTES * n <= BROADCAST_BYTES else wanted, "doc_id"), self.length).where("sid = _sid")
+        if n > ids:
+            nameless = self.docs.where("doc_id IS NULL").withColumn("_sid", F.lit(0).cast("long"))
+            found = found.unionByName(_with_sid(nameless, self.length).join(needed.where("doc_id IS NULL").select(F.col("_sid").alias("sid")), "sid", "left_semi"))
+        texts = self.scratch.keep(found.select("sid", "text"), f"{name}-texts")
+        if texts.count() > n:  # rows with equal ids
+            once = self.scratch.keep(texts.dropDuplicates(["sid"]), f"{name}-texts")
+            self.scratch.drop(texts)
+            texts = once
+        self.scratch.drop(needed)
+        return texts
+
+    def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        left, right = texts.select(F.col("sid").alias("a"), F.col("text").alias("_x")), texts.select(F.col("sid").alias("b"), F.col("text").alias("_y"))
+        length, percent = self.length, self.percent
+
+        def run(batches):
+            hasher = WordHasher(lower=True)
+            for batch in batches:
+                keep = []
+                for x, y in zip(hasher.texts(batch.column("_x")), hasher.texts(batch.column("_y")), strict=True):
+                    s, t = shingle_set(x, length), shingle_set(y, length)
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
 def _with_sid(docs: DataFrame, length: int) -> DataFrame:
@@ -266,30 +362,53 @@ def _with_sid(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         hasher = WordHasher(lower=True)
         for batch in batches:
-            sids = [xxhash.xxh64_intdigest(shingle_set(w, length).tobytes()) - (1 << 63) for w in hasher.texts(batch.column("text"))]
+            sids = [_sid(shingle_set(w, length)) for w in hasher.texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_sid"), pa.array(sids, pa.int64()), batch.column("text")], names=["_sid", "sid", "text"])
 
     return _texts(docs, "_sid").mapInArrow(run, "_sid long, sid long, text binary")
 
 
+def near_links(docs: DataFrame, base: DataFrame, scratch: Scratch, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between sets, enough of them to connect every two similar sets. base: from summaries."""
+    once = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("minima").alias("minima"), F.first("sig").alias("sig"))
+    sets = scratch.keep(_narrow(once), "sets")
+    judge = _Judge(docs, sets, length, percent, scratch)
+    first = judge.links(_neighbours(sets, percent), "first-links")
+
+    frequent = frequent_tokens(docs, length)
+    n = sets.agg(F.sum(F.col("size") - F.ceil(percent * F.col("size") / 100) + 1)).first()[0] or 0
+    roots = connected(first)
+    known = scratch.keep(sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "size", F.coalesce("root", "sid").alias("root"), F.col("narrow").alias("sig")), "known")
+    entered = scratch.keep(_index(docs, frequent, length, percent, parts_for(n, PART_ENTRIES, 1, 1 << 22)).join(known, "sid"), "entries")
+    plain = entered.where("NOT salted").select(F.col("key").alias("cell"), "sid", "size", "pos", "root", F.lit(0).alias("role"), "sig")
+    salted = entered.where("salted")
+    cells = plain if salted.isEmpty() else plain.unionByName(_cells(salted))
+    second = judge.links(_likely_pairs(cells, percent), "second-links")
+    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.unionByName(second)
+
+
 def join_near(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    base = materialize(summaries(docs, length), "sets-of-documents")
-    roots = materialize(connected(near_links(docs, base.where("sid IS NOT NULL"), length, percent)), "components")
-    labelled = base.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
-    labelled = materialize(labelled, "labels")
-    names = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    alone = labelled.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return labelled.where("root IS NOT NULL").join(names, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    docs = docs.select("doc_id", "text")
+    with Scratch(docs.sparkSession) as scratch:
+        base = scratch.keep(summaries(docs, length), "sets-of-documents")
+        roots = connected(near_links(docs, base, scratch, length, percent))
+        labelled = scratch.keep(base.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root")), "labels")
+        names = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        alone = labelled.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return materialize(labelled.where("root IS NOT NULL").join(names, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone), "near-duplicates")
 
 
 def one_of_each(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay when each group of near duplicates keeps the document that names it.
 
-    Rows without an id stay; of several rows with one id one stays."""
-    labels = join_near(docs.select("doc_id", "text"), length, percent)
-    names = materialize(labels.where("component_id IS NOT NULL").select("component_id").distinct(), "names")
-    kept = docs.join(names, docs["doc_id"] == names["component_id"], "left_semi")
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    Rows without an id stay; of several rows with one id one stays. The ids that go are broadcast if they are few, so
+    that texts are not shuffled."""
+    labels = join_near(docs, length, percent)
+    names = labels.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
+    gone = materialize(labels.where("doc_id <> component_id").select("doc_id").distinct().join(names, "doc_id", "left_anti"), "gone")
+    kept = docs.join(F.broadcast(gone) if ID_BYTES * gone.count() <= BROADCAST_BYTES else gone, "doc_id", "left_anti")
+    if not labels.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept

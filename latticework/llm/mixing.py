@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, parts_for, ranked
+from ..plans.ordering import numbered
+from .common import WORD, materialize, parts_for
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -38,7 +39,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
     for k in range(len(weights) - 1):
         weight = F.when(position == k, F.lit(float(weights[k]))).otherwise(weight)
     order = [F.col("source").isNull(), F.col("source")]
-    capped = materialize(ranked(totals, order, "source-order", n).select("source", "source_size", "n_docs", weight.alias("w"), (F.col("source_size") * most_epochs).cast("double").alias("cap")), "weights")
+    capped = materialize(numbered(totals, order, "position", n).select("source", "source_size", "n_docs", weight.alias("w"), (F.col("source_size") * most_epochs).cast("double").alias("cap")), "weights")
     budget = (capped.agg(F.sum("source_size")).first()[0] or 0) * share_percent / 100
     # Each round fixes the sources whose share exceeds their cap; the level rises until no further source does.
     level, fixed = -1.0, -1

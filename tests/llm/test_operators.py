@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from latticework.llm import attribution, components, fingerprints, jaccard, langid, mixing, packing, quality, substrings, toxicity, wrappers
+from latticework.llm import attribution, buckets, components, fingerprints, jaccard, langid, mixing, packing, quality, substrings, toxicity, wrappers
 from latticework.llm.shingles import WordHasher
 from latticework.llm.tokens import SpanEncoder, WordEncoder
 
@@ -413,9 +413,14 @@ def near_components(rows, length, percent):
     return Counter((rows[k][0], len(sets[k]), name[k]) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize(("length", "percent", "frequent"), [(3, 90, 100), (5, 80, 100), (3, 90, 1), (2, 60, 1)])
-def test_jaccard_join(spark, docs, empty, monkeypatch, length, percent, frequent):
+@pytest.mark.parametrize(("length", "percent", "frequent", "cell"), [(3, 90, 100, 1000), (5, 80, 100, 1000), (3, 90, 1, 3), (2, 60, 1, 3)])
+def test_jaccard_join(spark, docs, empty, monkeypatch, length, percent, frequent, cell):
+    """With a small class, few entries a cell and no pairs from the sorted sets, every link comes out of split buckets."""
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    if cell < 1000:
+        monkeypatch.setattr(jaccard, "HELD_ROWS", 7)
+        monkeypatch.setattr(jaccard, "_neighbours", lambda sets, percent: sets.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0))
     rng = np.random.default_rng(3)
     rows = [(r[0], r[1]) for r in documents()]
     for k in range(40):
@@ -430,6 +435,17 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, length, percent, frequent
         assert jaccard.join_near(empty).count() == 0
 
 
+def test_signatures():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, m = rng.integers(1, 3000, 2)
+        both = rng.integers(0, min(n, m) + 1)
+        tokens = np.unique(rng.integers(0, 1 << 63, n + m - both).astype(np.uint64))
+        rng.shuffle(tokens)
+        x, y = np.sort(tokens[:n]), np.sort(tokens[n - both :])
+        assert buckets.apart(buckets.signature(x), buckets.signature(y)) <= len(np.setxor1d(x, y))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 50), (50, 70)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
