@@ -12,13 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Groups of the signature that travels with the entries of the index, and tokens a group of the full one.
-GROUPS, TOKENS_PER_GROUP = 64, 16
+GROUPS, TOKENS_PER_GROUP = 256, 2
 SIGNATURE_BYTES = GROUPS // 2
 #: Buckets up to this many entries are gone through together, by the distance of two entries.
 SMALL = 32
 #: Pairs that are looked at together.
-BLOCK_PAIRS = 1 << 19
+BLOCK_PAIRS = 1 << 16
 
+_LOWEST_BITS = np.uint64(0x1111111111111111)
 _NIBBLES = np.minimum(np.arange(16), 16 - np.arange(16))
 _APART = np.zeros((256, 256), np.uint8)
 for _x in range(256):
@@ -58,28 +59,60 @@ def overlap_needed(a, b, percent: int):
 
 
 class Entries:
-    """Columns of a stretch of the index, sorted by cell: sid, size, pos, root, role and signature of each entry."""
+    """Columns of a stretch of the index, sorted by cell: sid, size, pos, root, role and signature of each entry, and
+    `often`: of entries under a pair of frequent tokens the places in the class of all frequent tokens of the set's
+    prefix, in ascending order (bytes of int32), else None; key: the pair, as places in the class."""
 
-    def __init__(self, cell, sid, size, pos, root, role, sig):
-        self.cell, self.sid, self.size, self.pos, self.root, self.role, self.sig = cell, sid, size, pos, root, role, sig
+    def __init__(self, cell, sid, size, pos, root, role, sig, key=None, often=None):
+        self.cell, self.sid, self.size, self.pos, self.root, self.role, self.key, self.often = cell, sid, size, pos, root, role, key, often
+        self.sig, self.words = sig, np.ascontiguousarray(sig).view(np.uint64)
 
     def likely(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
         """Pairs (a, b) of sids, a < b, of those entries that are of two components and may be similar.
 
         A pair is looked at as if the key were its first common one: nothing before it is shared, and no more after it
-        than the shorter rest. At the first common key this is true, so a similar pair passes there.
+        than the shorter rest. At the first common key this is true, so a similar pair passes there. Under pairs of
+        frequent tokens, of which copies share many, it passes at the first common pair only.
         """
         m, n = self.size[i], self.size[j]
         ok = (self.root[i] != self.root[j]) & (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent)
+        ok &= np.minimum(m - self.pos[i], n - self.pos[j]) >= overlap_needed(m, n, percent)
         i, j = i[ok], j[ok]
-        m, n = self.size[i], self.size[j]
-        ok = np.minimum(m - self.pos[i], n - self.pos[j]) >= overlap_needed(m, n, percent)
+        alone = self.size[i] + self.size[j]
+        alone -= 2 * overlap_needed(alone, 0, percent)  # the most tokens that just one of them may have
+        ok = np.bitwise_count((self.words[i] ^ self.words[j]) & _LOWEST_BITS).sum(axis=1, dtype=np.int64) <= alone
+        i, j, alone = i[ok], j[ok], alone[ok]
+        ok = _APART[self.sig[i], self.sig[j]].sum(axis=1, dtype=np.int64) <= alone
         i, j = i[ok], j[ok]
-        m, n = self.size[i], self.size[j]
-        ok = (m + n - _APART[self.sig[i], self.sig[j]].sum(axis=1, dtype=np.int64)) // 2 >= overlap_needed(m, n, percent)
-        a, b = self.sid[i[ok]], self.sid[j[ok]]
+        if self.often is not None and len(i):
+            ok = self.first_shared(i, j)
+            i, j = i[ok], j[ok]
+        a, b = self.sid[i], self.sid[j]
         return np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1)
 
+    def first_shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """False where the two sets of a pair share an earlier pair of frequent tokens than the one they meet under."""
+        out = np.ones(len(i), bool)
+        under = np.flatnonzero(np.array([self.often[k] is not None for k in i.tolist()], bool))
+        if not len(under):
+            return out
+        rows, at = np.unique(np.concatenate((i[under], j[under])), return_inverse=True)
+        lists = [np.frombuffer(self.often[k], np.int32) for k in rows.tolist()]
+        wide = max(map(len, lists))
+        padded = np.full((len(rows), wide), -1, np.int32)
+        for row, x in zip(padded, lists, strict=True):
+            row[: len(x)] = x
+        x, y = at[: len(under)], at[len(under) :]
+        step = max(1, (1 << 24) // (wide * wide))
+        for k in range(0, len(under), step):
+            left, right = padded[x[k : k + step]], padded[y[k : k + step]]
+            both = (left[:, :, None] == right[:, None, :]).any(axis=2) & (left >= 0)
+            order = np.cumsum(both, axis=1)
+            first = np.where(both & (order == 1), left, 0).sum(axis=1, dtype=np.int64)
+            second = np.where(both & (order == 2), left, 0).sum(axis=1, dtype=np.int64)
+            out[under[k : k + step]] = (first << 32 | second) == self.key[i[under[k : k + step]]]
+        return out
+
     def pairs(self, percent: int) -> Iterator[np.ndarray]:
         """Likely pairs of the whole cells that are held here, block by block.
 

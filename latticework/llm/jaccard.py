@@ -61,45 +61,46 @@ class FrequentClass:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         by_token = np.argsort(tokens)
         self.tokens, self.counts = tokens[by_token], counts[by_token]
+        in_order = np.lexsort((self.tokens, self.counts))
         self.rank = np.empty(len(tokens), np.int64)
-        self.rank[np.lexsort((self.tokens, self.counts))] = np.arange(len(tokens))
+        self.rank[in_order] = np.arange(len(tokens))
+        self._count = self.counts[in_order]
         #: What a token outside the class may count.
         self.rest = int(counts.min()) if len(tokens) >= LARGEST_CLASS else FREQUENT
 
-    def split(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rare tokens, frequent ones in their order, the counts of these)."""
+    def counts_of(self, ranks: np.ndarray) -> np.ndarray:
+        return self._count[ranks]
+
+    def split(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rare tokens, places in the class of the frequent ones, ascending)."""
         if not len(self.tokens):
-            return tokens, tokens[:0], np.zeros(0, np.int64)
+            return tokens, np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
         common = self.tokens[at] == tokens
-        at = at[common]
-        at = at[np.argsort(self.rank[at])]
-        return tokens[~common], self.tokens[at], self.counts[at]
+        return tokens[~common], np.sort(self.rank[at[common]])
 
 
-def keys_of(tokens: np.ndarray, frequent: FrequentClass, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of a set: its rare prefix tokens, and mixed combinations of frequent ones of the extended prefix.
+def keys_of(tokens: np.ndarray, frequent: FrequentClass, percent: int) -> tuple[tuple, tuple, np.ndarray]:
+    """Index keys of a set: single tokens, rare ones of the prefix and frequent ones of sets too small for combinations, and
+    combinations of the places in the class of frequent tokens of the extended prefix.
 
-    Returns (keys, places, bounds): a key's place is that of its last token less the tokens before it in the
-    combination, so that at most size - place tokens are shared where the key is the first that is; bounds are the most
-    sets that a key can have, as far as counts tell."""
+    Returns (keys, places, bounds) of single tokens, the same of combinations, and the places in the class that are
+    combined. A key's place is that of its last token less the tokens before it in the combination, so that at most
+    size - place tokens are shared where the key is the first that is; bounds are the most sets that a key can have, as
+    far as counts tell."""
     n = len(tokens)
     p = prefix_length(n, percent)
-    rare, often, counts = frequent.split(tokens)
+    rare, often = frequent.split(tokens)
     head = rare[:p]
-    keys, places, bounds = [head], [np.arange(len(head))], [np.full(len(head), frequent.rest)]
-    if len(rare) < p:
-        m = min(len(often), p + K - 1 - len(rare))
-        i, j = np.triu_indices(m, 1)
-        keys.append(_mixed(often[i] * np.uint64(0x9E3779B97F4A7C15) + _mixed(often[j])))
-        places.append(len(rare) + j - 1)
-        bounds.append(np.minimum(counts[i], counts[j]))
-        if n - p + 1 < K:  # so small that one shared token may be enough
-            some = slice(0, p - len(rare))
-            keys.append(often[some])
-            places.append(len(rare) + np.arange(len(often[some])))
-            bounds.append(counts[some])
-    return np.concatenate(keys), np.concatenate(places), np.concatenate(bounds)
+    single = head, np.arange(len(head)), np.full(len(head), frequent.rest)
+    reach = often[: p + K - 1 - len(rare)] if len(rare) < p else often[:0]
+    i, j = np.triu_indices(len(reach), 1)
+    counts = frequent.counts_of(reach)
+    pairs = (reach[i] << 32 | reach[j]).view(np.uint64), len(rare) + j - 1, counts[i]  # the first of two is the rarer
+    if len(reach) and n - p + 1 < K:  # so small that one shared token may be enough
+        some = slice(0, p - len(rare))
+        single = tuple(np.concatenate(x) for x in zip(single, (_mixed(reach[some].astype(np.uint64)), len(rare) + np.arange(len(reach[some])), counts[some]), strict=True))
+    return single, pairs, reach.astype(np.int32)
 
 
 def _texts(docs: DataFrame, *columns) -> DataFrame:
@@ -165,44 +166,55 @@ def frequent_tokens(docs: DataFrame, length: int) -> FrequentClass:
 
 
 def _index(docs: DataFrame, frequent: FrequentClass, length: int, percent: int, parts: int) -> DataFrame:
-    """key, sid, pos, salted: entries whose key another set has too (of salted keys all). Entries travel packed, one row
-    for each block of a task and part of the keys; a set that occurs again in the same task is entered once."""
+    """key, sid, pos, often, salted: entries whose key another set has too (of salted keys all). Entries travel packed, one
+    row for each block of a task and part of the keys; a set that occurs again in the same task is entered once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def block(keys, sids, pos, bounds):
-        keys, sids, pos, salted = np.concatenate(keys), np.concatenate(sids), np.concatenate(pos), np.concatenate(bounds) >= CELL
+    def packed(which: list, paired: bool, lists: dict):
+        keys, sids, pos, bounds = (np.concatenate(x) for x in zip(*which, strict=True))
+        salted = bounds >= CELL
         with np.errstate(over="ignore"):
-            where = np.where(salted, _mixed(keys + sids.view(np.uint64)), keys)
-        part = (where >> np.uint64(40)) % np.uint64(parts)
-        part = part.astype(np.int64) * 2 + salted
+            part = (_mixed(np.where(salted, _mixed(keys) + sids.view(np.uint64), keys)) >> np.uint64(20)) % np.uint64(parts)
+        part = part.astype(np.int64) * 4 + 2 * paired + salted
         order = np.argsort(part, kind="stable")
         keys, sids, pos, part = keys[order], sids[order], pos[order], part[order]
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))).tolist()
-        spans = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (keys, sids, pos))], names=["part", "keys", "sids", "pos"])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            names = np.unique(sids[a:b]).tolist() if paired else []
+            yield int(part[a]), keys[a:b].tobytes(), sids[a:b].tobytes(), pos[a:b].tobytes(), names, [lists[x] for x in names]
+
+    def block(single: list, pairs: list, lists: dict):
+        rows = [*packed(single, False, lists), *(packed(pairs, True, lists) if pairs else ())]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "keys", "sids", "pos", "names", "lists"])
 
     def run(batches):
         hasher, seen, n = WordHasher(lower=True), set(), 0
-        held: tuple[list, ...] = ([], [], [], [])
+        held: tuple[list, list, dict] = ([], [], {})
         for batch in batches:
             for words in hasher.texts(batch.column("text")):
                 tokens = shingle_set(words, length)
                 if not len(tokens) or (sid := _sid(tokens)) in seen:
                     continue
                 seen.add(sid)
-                keys, places, bounds = keys_of(tokens, shared.value, percent)
-                for into, x in zip(held, (keys, np.full(len(keys), sid, np.int64), np.minimum(places, 0xFFFF).astype(np.uint16), bounds), strict=True):
-                    into.append(x)
-                n += len(keys)
+                *found, reach = keys_of(tokens, shared.value, percent)
+                for into, (keys, places, bounds) in zip(held[:2], found, strict=True):
+                    if len(keys):
+                        into.append((keys, np.full(len(keys), sid, np.int64), np.minimum(places, 0xFFFF).astype(np.uint16), bounds))
+                        n += len(keys)
+                if len(found[1][0]):
+                    held[2][sid] = reach.tobytes()
                 if n >= BLOCK_ENTRIES:
                     yield block(*held)
-                    held, n = ([], [], [], []), 0
+                    held, n = ([], [], {}), 0
         if n:
             yield block(*held)
 
     def shared_keys(table: pa.Table) -> pa.Table:
-        salted = bool(table.column("part")[0].as_py() & 1)
+        part = table.column("part")[0].as_py()
+        paired, salted = bool(part & 2), bool(part & 1)
         keys, sids, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("sids", np.int64), ("pos", np.uint16)))
+        lists = {k: v for names, values in zip(table.column("names").to_pylist(), table.column("lists").to_pylist(), strict=True) for k, v in zip(names, values, strict=True)} if paired else {}
         order = np.lexsort((sids, keys))
         keys, sids, pos = keys[order], sids[order], pos[order]
         fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])))
@@ -211,14 +223,15 @@ def _index(docs: DataFrame, frequent: FrequentClass, length: int, percent: int,
             same = keys[1:] == keys[:-1]
             again = np.concatenate((same, [False])) | np.concatenate(([False], same))
             keys, sids, pos = keys[again], sids[again], pos[again]
-        return pa.table({"key": keys.view(np.int64), "sid": sids, "pos": pos.astype(np.int32), "salted": pa.array(np.full(len(keys), salted))})
+        often = pa.array([lists[x] for x in sids.tolist()] if paired else [None] * len(sids), pa.binary())
+        return pa.table({"key": keys.view(np.int64), "sid": sids, "pos": pos.astype(np.int32), "often": often, "salted": pa.array(np.full(len(keys), salted))})
 
-    packed = _texts(docs).mapInArrow(run, "part long, keys binary, sids binary, pos binary")
-    return packed.groupBy("part").applyInArrow(shared_keys, "key long, sid long, pos int, salted boolean")
+    rows = _texts(docs).mapInArrow(run, "part long, keys binary, sids binary, pos binary, names array<long>, lists array<binary>")
+    return rows.groupBy("part").applyInArrow(shared_keys, "key long, sid long, pos int, often binary, salted boolean")
 
 
 def _cells(entries: DataFrame) -> DataFrame:
-    """Salted entries (key, sid, size, pos, root, sig) as the sides of cells that together hold every pair of entries of a
+    """Salted entries (key, sid, size, pos, often, root, sig) as the sides of cells that together hold every pair of entries of a
     key of which one lies outside the key's largest component: role 1 is a share of all entries, role 2 of those outside."""
     counts = entries.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("_main"), F.sum("count").alias("_n"), F.count("*").alias("_roots")).where("_roots > 1")
     sides = counts.select("key", F.col("_main.root").alias("_main"), F.ceil(F.col("_n") / CELL).alias("_p"), F.ceil((F.col("_n") - F.col("_main.count")) / CELL).alias("_q"))
@@ -226,12 +239,12 @@ def _cells(entries: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     all_ = joined.select("*", F.pmod("_h", "_p").alias("_x"), F.explode(F.sequence(zero, F.col("_q") - 1)).alias("_y"), F.lit(1).alias("role"))
     outside = joined.where("root <> _main").select("*", F.pmod("_h", "_q").alias("_y"), F.explode(F.sequence(zero, F.col("_p") - 1)).alias("_x"), F.lit(2).alias("role"))
-    return all_.unionByName(outside).select(F.xxhash64("key", "_x", "_y").alias("cell"), "sid", "size", "pos", "root", "role", "sig")
+    return all_.unionByName(outside).select(F.xxhash64("key", "_x", "_y").alias("cell"), "key", "sid", "size", "pos", "often", "root", "role", "sig")
 
 
 def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of sets of different components that meet in a cell and may be similar. Some stand there more than once."""
-    names = ("cell", "sid", "size", "pos", "root", "role")
+    names = ("cell", "sid", "size", "pos", "root", "role", "key")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -243,9 +256,11 @@ def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
             columns = [table.column(c).to_numpy().astype(np.int64) for c in names]
             cut = len(table) if last else int(np.searchsorted(columns[0], columns[0][-1]))
             sig = np.frombuffer(b"".join(table.column("sig").slice(0, cut).to_pylist()), np.uint8).reshape(cut, -1)
+            often = table.column("often").slice(0, cut)
             rest = table.slice(cut)
             held, rows = rest.combine_chunks().to_batches(), len(rest)
-            for found in Entries(*(c[:cut] for c in columns), sig).pairs(percent):
+            *columns, key = (c[:cut] for c in columns)
+            for found in Entries(*columns, sig, key, often.to_pylist() if often.null_count < cut else None).pairs(percent):
                 if len(found):
                     found = np.unique(found, axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
@@ -260,7 +275,7 @@ def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield from settled(True)
 
-    dealt = cells.select(*names, "sig").repartition("cell").sortWithinPartitions("cell")
+    dealt = cells.select(*names, "often", "sig").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -380,7 +395,7 @@ def near_links(docs: DataFrame, base: DataFrame, scratch: Scratch, length: int =
     roots = connected(first)
     known = scratch.keep(sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "size", F.coalesce("root", "sid").alias("root"), F.col("narrow").alias("sig")), "known")
     entered = scratch.keep(_index(docs, frequent, length, percent, parts_for(n, PART_ENTRIES, 1, 1 << 22)).join(known, "sid"), "entries")
-    plain = entered.where("NOT salted").select(F.col("key").alias("cell"), "sid", "size", "pos", "root", F.lit(0).alias("role"), "sig")
+    plain = entered.where("NOT salted").select(F.col("key").alias("cell"), "key", "sid", "size", "pos", "often", "root", F.lit(0).alias("role"), "sig")
     salted = entered.where("salted")
     cells = plain if salted.isEmpty() else plain.unionByName(_cells(salted))
     second = judge.links(_likely_pairs(cells, percent), "second-links")

@@ -413,7 +413,7 @@ def near_components(rows, length, percent):
     return Counter((rows[k][0], len(sets[k]), name[k]) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize(("length", "percent", "frequent", "cell"), [(3, 90, 100, 1000), (5, 80, 100, 1000), (3, 90, 1, 3), (2, 60, 1, 3)])
+@pytest.mark.parametrize(("length", "percent", "frequent", "cell"), [(3, 90, 100, 1000), (5, 80, 100, 1000), (3, 90, 1, 3), (5, 80, 2, 1000), (2, 60, 1, 3)])
 def test_jaccard_join(spark, docs, empty, monkeypatch, length, percent, frequent, cell):
     """With a small class, few entries a cell and no pairs from the sorted sets, every link comes out of split buckets."""
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
