@@ -10,8 +10,8 @@ than once in a block of documents are summed over the blocks, and the LARGEST_CL
 the class; any class gives the same links, the counts only make buckets small.
 
 A bucket (the sets under one token or combination) is never expanded into pairs. Before the index is made, sets are
-sorted by minima of their tokens, several times over, and each is compared with its successor, which costs as many
-comparisons as there are sets and merges most copies into components. Of a bucket only entries of different components
+sorted by minima of their tokens, several times over, and each is compared with its successor, and then with REACH of
+them if these are not of its component yet; that costs a fixed number of comparisons a set and merges most copies. Of a bucket only entries of different components
 are paired, and of these only those whose sizes, places and signatures (counts of tokens by group, see buckets.py) leave
 the similarity possible; full signatures and then the full sets decide. The index travels packed, by key; keys that
 only one set has end there, and signatures join what is left. Keys whose bucket may be large (by the counts of the
@@ -45,6 +45,8 @@ K = 2
 BLOCK_DOCS, BLOCK_ENTRIES, PART_ENTRIES = 10_000, 500_000, 400_000
 #: Entries of a key that may be as many as this or more are salted, and their buckets cut into cells of this many a side.
 CELL = 1000
+#: Successors in each sorted order that a set is compared with once its next ones are merged.
+REACH = 16
 #: Rows of the index that are held while cells are gone through (and the rest of the last cell).
 HELD_ROWS = 100_000
 #: Ids are broadcast up to this many bytes, at ID_BYTES each; beyond, both sides are shuffled.
@@ -279,23 +281,26 @@ def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _neighbours(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: likely pairs of sets that follow each other when all are sorted by one of their minima and then the next."""
+def _neighbours(sets: DataFrame, percent: int, reach: int) -> DataFrame:
+    """a, b: likely pairs of sets of different components among each set and the `reach` sets that follow it when all are
+    sorted by one of their minima and then the next. sets: sid, size, root, sig."""
 
     def run(batches):
         last = None
         for batch in batches:
-            table = pa.Table.from_batches([batch] if last is None else [last, batch])
-            last = batch.slice(batch.num_rows - 1)
-            turn, first, sid, size = (table.column(c).to_numpy().astype(np.int64) for c in ("turn", "first", "sid", "size"))
+            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            last = table.slice(max(0, len(table) - reach)).to_batches()[0]
+            turn, first, sid, size, root = (table.column(c).to_numpy().astype(np.int64) for c in ("turn", "first", "sid", "size", "root"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
-            i = np.flatnonzero((turn[1:] == turn[:-1]) & (first[1:] == first[:-1]))
-            found = Entries(first, sid, size, np.zeros(len(sid), np.int64), sid, None, sig).likely(i, i + 1, percent)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            entries = Entries(first, sid, size, np.zeros(len(sid), np.int64), root, None, sig)
+            for off in range(1, min(reach, len(table) - 1) + 1):
+                i = np.flatnonzero((turn[off:] == turn[:-off]) & (first[off:] == first[:-off]))
+                found = entries.likely(i, i + off, percent)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     turns = F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.col("minima")[k].alias("first"), F.col("minima")[(k + 1) % 4].alias("then")) for k in range(4))))
-    rows = sets.select("sid", "size", "narrow", turns.alias("_t")).select("_t.*", "sid", "size", F.col("narrow").alias("sig"))
+    rows = sets.select("sid", "size", "root", "sig", turns.alias("_t")).select("_t.*", "sid", "size", "root", "sig")
     order = ["turn", "first", "then", "sid"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
@@ -388,19 +393,26 @@ def near_links(docs: DataFrame, base: DataFrame, scratch: Scratch, length: int =
     once = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("minima").alias("minima"), F.first("sig").alias("sig"))
     sets = scratch.keep(_narrow(once), "sets")
     judge = _Judge(docs, sets, length, percent, scratch)
-    first = judge.links(_neighbours(sets, percent), "first-links")
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        joined = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+        return scratch.keep(joined.select("sid", "size", F.coalesce("root", "sid").alias("root"), F.col("narrow").alias("sig"), "minima"), "known")
+
+    def stars(roots: DataFrame) -> DataFrame:
+        return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    alone = sets.select("sid", "size", F.col("sid").alias("root"), F.col("narrow").alias("sig"), "minima")
+    roots = connected(judge.links(_neighbours(alone, percent, 1), "next-links"))
+    roots = connected(stars(roots).unionByName(judge.links(_neighbours(rooted(roots), percent, REACH), "near-links")))
+    known = rooted(roots)
 
     frequent = frequent_tokens(docs, length)
     n = sets.agg(F.sum(F.col("size") - F.ceil(percent * F.col("size") / 100) + 1)).first()[0] or 0
-    roots = connected(first)
-    known = scratch.keep(sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "size", F.coalesce("root", "sid").alias("root"), F.col("narrow").alias("sig")), "known")
-    entered = scratch.keep(_index(docs, frequent, length, percent, parts_for(n, PART_ENTRIES, 1, 1 << 22)).join(known, "sid"), "entries")
+    entered = scratch.keep(_index(docs, frequent, length, percent, parts_for(n, PART_ENTRIES, 1, 1 << 22)).join(known.drop("minima"), "sid"), "entries")
     plain = entered.where("NOT salted").select(F.col("key").alias("cell"), "key", "sid", "size", "pos", "often", "root", F.lit(0).alias("role"), "sig")
     salted = entered.where("salted")
     cells = plain if salted.isEmpty() else plain.unionByName(_cells(salted))
-    second = judge.links(_likely_pairs(cells, percent), "second-links")
-    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return stars.unionByName(second)
+    return stars(roots).unionByName(judge.links(_likely_pairs(cells, percent), "last-links"))
 
 
 def join_near(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

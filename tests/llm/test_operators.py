@@ -420,7 +420,7 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, length, percent, frequent
     monkeypatch.setattr(jaccard, "CELL", cell)
     if cell < 1000:
         monkeypatch.setattr(jaccard, "HELD_ROWS", 7)
-        monkeypatch.setattr(jaccard, "_neighbours", lambda sets, percent: sets.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0))
+        monkeypatch.setattr(jaccard, "_neighbours", lambda sets, *_: sets.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0))
     rng = np.random.default_rng(3)
     rows = [(r[0], r[1]) for r in documents()]
     for k in range(40):
