@@ -16,8 +16,8 @@ GROUPS, TOKENS_PER_GROUP = 256, 2
 SIGNATURE_BYTES = GROUPS // 2
 #: Buckets up to this many entries are gone through together, by the distance of two entries.
 SMALL = 32
-#: Pairs that are looked at together.
-BLOCK_PAIRS = 1 << 16
+#: Pairs that are looked at together, and of these signatures that are summed together.
+BLOCK_PAIRS, BLOCK_SUMS = 1 << 16, 1 << 12
 
 _LOWEST_BITS = np.uint64(0x1111111111111111)
 _NIBBLES = np.minimum(np.arange(16), 16 - np.arange(16))
@@ -82,7 +82,10 @@ class Entries:
         alone -= 2 * overlap_needed(alone, 0, percent)  # the most tokens that just one of them may have
         ok = np.bitwise_count((self.words[i] ^ self.words[j]) & _LOWEST_BITS).sum(axis=1, dtype=np.int64) <= alone
         i, j, alone = i[ok], j[ok], alone[ok]
-        ok = _APART[self.sig[i], self.sig[j]].sum(axis=1, dtype=np.int64) <= alone
+        ok = np.ones(len(i), bool)
+        for k in range(0, len(i), BLOCK_SUMS):
+            block = slice(k, k + BLOCK_SUMS)
+            ok[block] = _APART[self.sig[i[block]], self.sig[j[block]]].sum(axis=1, dtype=np.int64) <= alone[block]
         i, j = i[ok], j[ok]
         if self.often is not None and len(i):
             ok = self.first_shared(i, j)
@@ -103,7 +106,7 @@ class Entries:
         for row, x in zip(padded, lists, strict=True):
             row[: len(x)] = x
         x, y = at[: len(under)], at[len(under) :]
-        step = max(1, (1 << 24) // (wide * wide))
+        step = max(1, (1 << 22) // (wide * wide))
         for k in range(0, len(under), step):
             left, right = padded[x[k : k + step]], padded[y[k : k + step]]
             both = (left[:, :, None] == right[:, None, :]).any(axis=2) & (left >= 0)

@@ -41,14 +41,14 @@ PERCENT = 80
 #: Tokens of more documents than this are frequent; the class that is handed to every task is bounded by its largest tokens.
 FREQUENT, LARGEST_CLASS = 100, 1 << 20
 K = 2
-#: Documents whose tokens are counted together; entries of the index that are packed together, and that a part of it is planned for.
-BLOCK_DOCS, BLOCK_ENTRIES, PART_ENTRIES = 10_000, 500_000, 400_000
+#: Tokens that are counted together; entries of the index that are packed together, and that a part of it is planned for.
+BLOCK_TOKENS, BLOCK_ENTRIES, PART_ENTRIES = 3_000_000, 200_000, 250_000
 #: Entries of a key that may be as many as this or more are salted, and their buckets cut into cells of this many a side.
 CELL = 1000
 #: Successors in each sorted order that a set is compared with once its next ones are merged.
 REACH = 16
 #: Rows of the index that are held while cells are gone through (and the rest of the last cell).
-HELD_ROWS = 100_000
+HELD_ROWS = 50_000
 #: Ids are broadcast up to this many bytes, at ID_BYTES each; beyond, both sides are shuffled.
 BROADCAST_BYTES, ID_BYTES = 32 << 20, 64
 
@@ -154,11 +154,12 @@ def frequent_tokens(docs: DataFrame, length: int) -> FrequentClass:
             return pa.RecordBatch.from_arrays([pa.array(tokens[starts[keep]].view(np.int64)), pa.array(counts[keep])], names=["token", "n"])
 
         for batch in batches:
-            held += [shingle_set(w, length) for w in hasher.texts(batch.column("text"))]
-            n += batch.num_rows
-            if n >= BLOCK_DOCS:
-                yield counted()
-                n = 0
+            for words in hasher.texts(batch.column("text")):
+                held.append(shingle_set(words, length))
+                n += len(held[-1])
+                if n >= BLOCK_TOKENS:
+                    yield counted()
+                    n = 0
         if held:
             yield counted()
 
