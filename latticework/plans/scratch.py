@@ -8,7 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go as soon as it stands, for it is read from then on, and batches handed to
+#: Python are bounded by their bytes, since texts can be long.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,23 +26,24 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession):
-    """Shuffle files of what runs inside go as soon as it has been written, for it is read from its table from then on."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_dropped(spark):
+    with _settings(spark, WHILE_WRITING):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
