@@ -131,7 +131,8 @@ def random(spark: SparkSession, m: int, n: int, density: float = 0.01, format: s
         step += 1
     begin = int(rng.integers(0, max(1, cells)))
     number = F.pmod(F.col("id").cast("decimal(38,0)") * F.lit(step).cast("decimal(19,0)") + F.lit(begin), F.lit(max(1, cells)).cast("decimal(19,0)")).cast("long")
-    rows = spark.range(count).withColumn("c", number).select(F.floor(F.col("c") / n).cast("long").alias("i") if cells < 1 << 52 else F.expr(f"c div {n}").alias("i"), (F.col("c") % n).alias("j"), F.rand(seed).cast(num.spark_type(dtype)).alias("v"))
+    uniform = F.shiftrightunsigned(F.xxhash64("c", F.lit(seed)), 11) / F.lit(float(1 << 53))  # of the cell, however rows are dealt
+    rows = spark.range(count).withColumn("c", number).select(F.floor(F.col("c") / n).cast("long").alias("i") if cells < 1 << 52 else F.expr(f"c div {n}").alias("i"), (F.col("c") % n).alias("j"), uniform.cast(num.spark_type(dtype)).alias("v"))
     return SparseMatrix(rows, (m, n), dtype, format)
 
 
@@ -144,16 +145,15 @@ def poisson2d(spark: SparkSession, n: int) -> SparseMatrix:
 
 
 def rotated_diffusion(spark: SparkSession, n: int, epsilon: float = 1.0, theta: float = 0.0) -> SparseMatrix:
-    """Nine-point finite elements for diffusion that is epsilon times weaker across the direction theta."""
-    c, s = np.cos(theta), np.sin(theta)
-    cc, ss, cs = c * c, s * s, c * s
-    corner = ((-1 * epsilon - 1) * cc + (-1 * epsilon - 1) * ss + (3 * epsilon - 3) * cs) / 6
-    other = ((-1 * epsilon - 1) * cc + (-1 * epsilon - 1) * ss + (-3 * epsilon + 3) * cs) / 6
-    north = ((2 * epsilon - 4) * cc + (-4 * epsilon + 2) * ss) / 6
-    west = ((-4 * epsilon + 2) * cc + (2 * epsilon - 4) * ss) / 6
-    centre = ((8 * epsilon + 8) * cc + (8 * epsilon + 8) * ss) / 6
-    weights = {(-1, -1): corner, (-1, 0): north, (-1, 1): other, (0, -1): west, (0, 0): centre, (0, 1): west, (1, -1): other, (1, 0): north, (1, 1): corner}
-    return stencil(spark, {k: float(v) for k, v in weights.items()}, n)
+    """Bilinear finite elements on a square grid for diffusion that is epsilon times weaker across the direction theta.
+
+    The tensor is diag(1, epsilon) turned by theta. With the one-dimensional stiffness K and mass M of hat functions its
+    diagonal entries weigh K x M and M x K; the mixed one weighs the two products of first derivatives, -ab / 4 each."""
+    turn = np.array([[np.cos(theta), -np.sin(theta)], [np.sin(theta), np.cos(theta)]])
+    tensor = turn @ np.diag([1.0, epsilon]) @ turn.T
+    stiffness, mass = {-1: -1.0, 0: 2.0, 1: -1.0}, {-1: 1 / 6, 0: 4 / 6, 1: 1 / 6}
+    weights = {(a, b): float(tensor[0, 0] * stiffness[a] * mass[b] + tensor[1, 1] * mass[a] * stiffness[b] - tensor[0, 1] * a * b / 2) for a in stiffness for b in stiffness}
+    return stencil(spark, weights, n)
 
 
 def stencil(spark: SparkSession, weights: dict[tuple[int, int], float], n: int) -> SparseMatrix:

@@ -406,7 +406,7 @@ def rk_stage(spark, d):
 
 # Solvers, with closed answers
 
-SIDE = 5
+SIDE = 12
 TRUE_X = f"SELECT i, (i % 7 + 1)::DOUBLE AS x FROM (SELECT unnest(range({SIDE * SIDE})) AS i)"
 
 
@@ -422,7 +422,7 @@ def _solution(x: Vector) -> DataFrame:
 
 @register(TRUE_X)
 def cg(spark, d):
-    return _solution(linalg.cg(*_system(spark), conv_test_iters=5)[0])
+    return _solution(linalg.cg(*_system(spark), tol=1e-6, conv_test_iters=5)[0])
 
 
 @register(TRUE_X)

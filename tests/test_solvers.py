@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from latticework.operators import construct
-from latticework.solvers import graphs, integrate, linalg, quantum
+from latticework.solvers import graphs, integrate, linalg, multigrid, quantum
 
 from .test_matrix import sample, sparse, values
 
@@ -20,6 +21,37 @@ def test_krylov(spark):
     assert np.allclose(values(linalg.gmres(m, b, tol=1e-9)[0]), x, atol=1e-4)
 
 
+def test_long_krylov(spark):
+    a = construct.poisson2d(spark, 5)
+    x = np.arange(25.0) % 7 + 1
+    b = a @ construct.vector(spark, x)
+    assert np.allclose(values(linalg.spsolve(a, b)), x)
+    got, steps = linalg.cg(a, b, tol=0.0, maxiter=60)
+    assert np.allclose(values(got), x) and steps < 60
+    assert np.allclose(values(linalg.cgs(a, b, tol=1e-8)), x, atol=1e-5)
+    assert np.allclose(values(linalg.bicg(a, b, tol=1e-8)), x, atol=1e-5)
+    with pytest.raises(RuntimeError):
+        linalg.spsolve(construct.diags(spark, [[1.0, -1.0, 0.0]], [0], (3, 3)), construct.vector(spark, [1.0, 1.0, 1.0]))
+
+
+def test_multigrid(spark):
+    a = construct.poisson2d(spark, 8)
+    x = np.arange(64.0) % 5 + 1
+    b = a @ construct.vector(spark, x)
+    for levels in (multigrid.geometric(spark, a, 8, coarsest=20), multigrid.algebraic(a, coarsest=20)):
+        assert len(levels) > 1
+        got, steps = linalg.cg(a, b, tol=1e-8, M=multigrid.preconditioner(levels), conv_test_iters=1)
+        assert np.allclose(values(got), x) and steps < 25
+
+
+def test_rotated_diffusion(spark):
+    def dense(*of):
+        return construct.rotated_diffusion(spark, 3, *of).df.toPandas().pivot(index="i", columns="j", values="v").fillna(0).to_numpy()
+
+    assert np.allclose(dense(1.0, 0.0)[4], dense(1.0, 0.7)[4]) and np.allclose(dense(0.1, 0.4)[4].sum(), 0)
+    assert np.allclose(dense(0.0, 0.0)[4].reshape(3, 3), np.outer([-1, 2, -1], [1, 4, 1]) / 6)
+
+
 def test_least_squares(spark):
     a = sample(9, 4) + np.eye(9, 4)
     b = np.arange(9.0)
