@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .buckets import Entries, apart, folded, overlap_needed, signature
 from .common import Scratch, materialize, parts_for
 from .components import connected
-from .shingles import WordHasher, _mixed, shingle_set
+from .shingles import WordHasher, _mixed, released, shingle_set
 
 SHINGLE = 5
 PERCENT = 80
@@ -162,6 +162,7 @@ def frequent_tokens(docs: DataFrame, length: int) -> FrequentClass:
                     n = 0
         if held:
             yield counted()
+        released()
 
     counts = _texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
     largest = counts.orderBy(F.desc("n"), "token").limit(LARGEST_CLASS).toPandas()
@@ -212,6 +213,8 @@ def _index(docs: DataFrame, frequent: FrequentClass, length: int, percent: int,
                     held, n = ([], [], {}), 0
         if n:
             yield block(*held)
+        del held, seen, hasher
+        released()
 
     def shared_keys(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -277,6 +280,7 @@ def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
                 limit = max(HELD_ROWS, 2 * rows)  # a cell that fills the hold is not gone through again for each batch
         if rows:
             yield from settled(True)
+        released()
 
     dealt = cells.select(*names, "often", "sig").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "a long, b long")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, parts_for
-from .shingles import WordHasher, window_hashes
+from .shingles import WordHasher, released, window_hashes
 
 LENGTH = 13
 SHORTEST = 8
@@ -170,6 +170,8 @@ def _entries(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                     held, words_held, block_id = {"windows": [], "orders": [], "rows": []}, 0, block_id + 1
         if held["rows"]:
             yield block(held, block_id)
+        del held
+        released()
 
     return docs.mapInArrow(run, _ENTRIES)
 
@@ -206,6 +208,7 @@ def _answers(entries: DataFrame, last: bool) -> DataFrame:
         order, starts, ends = runs(b)
         b, r, p = b[order], r[order], p[order]
         cut = [slice(x, y) for x, y in zip(starts, ends, strict=True)]
+        released()
         return pa.table({"block": b[starts], "rows": pa.array([r[c].tobytes() for c in cut], pa.binary()), "places": pa.array([p[c].tobytes() for c in cut], pa.binary())})
 
     def deal(table: pa.Table) -> pa.Table:
