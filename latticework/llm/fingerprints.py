@@ -66,14 +66,19 @@ def _permutations() -> tuple[list[int], list[int], list[int]]:
     return [x % BINS for x in mixed], steps, [pow(s, -1, BINS) for s in steps]
 
 
+def _table(values: list[int]) -> Column:
+    """A constant array<int> as one folded literal: thousands of literals would each be a node of the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def densified(minima: Column) -> Column:
     """Low-order bits of the bins; an empty bin takes those of the first full bin on its walk. [] if all are empty.
 
     Where many bins are full the walk is followed, since a few tries are enough; where few are, the full bin with the
     least place on the walk is taken, which is the same one."""
-    begin, step, inverse = (F.array(*map(F.lit, x)) for x in _permutations())
-    starts, steps, _ = _permutations()
-    tried = F.array(*(F.lit((starts[i] + j * steps[i]) % BINS) for i in range(BINS) for j in range(TRIES)))
+    starts, steps, inverses = _permutations()
+    begin, step, inverse = map(_table, (starts, steps, inverses))
+    tried = _table([(starts[i] + j * steps[i]) % BINS for i in range(BINS) for j in range(TRIES)])
     mask = F.lit((1 << BITS) - 1)
 
     def fill(m: Column) -> Column:
@@ -90,14 +95,16 @@ def densified(minima: Column) -> Column:
 
             return of
 
-        n_full = F.size(F.array_compact(m))
-        full = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(m, b).isNotNull())
-        return (
-            F.when(n_full == 0, F.array().cast("array<int>"))
-            .when(n_full == BINS, F.transform(m, lambda x: x.bitwiseAND(mask).cast("int")))
-            .when(n_full >= BINS // 8, F.transform(m, followed))
-            .otherwise(let(full, lambda f: F.transform(m, nearest(f))))
-        )
+        def by_number(full: Column) -> Column:
+            n_full = F.size(full)
+            return (
+                F.when(n_full == 0, F.array().cast("array<int>"))
+                .when(n_full == BINS, F.transform(m, lambda x: x.bitwiseAND(mask).cast("int")))
+                .when(n_full >= BINS // 8, F.transform(m, followed))
+                .otherwise(F.transform(m, nearest(full)))
+            )
+
+        return let(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(m, b).isNotNull()), by_number)
 
     return let(minima, fill)
 

@@ -135,6 +135,12 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty.drop("size")).count() == 0
 
 
+def five_words(text):
+    """The distinct shingles of five words of a text, or its words if there are fewer."""
+    words = WORD.findall(text.lower())
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.fingerprint_edits(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()
     texts = {r[0]: r[1] or "" for r in documents() if r[0] is not None}
@@ -146,6 +152,10 @@ def test_fingerprints(docs, empty):
         cut = len(text) // 3
         edited = text[: len(text) - cut] + other[:cut]
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(text)
+        for other_text, near in ((edited, r["near_edited"]), (other, r["near_next"])):
+            x, y = five_words(text), five_words(other_text)
+            # 256 bins: a standard error of at most 0.032, more where few bins are full
+            assert abs(near - (len(x & y) / len(x | y) if x | y else 1.0)) < (0.15 if min(len(x), len(y)) > 100 else 0.4)
         assert 0 <= r["near_edited"] <= 1 and (r["near_next"] == 1 if prints[r["doc_id"]] == prints[following[r["doc_id"]]] else r["near_next"] < 1)
     assert prints[1] == prints[2] and prints[6] == prints[7] == prints[8] == "" and prints[1] != prints[3]
     assert fingerprints.fingerprint_edits(docs).count() == docs.count()
