@@ -146,7 +146,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     following = placed.select(F.col("doc_id").alias("_next"), F.col("_h").alias("_next_h"), F.pmod(F.col("position") - 1, F.lit(max(n, 1))).alias("position"))
     links = materialize(placed.join(following, "position").drop("position"), "links")
 
-    keyed = rows.withColumn("_key", F.xxhash64("doc_id", "_h"))
+    keyed = rows.select(F.xxhash64("doc_id", "_h").alias("_key"), "text")  # the same two columns for both joins, so that their exchange is shared
     own = links.withColumn("_key", F.xxhash64("doc_id", "_h"))
     needed = links.select(F.xxhash64("_next", "_next_h").alias("_key"), F.col("doc_id").alias("_for"), F.col("_h").alias("_for_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("_n"))
     heads = keyed.join(needed.hint("shuffle_hash"), "_key").select("_for", "_for_h", F.substring("text", F.lit(1), F.col("_n")).alias("_head"))
@@ -154,7 +154,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         heads = heads.dropDuplicates(["_for", "_for_h"])
     heads = heads.select(F.xxhash64("_for", "_for_h").alias("_key"), "_head")
     cut = F.floor(F.length("text") / 3).cast("int")
-    joined = keyed.join(own.drop("doc_id", "_h"), "_key").join(heads, "_key")
+    joined = keyed.join(own.hint("shuffle_hash"), "_key").join(heads, "_key")
     edited = joined.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.col("_head")))
     prints = edited.select("doc_id", "_h", "n_chars", "_next", "_next_h", F.sha2("_edited", 256).alias("edited_sha256"), bins_of(F.col("text")).alias("_bins"), bins_of(F.col("_edited")).alias("_edited_bins"))
     prints = materialize(
