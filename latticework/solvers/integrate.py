@@ -81,6 +81,42 @@ class OdeResult:
         self.success = self.status >= 0
 
 
+@dataclass
+class StepControl:
+    """Sizes of steps for a method whose error estimate shrinks as the power order + 1 of the size."""
+
+    order: int
+    size: float
+    largest: float
+    #: The last try was too long; the next one that is good enough does not grow.
+    shrunk: bool = False
+
+    @staticmethod
+    def starting(order: int, size: float, slope: float, curvature: Callable[[float], float], most: float) -> float:
+        """A first size from scaled norms of the state, of its slope, and of the change of slope over a trial step."""
+        trial = min(most, 0.01 * size / slope if min(size, slope) >= 1e-5 else 1e-6)
+        bend = max(slope, curvature(trial))
+        fitted = (0.01 / bend) ** (1 / (order + 1)) if bend > 1e-15 else max(1e-6, trial / 1000)
+        return min(100 * trial, fitted, most)
+
+    def length(self, t: float, end: float) -> float | None:
+        """The signed length of the next try, none beyond the end; None when tries have shrunk to the spacing of numbers."""
+        left = end - t
+        grain = 10 * abs(np.nextafter(t, np.copysign(np.inf, left)) - t)
+        if self.shrunk and self.size < grain:
+            return None
+        reach = min(max(self.size, grain), self.largest)
+        return left if reach >= abs(left) else float(np.copysign(reach, left))
+
+    def accepts(self, length: float, error: float) -> bool:
+        """Whether the scaled error is small enough; sets the size of the next try either way."""
+        ideal = SAFETY * error ** (-1 / (self.order + 1)) if error else MAX_FACTOR
+        good = error < 1
+        factor = min(ideal, 1.0 if self.shrunk else MAX_FACTOR) if good else max(MIN_FACTOR, ideal)
+        self.size, self.shrunk = abs(length) * factor, not good
+        return good
+
+
 class _Values:
     """Arithmetic on the state's columns."""
 
@@ -116,7 +152,7 @@ class OdeSolver:
         self.status = "running"
         self.frame = materialize(y0.astype(self.values.dtype).filled().select("i", F.col("v").alias("y")), "ode")
         self.frame = materialize(self._stage(self.frame, "y", self.t, "f"), "ode")
-        self.h_abs = first_step if first_step is not None else self._first_step()
+        self.control = StepControl(tableau.error_order, first_step or self._starting_size(), max_step)
         self.interpolant = None
 
     def fun(self, t: float, y: DataFrame) -> DataFrame:
@@ -135,58 +171,48 @@ class OdeSolver:
         sizes = [self.values.size(F.col(x)) for x in names]
         return F.lit(self.atol) + (F.greatest(*sizes) if len(sizes) > 1 else sizes[0]) * self.rtol
 
-    def _first_step(self) -> float:
+    def _starting_size(self) -> float:
         if self.t == self.t_bound:
             return 0.0
         size, scale = self.values.size, self._scale("y")
-        d0, d1 = self._rms(self.frame, size(F.col("y")) / scale, size(F.col("f")) / scale)
-        h0 = 1e-6 if d0 < 1e-5 or d1 < 1e-5 else 0.01 * d0 / d1
-        h0 = min(h0, abs(self.t_bound - self.t))
-        probe = self.frame.withColumn("y1", self.values.combine([(h0 * self.direction, "f")], "y"))
-        probe = self._stage(probe, "y1", self.t + h0 * self.direction, "f1").withColumn("df", self.values.combine([(1.0, "f1"), (-1.0, "f")]))
-        d2 = self._rms(probe, size(F.col("df")) / scale)[0] / h0
-        h1 = max(1e-6, h0 * 1e-3) if d1 <= 1e-15 and d2 <= 1e-15 else (0.01 / max(d1, d2)) ** (1 / (self.tableau.error_order + 1))
-        return min(100 * h0, h1, abs(self.t_bound - self.t), self.max_step)
+
+        def curvature(h: float) -> float:
+            ahead = self.frame.withColumn("ys", self.values.combine([(h * self.direction, "f")], "y"))
+            ahead = self._stage(ahead, "ys", self.t + h * self.direction, "fs").withColumn("change", self.values.combine([(1.0, "fs"), (-1.0, "f")]))
+            return self._rms(ahead, size(F.col("change")) / scale)[0] / h
+
+        state, slope = self._rms(self.frame, size(F.col("y")) / scale, size(F.col("f")) / scale)
+        return StepControl.starting(self.tableau.error_order, state, slope, curvature, min(abs(self.t_bound - self.t), self.max_step))
+
+    def _attempt(self, h: float) -> DataFrame:
+        """The stages k0, k1, ... and y_new of one step of length h; the last stage is the slope at y_new."""
+        tab, last = self.tableau, len(self.tableau.c)
+        frame = self.frame.withColumn("k0", F.col("f"))
+        for s in range(1, last):
+            frame = frame.withColumn("ys", self.values.combine([(h * w, f"k{j}") for j, w in enumerate(tab.a[s])], "y"))
+            # a stage refers to the frame before twice, so that a plan which is not cut would double
+            frame = materialize(self._stage(frame, "ys", self.t + tab.c[s] * h, f"k{s}").drop("ys"), "stage")
+        frame = frame.withColumn("y_new", self.values.combine([(h * w, f"k{s}") for s, w in enumerate(tab.b)], "y"))
+        return materialize(self._stage(frame, "y_new", self.t + h, f"k{last}"), "ode")
 
     def step(self) -> None:
         check(self.status == "running", f"the solver is {self.status}")
         if self.n == 0 or self.t == self.t_bound:
             self.t_old, self.t, self.status = self.t, self.t_bound, "finished"
             return
-        tab, exponent = self.tableau, -1 / (self.tableau.error_order + 1)
-        least = 10 * abs(np.nextafter(self.t, self.direction * np.inf) - self.t)
-        h_abs = min(max(self.h_abs, least), self.max_step)
-        rejected = False
-        while True:
-            if h_abs < least:
+        accepted = False
+        while not accepted:
+            h = self.control.length(self.t, self.t_bound)
+            if h is None:
                 self.status = "failed"
                 return
-            h = h_abs * self.direction
-            t_new = self.t + h
-            if self.direction * (t_new - self.t_bound) > 0:
-                t_new = self.t_bound
-            h = t_new - self.t
-            h_abs = abs(h)
-            frame = self.frame.withColumn("k0", F.col("f"))
-            for s in range(1, len(tab.c)):
-                frame = frame.withColumn("ys", self.values.combine([(h * w, f"k{j}") for j, w in enumerate(tab.a[s])], "y"))
-                # a stage refers to the frame before twice, so that a plan which is not cut would double
-                frame = materialize(self._stage(frame, "ys", self.t + tab.c[s] * h, f"k{s}").drop("ys"), "stage")
-            frame = frame.withColumn("y_new", self.values.combine([(h * w, f"k{s}") for s, w in enumerate(tab.b)], "y"))
-            last = len(tab.c)
-            frame = materialize(self._stage(frame, "y_new", t_new, f"k{last}"), "ode")
-            error = self._error(frame, h)
-            if error < 1:
-                factor = MAX_FACTOR if error == 0 else min(MAX_FACTOR, SAFETY * error**exponent)
-                self.h_abs = h_abs * (min(1.0, factor) if rejected else factor)
-                break
-            h_abs *= max(MIN_FACTOR, SAFETY * error**exponent)
-            rejected = True
-        self.interpolant = Interpolant(self.t, t_new, frame, tab, self.values, self.n)
-        self.t_old, self.t = self.t, t_new
-        self.frame = frame.select("i", F.col("y_new").alias("y"), F.col(f"k{last}").alias("f"))
-        if self.direction * (self.t - self.t_bound) >= 0:
-            self.status = "finished"
+            frame = self._attempt(h)
+            accepted = self.control.accepts(h, self._error(frame, h))
+        at_end = h == self.t_bound - self.t
+        self.t_old, self.t = self.t, self.t_bound if at_end else self.t + h
+        self.interpolant = Interpolant(self.t_old, self.t, frame, self.tableau, self.values, self.n)
+        self.frame = frame.select("i", F.col("y_new").alias("y"), F.col(f"k{len(self.tableau.c)}").alias("f"))
+        self.status = "finished" if at_end else "running"
 
     def _error(self, frame: DataFrame, h: float) -> float:
         estimate = frame.withColumn("_e", self.values.combine([(h * w, f"k{s}") for s, w in enumerate(self.tableau.e)]))
