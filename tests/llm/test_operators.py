@@ -191,6 +191,48 @@ def test_html_beside_articles():
     assert [wrappers.extract(p, template) for p in pages] == [f"{prose(k, 9)}\n{prose(50 + k, 3)}" for k in range(8)]
 
 
+def test_html_without_telling_names():
+    """No tag, role or class tells the parts: menus, notices and signatures are known by their slots alone."""
+
+    def page(k):
+        menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in prose(100 + k, 3 + k % 3).split())
+        notice = f"<div><p>Read so far by {k} people from {prose(200 + k, 1)} here</p></div>"
+        body = "".join(f"<p>{prose(300 + 10 * k + j, 30)}</p>" for j in range(2 + k % 3))
+        return f"<body><div><ul>{menu}</ul></div><div><h1>{prose(400 + k, 4)}</h1>{body}</div>{notice}<div><p>All rights kept</p></div></body>"
+
+    def want(k):
+        return "\n".join([prose(400 + k, 4), *(prose(300 + 10 * k + j, 30) for j in range(2 + k % 3))])
+
+    learned = wrappers.learn([page(k) for k in range(12)])
+    template = wrappers.template_tree(learned)
+    assert learned and [wrappers.extract(page(k), template) for k in range(40)] == [want(k) for k in range(40)]
+    assert wrappers.extract(page(3)) != want(3)  # nothing else would tell
+    linked = [n.linked for n in wrappers.leaves_of(wrappers.parse("<p>ab <a>cd</a></p><p><a>x</a></p><p>y"))]
+    assert linked == [0.5, 1.0, 0.0]
+
+
+def test_kinds_of_slots():
+    def brute(texts, linked):
+        n = len(texts)
+        if any(sum(t == u for u in texts) >= 0.9 * n for t in texts):
+            return "constant"
+        if sum(x >= 0.8 for x in linked) >= 0.9 * n:
+            return "links"
+        tokens = [w for t in texts for w in t.split()]
+        inside = [w for w in tokens if sum(w in u.split() for u in texts) >= 0.9 * n]
+        return "notice" if len(inside) > 0.5 * len(tokens) else "content"
+
+    rng, seen = np.random.default_rng(5), set()
+    for _ in range(400):
+        n, same = int(rng.integers(3, 13)), rng.random()
+        texts = [" ".join(["a", "b", "c"][: rng.integers(1, 4)] if rng.random() < same else rng.choice(WORDS, 3)) for _ in range(n)]
+        linked = [float(rng.random() < same) for _ in range(n)]
+        kind = wrappers.kind_of_slot([wrappers.Node("#text", t, linked=x) for t, x in zip(texts, linked, strict=True)])[0]
+        assert kind == brute(texts, linked)
+        seen.add(kind)
+    assert seen == {"constant", "links", "notice", "content"}
+
+
 def test_tree_matching():
     def brute(a, b):
         if a.tag != b.tag:
