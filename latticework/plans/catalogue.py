@@ -267,10 +267,10 @@ def multiply(spark, d):
     return (a * _shifted(a)).df
 
 
-@register(f"WITH {UV}, {EI} SELECT q.i, q.j, q.v * e.x AS v FROM (SELECT j AS i, i % 8 AS j, sum(v) AS v FROM u GROUP BY 1, 2) q JOIN e ON e.i = q.i AND e.k = q.j")
+@register(f"WITH {UV}, {EI} SELECT q.i, q.j, q.v * e.x AS v FROM (SELECT j AS i, i % 64 AS j, sum(v) AS v FROM u GROUP BY 1, 2) q JOIN e ON e.i = q.i AND e.k = q.j")
 def multiply_dense(spark, d):
     u, e = user_vector(spark, d), embedding_rows(spark, d)
-    folded = construct.from_table(u.df.select(F.col("j").alias("i"), (F.col("i") % 8).alias("j"), "v"), e.shape)
+    folded = construct.from_table(u.df.select(F.col("j").alias("i"), (F.col("i") % e.shape[1]).alias("j"), "v"), e.shape)
     return (folded * e).df
 
 
@@ -368,12 +368,12 @@ def min_plus_spmv(spark, d):
     return products.spmv(a, ones, semiring=products.MIN_PLUS).df
 
 
-@register(f"WITH {UV}, {EI}, c AS (SELECT i, j, unnest(range(8)) AS k, v FROM u) SELECT c.i, c.j, c.v * sum((c.i * (c.k + 1) % 7) * e.x) AS v FROM c JOIN e ON e.i = c.j AND e.k = c.k GROUP BY c.i, c.j, c.v")
+@register(f"WITH {UV}, {EI}, c AS (SELECT i, j, unnest(range(64)) AS k, v FROM u) SELECT c.i, c.j, c.v * sum((c.i * (c.k + 1) % 7) * e.x) AS v FROM c JOIN e ON e.i = c.j AND e.k = c.k GROUP BY c.i, c.j, c.v")
 def sddmm(spark, d):
     a, e = user_vector(spark, d), embedding_rows(spark, d)
-    left = DenseMatrix(spark.range(a.shape[0]).select(F.col("id").alias("i"), F.array(*((F.col("id") * (k + 1) % 7).cast("double") for k in range(8))).alias("row")), (a.shape[0], 8))
-    right = e.long().where("j < 8").groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e")).select(F.col("j").alias("i"), F.col("e.v").alias("row"))
-    return a.sddmm(left, DenseMatrix(right, (8, e.shape[0]))).df
+    left = DenseMatrix(spark.range(a.shape[0]).select(F.col("id").alias("i"), F.array(*((F.col("id") * (k + 1) % 7).cast("double") for k in range(e.shape[1]))).alias("row")), (a.shape[0], e.shape[1]))
+    right = e.long().groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e")).select(F.col("j").alias("i"), F.col("e.v").alias("row"))
+    return a.sddmm(left, DenseMatrix(right, (e.shape[1], e.shape[0]))).df
 
 
 @register(f"WITH {EI}, c AS (SELECT label AS j, k, sum(x) AS y FROM e JOIN embeddings ON vec_id = i GROUP BY 1, 2) SELECT e.i, c.j::BIGINT AS j, round(sqrt(sum((e.x - c.y) * (e.x - c.y))), 5) AS d FROM e JOIN c USING (k) GROUP BY 1, 2")
