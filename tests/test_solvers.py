@@ -59,6 +59,18 @@ def test_least_squares(spark):
     assert np.allclose(values(got[0]), np.linalg.lstsq(a, b, rcond=None)[0], atol=1e-5) and got[1] in (1, 2)
 
 
+def test_damped_least_squares(spark):
+    a = sample(9, 4) + np.eye(9, 4)
+    b, start, damp = np.arange(9.0), np.array([1.0, 0.0, -1.0, 2.0]), 0.5
+    inverse = np.linalg.inv(a.T @ a + damp**2 * np.eye(4))
+    change = inverse @ a.T @ (b - a @ start)
+    x, istop, itn, r1, r2, *_, xnorm, var = linalg.lsqr(sparse(spark, a), construct.vector(spark, b), damp, atol=1e-10, btol=1e-10, calc_var=True, x0=construct.vector(spark, start))
+    assert istop == 2 and itn <= 6 and np.allclose(values(x), start + change, atol=1e-6)
+    left = np.linalg.norm(b - a @ (start + change))
+    assert np.isclose(r1, left, rtol=1e-5) and np.isclose(r2, np.hypot(left, damp * np.linalg.norm(change)), rtol=1e-5)
+    assert np.isclose(xnorm, np.linalg.norm(change), rtol=1e-5) and (itn != 4 or np.allclose(values(var), np.diag(inverse), rtol=1e-4))
+
+
 def test_eigenvalues(spark):
     s = sample(9, 9)
     a = s + s.T
