@@ -79,5 +79,6 @@ def to_numpy(a: SparseMatrix) -> np.ndarray:
 
 
 def stored(a: SparseMatrix, name: str = "matrix") -> SparseMatrix:
-    """The matrix written out once, for loops that read it again and again."""
-    return a.over(materialize(a.df, name))
+    """The matrix written out once, for loops that read it again and again: in parts of the advisory size, so that a step
+    over a small one is not a task on each core, and one over a hot range is not one long task."""
+    return a.over(materialize(a.df.hint("rebalance"), name))

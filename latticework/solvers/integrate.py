@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as num
 from ..plans.matrix import Vector, check
 from ..plans.scratch import materialize
+from . import order8
 
 SAFETY, MIN_FACTOR, MAX_FACTOR = 0.9, 0.2, 10.0
 EPS = np.finfo(float).eps
@@ -32,7 +33,37 @@ class Tableau:
     b: list[float]
     e: list[float]
     #: Dense output: y(t + x h) = y + h sum_s k_s sum_p dense[s][p] x^(p+1)
-    dense: list[list[float]]
+    dense: list[list[float]] = field(default_factory=list)
+    #: A second, cruder error estimate that tempers the first.
+    e_low: list[float] | None = None
+    #: Nodes and rows of stages that only the interpolant needs; they follow the stage at the end of the step.
+    extra: list[tuple[float, list[float]]] = field(default_factory=list)
+
+    def weights(self, x: float) -> list[float]:
+        """What each stage adds to the state, in units of the step, at the share x of it."""
+        return [sum(p * x ** (k + 1) for k, p in enumerate(row)) for row in self.dense]
+
+    def error(self, high: float, low: float) -> float:
+        return high**2 / float(np.hypot(high, low / 10)) if high else 0.0
+
+
+@dataclass(frozen=True)
+class HermiteTableau(Tableau):
+    """A method whose interpolant is the cubic through states and slopes at both ends, plus x^2 (1 - x)^2 times a cubic
+    in the basis 1, x, x (1 - x), x^2 (1 - x), one row of `upper` for each."""
+
+    upper: list[list[float]] = field(default_factory=list)
+
+    def weights(self, x: float) -> list[float]:
+        rest, end = 1 - x, len(self.c)
+        bump = (x * rest) ** 2
+        factors = [bump * f for f in (1, x, x * rest, x * x * rest)]
+        out = [sum(f * row[s] for f, row in zip(factors, self.upper, strict=True)) for s in range(end + 1 + len(self.extra))]
+        for s, b in enumerate(self.b):
+            out[s] += b * x * x * (3 - 2 * x)
+        out[0] += x * rest**2
+        out[end] -= x * x * rest
+        return out
 
 
 # The published coefficients of Bogacki and Shampine and of Dormand and Prince.
@@ -62,7 +93,19 @@ RK45 = Tableau(
         [0, 40617522 / 29380423, -110615467 / 29380423, 69997945 / 29380423],
     ],
 )
-METHODS = {"RK23": RK23, "RK45": RK45}
+
+
+def _row(values: dict[int, float], length: int) -> list[float]:
+    return [values.get(k, 0.0) for k in range(length)]
+
+
+DOP853 = HermiteTableau(
+    "DOP853", 8, 7, order8.NODES, [_row(r, s) for s, r in enumerate(order8.STAGES)], _row(order8.SOLUTION, 12), _row(order8.ERROR, 13),
+    e_low=[order8.SOLUTION.get(s, 0.0) - order8.LOW_ORDER.get(s, 0.0) for s in range(13)],
+    extra=[(c, _row(r, 13 + k)) for k, (c, r) in enumerate(zip(order8.EXTRA_NODES, order8.EXTRA_STAGES, strict=True))],
+    upper=[_row(r, 16) for r in order8.INTERPOLANT],
+)
+METHODS = {"RK23": RK23, "RK45": RK45, "DOP853": DOP853}
 
 
 @dataclass
@@ -210,35 +253,43 @@ class OdeSolver:
             accepted = self.control.accepts(h, self._error(frame, h))
         at_end = h == self.t_bound - self.t
         self.t_old, self.t = self.t, self.t_bound if at_end else self.t + h
-        self.interpolant = Interpolant(self.t_old, self.t, frame, self.tableau, self.values, self.n)
+        self.interpolant = Interpolant(self.t_old, self.t, frame, self)
         self.frame = frame.select("i", F.col("y_new").alias("y"), F.col(f"k{len(self.tableau.c)}").alias("f"))
         self.status = "finished" if at_end else "running"
 
     def _error(self, frame: DataFrame, h: float) -> float:
-        estimate = frame.withColumn("_e", self.values.combine([(h * w, f"k{s}") for s, w in enumerate(self.tableau.e)]))
-        return self._rms(estimate, self.values.size(F.col("_e")) / self._scale("y", "y_new"))[0]
+        tab, scale = self.tableau, self._scale("y", "y_new")
+        estimates = [tab.e] if tab.e_low is None else [tab.e, tab.e_low]
+        for k, weights in enumerate(estimates):
+            frame = frame.withColumn(f"_e{k}", self.values.combine([(h * w, f"k{s}") for s, w in enumerate(weights)]))
+        high, *low = self._rms(frame, *(self.values.size(F.col(f"_e{k}")) / scale for k in range(len(estimates))))
+        return tab.error(high, *low) if low else high
 
     @property
     def y(self) -> Vector:
         return Vector(self.frame.select("i", F.col("y").alias("v")), self.n, self.values.dtype)
 
 
-@dataclass
 class Interpolant:
-    """The state inside the last step."""
+    """The state inside the last step; stages that it needs beside those of the step are computed when first asked for."""
+
+    def __init__(self, t_old: float, t: float, frame: DataFrame, solver: OdeSolver):
+        self.t_old, self.t, self._frame, self._solver = t_old, t, frame, solver
+        self._complete = not solver.tableau.extra
 
-    t_old: float
-    t: float
-    frame: DataFrame
-    tableau: Tableau
-    values: _Values
-    n: int
+    def _stages(self) -> DataFrame:
+        if not self._complete:
+            solver, h, first = self._solver, self.t - self.t_old, len(self._solver.tableau.c) + 1
+            for k, (c, row) in enumerate(solver.tableau.extra):
+                ahead = self._frame.withColumn("ys", solver.values.combine([(h * w, f"k{s}") for s, w in enumerate(row)], "y"))
+                self._frame = materialize(solver._stage(ahead, "ys", self.t_old + c * h, f"k{first + k}").drop("ys"), "stage")
+            self._complete = True
+        return self._frame
 
     def __call__(self, t: float) -> Vector:
-        h = self.t - self.t_old
-        x = (t - self.t_old) / h
-        weights = [(h * sum(p * x ** (k + 1) for k, p in enumerate(row)), f"k{s}") for s, row in enumerate(self.tableau.dense)]
-        return Vector(self.frame.select("i", self.values.combine(weights, "y").alias("v")), self.n, self.values.dtype)
+        h, solver = self.t - self.t_old, self._solver
+        weights = [(h * w, f"k{s}") for s, w in enumerate(solver.tableau.weights((t - self.t_old) / h))]
+        return Vector(self._stages().select("i", solver.values.combine(weights, "y").alias("v")), solver.n, solver.values.dtype)
 
 
 def brent(f: Callable[[float], float], a: float, b: float, tol: float = 4 * EPS, steps: int = 100) -> float:
@@ -342,7 +393,9 @@ def solve_ivp(fun, t_span: tuple[float, float], y0: Vector, method: str = "RK45"
             status, message = 0, "the limit of steps was reached"
 
     def solution(x: float) -> Vector:
+        if not pieces:
+            return solver.y
         piece = next((p for p in pieces if min(p.t_old, p.t) <= x <= max(p.t_old, p.t)), pieces[-1] if abs(x - t0) > abs(t1 - x) else pieces[0])
         return piece(x)
 
-    return OdeResult(ts, ys, solution if dense_output and pieces else None, t_events if events else None, y_events if events else None, solver.nfev, status if status is not None else 0, message)
+    return OdeResult(ts, ys, solution if dense_output else None, t_events if events else None, y_events if events else None, solver.nfev, status if status is not None else 0, message)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.operators import construct
+from latticework.plans.matrix import Vector
 from latticework.solvers import graphs, integrate, linalg, multigrid, quantum
 
 from .test_matrix import sample, sparse, values
@@ -97,3 +99,46 @@ def test_sets(spark):
     assert quantum.independence_polynomial(spark, path, 5) == [1, 5, 6, 1]
     states = quantum.States(spark, path, 5)
     assert states.count == 13 and states.optimum() == 3.0 and states.driver().nnz == 2 * (5 + 12 + 3)
+
+
+@pytest.mark.parametrize("method", integrate.METHODS.values(), ids=integrate.METHODS)
+def test_tableaus_integrate_powers_of_time(method):
+    """y' = t^k is solved exactly below the order, at the end of the step and, less one order or more, inside of it."""
+    c, b = np.array(method.c), np.array(method.b)
+    nodes = np.array([*method.c, 1.0, *(node for node, _ in method.extra)])
+    for stages, node in [*zip(method.a, method.c, strict=True), *((row, node) for node, row in method.extra)]:
+        assert sum(stages) == pytest.approx(node, abs=1e-14)
+    for k in range(method.order):
+        assert b @ c**k == pytest.approx(1 / (k + 1), abs=1e-14)
+    inside = {"RK23": 3, "RK45": 4, "DOP853": 7}[method.name]
+    for x in (0.2, 0.5, 0.9, 1.0):
+        weights = np.array(method.weights(x))
+        for k in range(inside):
+            assert weights @ nodes[: len(weights)] ** k == pytest.approx(x ** (k + 1) / (k + 1), abs=1e-13)
+    for estimate in (method.e, method.e_low or [0.0]):
+        assert sum(estimate) == pytest.approx(0, abs=1e-14)
+
+
+def test_eighth_order_stops_at_a_terminal_event_and_interpolates(spark):
+    def rotate(t, y):
+        return y.select((1 - F.col("i")).alias("i"), F.when(F.col("i") == 0, -F.col("v")).otherwise(F.col("v")).alias("v"))
+
+    def entries(y):
+        return {r.i: r.v for r in y.df.collect()}
+
+    def half(t, y):
+        return entries(y)[0] - 0.5
+
+    half.terminal = True
+    y0 = Vector(spark.createDataFrame([(0, 1.0), (1, 0.0)], "i long, v double"), 2)
+    out = integrate.solve_ivp(rotate, (0.0, 3.0), y0, method="DOP853", rtol=1e-8, atol=1e-10, first_step=0.5, dense_output=True, events=half)
+    assert out.status == 1 and out.success
+    assert out.t[-1] == out.t_events[0][0] == pytest.approx(np.pi / 3, abs=1e-6)
+    assert entries(out.sol(0.3))[0] == pytest.approx(np.cos(0.3), abs=1e-6)
+    assert entries(out.y_events[0][0])[1] == pytest.approx(-np.sin(np.pi / 3), abs=1e-6)
+
+
+def test_a_span_of_no_length_has_a_constant_solution(spark):
+    y0 = Vector(spark.createDataFrame([(0, 2.0)], "i long, v double"), 1)
+    out = integrate.solve_ivp(lambda t, y: y, (1.0, 1.0), y0, method="DOP853", dense_output=True)
+    assert out.status == 0 and [r.v for r in out.sol(1.0).df.collect()] == [2.0]
