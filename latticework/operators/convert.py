@@ -70,6 +70,13 @@ def to_arrays(a: SparseMatrix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(values), pdf["i"].to_numpy(), pdf["j"].to_numpy()
 
 
+def to_compressed_arrays(a: SparseMatrix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, indices, indptr) on the driver, for small matrices: by column of a CSC matrix, else by row."""
+    data, row, col = to_arrays(a.transpose() if a.format == "csc" else a)
+    size = a.shape[1] if a.format == "csc" else a.shape[0]
+    return data, col, np.searchsorted(row, np.arange(size + 1))
+
+
 def to_numpy(a: SparseMatrix) -> np.ndarray:
     """A dense array on the driver, for small matrices."""
     data, row, col = to_arrays(a)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers as num
 from ..operators import construct, convert, products, reduce, structure
 from ..solvers import graphs, integrate, linalg, multigrid, quantum
+from ..sources.matrix_market import mmread, mmwrite
 from .matrix import DenseMatrix, SparseMatrix, Vector
+from .scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,6 +112,26 @@ def coo_to_csc(spark, d):
     return convert.compressed_columns(part_supplier(spark, d)).select("j", F.array_join("rows", ",").alias("row_list"), F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+@register(f"WITH {PS} SELECT i, string_agg(j::VARCHAR, ',' ORDER BY j) AS column_list, list_sum(list(v)) AS total FROM a GROUP BY i")
+def csc_to_csr(spark, d):
+    a = part_supplier(spark, d)
+    csr = convert.from_compressed_columns(convert.compressed_columns(a), a.shape).tocsr()
+    return convert.compressed_rows(csr).select("i", F.array_join("cols", ",").alias("column_list"), F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@register("WITH n AS (SELECT c_custkey AS i, c_nationkey::BIGINT AS j, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey) SELECT i, j, count(*)::DOUBLE AS v FROM n GROUP BY 1, 2")
+def sum_duplicates(spark, d):
+    one_each = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("one", F.lit(1.0))
+    return construct.from_table(one_each, (rows_of(spark, d, "customer"), rows_of(spark, d, "nation")), "c_custkey", "c_nationkey", "one").df
+
+
+@register(f"WITH {PS} SELECT i, j, v::DOUBLE AS v FROM a")
+def matrix_market(spark, d):
+    path = f"{scratch_dir(spark)}/matrix-market-{uuid.uuid4().hex}"
+    mmwrite(part_supplier(spark, d), path)
+    return mmread(spark, path).df
+
+
 @register(f"WITH {EI} SELECT i, k::BIGINT AS j, x AS v FROM e WHERE x <> 0")
 def dense_to_csr(spark, d):
     return construct.from_dense(embedding_rows(spark, d)).df
@@ -144,6 +167,16 @@ def coo_to_dia(spark, d):
     return convert.diagonals(construct.diags(spark, [2.0, 5.0], [0, 3], (100, 100)))
 
 
+@register("SELECT i, i + o AS j, w AS v FROM (SELECT unnest(range(100)) AS i) CROSS JOIN (SELECT * FROM (VALUES (0, 2.0::DOUBLE), (3, 5.0)) t(o, w)) WHERE i + o < 100")
+def dia_to_coo(spark, d):
+    return construct.diags(spark, [2.0, 5.0], [0, 3], (100, 100), format="dia").tocoo().df
+
+
+@register("SELECT i, 5.0::DOUBLE AS v FROM (SELECT unnest(range(97)) AS i)")
+def dia_diagonal(spark, d):
+    return construct.diags(spark, [2.0, 5.0], [0, 3], (100, 100), format="dia").diagonal(3).df
+
+
 @register(f"WITH {SN} SELECT n.i * 2 + b.i AS i, n.j * 3 + b.j AS j, n.v * b.v AS v FROM n CROSS JOIN (SELECT unnest(range(2)) AS i, unnest(range(2)) + 1 AS j, 1.0::DOUBLE AS v) b")
 def kron(spark, d):
     return construct.kron(supplier_nation(spark, d), construct.eye(spark, 2, 3, 1)).df
@@ -154,6 +187,12 @@ def random_density(spark, d):
     return construct.random(spark, 2000, 500, 0.01, seed=7).df
 
 
+@register("SELECT 10000::BIGINT AS n, 10000::BIGINT AS cells, 0::BIGINT AS outside")
+def random_bounds(spark, d):
+    outside = ~(F.col("i").between(0, 1999) & F.col("j").between(0, 499) & (F.col("v") >= 0) & (F.col("v") < 1))
+    return construct.random(spark, 2000, 500, 0.01, seed=7).df.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("cells"), F.count_if(outside).alias("outside"))
+
+
 # Structure and reductions
 
 
@@ -368,14 +407,26 @@ def min_plus_spmv(spark, d):
     return products.spmv(a, ones, semiring=products.MIN_PLUS).df
 
 
-@register(f"WITH {UV}, {EI}, c AS (SELECT i, j, unnest(range(64)) AS k, v FROM u) SELECT c.i, c.j, c.v * sum((c.i * (c.k + 1) % 7) * e.x) AS v FROM c JOIN e ON e.i = c.j AND e.k = c.k GROUP BY c.i, c.j, c.v")
-def sddmm(spark, d):
-    a, e = user_vector(spark, d), embedding_rows(spark, d)
+SAMPLED = f"WITH {UV}, {EI}, c AS (SELECT i, j, unnest(range(64)) AS k, v FROM u) SELECT c.i, c.j, c.v * sum((c.i * (c.k + 1) % 7) * e.x) AS v FROM c JOIN e ON e.i = c.j AND e.k = c.k GROUP BY c.i, c.j, c.v"
+
+
+def _sampled(a: SparseMatrix, spark: SparkSession, d: str) -> DataFrame:
+    e = embedding_rows(spark, d)
     left = DenseMatrix(spark.range(a.shape[0]).select(F.col("id").alias("i"), F.array(*((F.col("id") * (k + 1) % 7).cast("double") for k in range(e.shape[1]))).alias("row")), (a.shape[0], e.shape[1]))
     right = e.long().groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e")).select(F.col("j").alias("i"), F.col("e.v").alias("row"))
     return a.sddmm(left, DenseMatrix(right, (e.shape[1], e.shape[0]))).df
 
 
+@register(SAMPLED)
+def sddmm(spark, d):
+    return _sampled(user_vector(spark, d), spark, d)
+
+
+@register(SAMPLED)
+def sddmm_csc(spark, d):
+    return _sampled(user_vector(spark, d).tocsc(), spark, d)
+
+
 @register(f"WITH {EI}, c AS (SELECT label AS j, k, sum(x) AS y FROM e JOIN embeddings ON vec_id = i GROUP BY 1, 2) SELECT e.i, c.j::BIGINT AS j, round(sqrt(sum((e.x - c.y) * (e.x - c.y))), 5) AS d FROM e JOIN c USING (k) GROUP BY 1, 2")
 def cdist(spark, d):
     e = embedding_rows(spark, d)
@@ -425,6 +476,13 @@ def cg(spark, d):
     return _solution(linalg.cg(*_system(spark), tol=1e-6, conv_test_iters=5)[0])
 
 
+@register(TRUE_X)
+def cg_preconditioned(spark, d):
+    a, b = _system(spark)
+    jacobi = linalg.LinearOperator(a.shape, lambda r: r.select("i", (F.col("v") / 4).alias("v")))
+    return _solution(linalg.cg(a, b, M=jacobi, tol=1e-6, conv_test_iters=5)[0])
+
+
 @register(TRUE_X)
 def spsolve(spark, d):
     return _solution(linalg.spsolve(*_system(spark)))

@@ -15,23 +15,24 @@ def mmread(spark: SparkSession, path: str) -> SparseMatrix:
 
     The header and the size line are read alone; entries are parsed by all tasks. Blank lines and comments are skipped,
     and a symmetric file gives each entry off the diagonal twice."""
-    lines = spark.read.text(path)
-    head = lines.first()
-    check(head is not None, f"{path} is empty")
-    words = head["value"].lower().split()
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"))
+    # the parts of a folder are not read in the order of their names: the size line follows the header in its own part
+    head = lines.where(F.lower("value").startswith("%%matrixmarket")).first()
+    check(head is not None, f"{path} has no Matrix Market header")
+    words, part = head["value"].lower().split(), F.col("_file") == head["_file"]
     check(len(words) == 5 and words[0] == "%%matrixmarket" and words[1] == "matrix", "not a Matrix Market header")
     check(words[2] == "coordinate", f"{words[2]} files are not supported")
     check(words[3] in FIELDS, f"{words[3]} values are not supported")
     check(words[4] in SYMMETRIES, f"{words[4]} matrices are not supported")
     text = F.trim(F.regexp_replace("value", r"\s+", " "))
-    rows = lines.select(text.alias("t")).where((F.col("t") != "") & ~F.col("t").startswith("%"))
-    size = rows.first()
+    rows = lines.select(text.alias("t"), "_file").where((F.col("t") != "") & ~F.col("t").startswith("%"))
+    size = rows.where(part).first()
     check(size is not None and len(size["t"].split()) == 3, "no size line")
     m, n, stored = map(int, size["t"].split())
     parts = F.split("t", " ")
     # The size line is the first of the rows; ordered ids tell it from an entry that reads alike.
     numbered = rows.withColumn("_id", F.monotonically_increasing_id())
-    first = numbered.agg(F.min("_id")).first()[0]
+    first = numbered.where(part).agg(F.min("_id")).first()[0]
     value = F.lit(1.0) if words[3] == "pattern" else parts[2].cast("double")
     entries = numbered.where(F.col("_id") != first).select((parts[0].cast("long") - 1).alias("i"), (parts[1].cast("long") - 1).alias("j"), value.alias("v"))
     if words[4] == "symmetric":

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import numbers as num
-from latticework.operators import construct, convert, products, reduce
+from latticework.operators import construct, convert, products, reduce, formats
 from latticework.plans.matrix import SparseMatrix, Vector, isspmatrix_csr, issparse
 from latticework.sources.matrix_market import mmread, mmwrite
 
@@ -153,3 +153,32 @@ def test_matrix_market(spark, tmp_path):
     path.write_text("%%MatrixMarket matrix array real general\n1 1\n1\n")
     with pytest.raises(ValueError):
         mmread(spark, str(path))
+
+
+def test_constructors_by_class_name(spark):
+    data, indices, pointers = [2.0, 3, 4, 3, 4], [0, 3, 4, 0, 1], [0, 2, 3, 3, 4, 5]
+    built = [
+        formats.csr_matrix(spark, DENSE),
+        formats.csr_array(spark, (data, indices, pointers), shape=(5, 5)),
+        formats.coo_matrix(spark, (data, ([0, 0, 1, 3, 4], indices))),
+        formats.csc_matrix(spark, formats.csr_matrix(spark, DENSE)),
+        formats.csc_array(spark, (data, indices, pointers), shape=(5, 5)).T,
+    ]
+    for a, name in zip(built, ("csr", "csr", "coo", "csc", "csr"), strict=True):
+        assert a.format == name and np.array_equal(convert.to_numpy(a), DENSE)
+    assert [x.tolist() for x in convert.to_compressed_arrays(built[1])] == [data, indices, pointers]
+    columns = formats.csc_matrix(spark, DENSE.T.copy())
+    assert [x.tolist() for x in convert.to_compressed_arrays(columns)] == [data, indices, pointers]
+    band = formats.dia_matrix(spark, ([[1.0, 2, 3], [4, 5, 6]], [0, 1]), shape=(3, 3))
+    assert band.format == "dia" and np.array_equal(convert.to_numpy(band), [[1, 5, 0], [0, 2, 6], [0, 0, 3]])
+    assert formats.csr_matrix(spark, (3, 4)).shape == (3, 4) and formats.coo_matrix(spark, DENSE, dtype="float32").dtype == "float32"
+    for wrong in (lambda: formats.csr_matrix(spark, DENSE, shape=(2, 2)), lambda: formats.coo_matrix(spark, (data, indices, pointers))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_matrix_market_folder_whose_header_is_in_its_smallest_part(spark, tmp_path):
+    (tmp_path / "part-0").write_text("%%MatrixMarket matrix coordinate real general\n% a comment\n200 200 199\n")
+    (tmp_path / "part-1").write_text("".join(f"{k} {k} {k}.5\n" for k in range(1, 200)))
+    a = mmread(spark, str(tmp_path))
+    assert a.shape == (200, 200) and a.df.count() == 199 and a.df.agg(F.sum("v")).first()[0] == sum(range(1, 200)) + 199 / 2
