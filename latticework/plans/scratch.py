@@ -40,7 +40,8 @@ def _settings(spark: SparkSession, values: dict[str, str]):
                 spark.conf.set(k, v)
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once and read back, and where it lies."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _settings(spark, WHILE_WRITING):
@@ -50,7 +51,7 @@ def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once and read back; the table stays."""
-    return _written(df, name)[0]
+    return written(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -67,7 +68,7 @@ class Scratch:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
-        out, path = _written(df, name)
+        out, path = written(df, name)
         self._paths[id(out)] = out, path
         return out
 
