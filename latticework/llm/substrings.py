@@ -12,14 +12,16 @@ all documents share costs a bucket no more than one entry a task. Entries travel
 their hash, which answers with the places that are repeated elsewhere.
 
 Edge cases: null and blank texts have no words; documents with fewer words than a window keep all; windows within one
-document, or among rows with equal ids, do not count against each other; a null id comes after all others; repeated
-rows get equal results; an empty table gives an empty result. Words kept are unchanged.
+document, or among rows with equal ids, do not count against each other; a null id comes after all others; ids of any
+type that sorts; repeated rows get equal results; an empty table gives an empty result; other columns are kept, but for
+those named as the new ones. Words kept are unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ordering import numbered
 from .common import materialize, parts_for
 from .shingles import WordHasher, released, window_hashes
 
@@ -184,7 +187,7 @@ def _answers(entries: DataFrame, last: bool) -> DataFrame:
         order = np.argsort(of, kind="stable")
         sorted_ = of[order]
         starts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(of) else np.zeros(0, np.int64)
-        return order, starts, np.append(starts[1:], len(of)).astype(np.int64)
+        return order, starts, np.append(starts[1:], len(of)).astype(np.int64)[: len(starts)]
 
     def settle(table: pa.Table) -> pa.Table:
         hashes, orders, rows, places, blocks, known = [], [], [], [], [], []
@@ -241,13 +244,22 @@ def cut_text(text: bytes, removed: np.ndarray) -> bytes:
     return b"".join(out).lstrip(b" \t\n\x0b\x0c\r") if len(removed) and removed[0] else b"".join(out)
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(docs with row and ord, row and the packed places of its windows that are repeated from a smaller id)."""
+def _placed(docs: DataFrame, place: str) -> DataFrame:
+    """docs with the place of its id among all ids: whole numbers are their own places, ids of other types are numbered
+    in their order, and a null id comes last."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    ids = numbered(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), [F.col("doc_id")], place)
+    return docs.join(ids, "doc_id", "left").withColumn(place, F.coalesce(place, F.lit(LAST)))
+
+
+def repeated_windows(docs: DataFrame, row: str, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(docs with a key of that name, the key and the packed places of its windows that are repeated from a smaller id)."""
     ids = docs.groupBy("doc_id").count().agg(F.max("count"), F.count_if(F.col("doc_id").isNull())).first()
     unique = ids[0] == 1 and not ids[1]
-    row = F.col("doc_id").cast("long") if unique else F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("row", row).withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    slim = keyed.select("row", "ord", F.col("text").cast("string").cast("binary").alias("text"))
+    place = f"{row}_place"
+    keyed = _placed(docs, place).withColumn(row, F.col(place) if unique else F.xxhash64("doc_id", "text"))
+    slim = keyed.select(F.col(row).alias("row"), F.col(place).alias("ord"), F.col("text").cast("string").cast("binary").alias("text"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     lengths = level_lengths(length)
     marks, rows = None, slim
@@ -261,22 +273,23 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
         if marks.isEmpty():
             break
         rows = slim.join(marks, "row")
-    return keyed, marks
+    return keyed.drop(place), marks
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, if asked for, the kept text."""
-    keyed, marks = repeated_windows(docs, length)
-    made = {"n_words", "n_removed", "kept_sha256", "row", "ord", "places"}
-    kept = [f for f in docs.schema.fields if f.name not in made and f.name != "text"]
+    row = f"_row_{uuid.uuid4().hex[:8]}"  # no column of docs has this name
+    keyed, marks = repeated_windows(docs, row, length)
+    kept = [f for f in docs.schema.fields if f.name not in {"text", "n_words", "n_removed", "kept_sha256"}]
     schema = T.StructType([*kept, *T.StructType.fromDDL("text string, n_words long, n_removed long, kept_sha256 string").fields])
-    joined = keyed.join(marks, "row", "left").select(*(f.name for f in kept), F.col("text").cast("string").cast("binary").alias("text"), "places")
+    marked = marks.select(F.col("row").alias(row), F.col("places").alias(f"{row}_places"))
+    joined = keyed.join(marked, row, "left").select(*(f.name for f in kept), F.col("text").cast("string").cast("binary").alias("text"), f"{row}_places")
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             texts, sizes, gone, digests = [], [], [], []
-            for text, words_hashed, places in zip(batch.column("text").to_pylist(), hasher.texts(batch.column("text")), batch.column("places").to_pylist(), strict=True):
+            for text, words_hashed, places in zip(batch.column("text").to_pylist(), hasher.texts(batch.column("text")), batch.column(f"{row}_places").to_pylist(), strict=True):
                 words = (text or b"").split()  # splits at the same bytes
                 if places:
                     hashes = window_hashes(words_hashed, length)
