@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, fingerprints, jaccard, langid, mixing, packing, quality, substrings, toxicity, wrappers
+from . import attribution, audit, conversations, fingerprints, jaccard, langid, mixing, packing, quality, substrings, toxicity, wrappers
 from .common import documents, held_out, materialize
 from .sql import ORACLES
 
@@ -67,6 +67,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_near(documents(spark, sf_dir).select("doc_id", "text"), length=3, percent=90)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
