@@ -236,7 +236,7 @@ def _index(docs: DataFrame, frequent: FrequentClass, length: int, percent: int,
     return rows.groupBy("part").applyInArrow(shared_keys, "key long, sid long, pos int, often binary, salted boolean")
 
 
-def _cells(entries: DataFrame) -> DataFrame:
+def salted_cells(entries: DataFrame) -> DataFrame:
     """Salted entries (key, sid, size, pos, often, root, sig) as the sides of cells that together hold every pair of entries of a
     key of which one lies outside the key's largest component: role 1 is a share of all entries, role 2 of those outside."""
     counts = entries.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("_main"), F.sum("count").alias("_n"), F.count("*").alias("_roots")).where("_roots > 1")
@@ -248,8 +248,9 @@ def _cells(entries: DataFrame) -> DataFrame:
     return all_.unionByName(outside).select(F.xxhash64("key", "_x", "_y").alias("cell"), "key", "sid", "size", "pos", "often", "root", "role", "sig")
 
 
-def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of sets of different components that meet in a cell and may be similar. Some stand there more than once."""
+def likely_pairs(cells: DataFrame, percent: int, kind: type[Entries] = Entries) -> DataFrame:
+    """a, b: pairs of sets of different components that meet in a cell and may be similar, as entries of this kind tell.
+    Some stand there more than once."""
     names = ("cell", "sid", "size", "pos", "root", "role", "key")
 
     def run(batches):
@@ -266,7 +267,7 @@ def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
             rest = table.slice(cut)
             held, rows = rest.combine_chunks().to_batches(), len(rest)
             *columns, key = (c[:cut] for c in columns)
-            for found in Entries(*columns, sig, key, often.to_pylist() if often.null_count < cut else None).pairs(percent):
+            for found in kind(*columns, sig, key, often.to_pylist() if often.null_count < cut else None).pairs(percent):
                 if len(found):
                     found = np.unique(found, axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
@@ -286,7 +287,7 @@ def _likely_pairs(cells: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _neighbours(sets: DataFrame, percent: int, reach: int) -> DataFrame:
+def _neighbours(sets: DataFrame, percent: int, reach: int, kind: type[Entries] = Entries) -> DataFrame:
     """a, b: likely pairs of sets of different components among each set and the `reach` sets that follow it when all are
     sorted by one of their minima and then the next. sets: sid, size, root, sig."""
 
@@ -297,7 +298,7 @@ def _neighbours(sets: DataFrame, percent: int, reach: int) -> DataFrame:
             last = table.slice(max(0, len(table) - reach)).to_batches()[0]
             turn, first, sid, size, root = (table.column(c).to_numpy().astype(np.int64) for c in ("turn", "first", "sid", "size", "root"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
-            entries = Entries(first, sid, size, np.zeros(len(sid), np.int64), root, None, sig)
+            entries = kind(first, sid, size, np.zeros(len(sid), np.int64), root, None, sig)
             for off in range(1, min(reach, len(table) - 1) + 1):
                 i = np.flatnonzero((turn[off:] == turn[:-off]) & (first[off:] == first[:-off]))
                 found = entries.likely(i, i + off, percent)
@@ -322,7 +323,7 @@ def _narrow(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, schema)
 
 
-class _Judge:
+class Judge:
     """Decides likely pairs: by full signatures, then by the full sets of their texts."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, length: int, percent: int, scratch: Scratch):
@@ -393,31 +394,45 @@ def _with_sid(docs: DataFrame, length: int) -> DataFrame:
     return _texts(docs, "_sid").mapInArrow(run, "_sid long, sid long, text binary")
 
 
-def near_links(docs: DataFrame, base: DataFrame, scratch: Scratch, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between sets, enough of them to connect every two similar sets. base: from summaries."""
-    once = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("minima").alias("minima"), F.first("sig").alias("sig"))
-    sets = scratch.keep(_narrow(once), "sets")
-    judge = _Judge(docs, sets, length, percent, scratch)
+def _stars(roots: DataFrame) -> DataFrame:
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def merged(sets: DataFrame, judge: Judge, percent: int, scratch: Scratch, kind: type[Entries] = Entries) -> tuple[DataFrame, DataFrame]:
+    """(node, root of sets found similar among neighbours in sorted minima; all sets with their root and narrow signature)."""
 
     def rooted(roots: DataFrame) -> DataFrame:
         joined = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
         return scratch.keep(joined.select("sid", "size", F.coalesce("root", "sid").alias("root"), F.col("narrow").alias("sig"), "minima"), "known")
 
-    def stars(roots: DataFrame) -> DataFrame:
-        return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-
     alone = sets.select("sid", "size", F.col("sid").alias("root"), F.col("narrow").alias("sig"), "minima")
-    roots = connected(judge.links(_neighbours(alone, percent, 1), "next-links"))
-    roots = connected(stars(roots).unionByName(judge.links(_neighbours(rooted(roots), percent, REACH), "near-links")))
-    known = rooted(roots)
+    roots = connected(judge.links(_neighbours(alone, percent, 1, kind), "next-links"))
+    roots = connected(_stars(roots).unionByName(judge.links(_neighbours(rooted(roots), percent, REACH, kind), "near-links")))
+    return roots, rooted(roots)
+
 
+def near_links(docs: DataFrame, base: DataFrame, scratch: Scratch, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between sets, enough of them to connect every two similar sets. base: from summaries."""
+    once = base.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("minima").alias("minima"), F.first("sig").alias("sig"))
+    sets = scratch.keep(_narrow(once), "sets")
+    judge = Judge(docs, sets, length, percent, scratch)
+
+    roots, known = merged(sets, judge, percent, scratch)
     frequent = frequent_tokens(docs, length)
     n = sets.agg(F.sum(F.col("size") - F.ceil(percent * F.col("size") / 100) + 1)).first()[0] or 0
     entered = scratch.keep(_index(docs, frequent, length, percent, parts_for(n, PART_ENTRIES, 1, 1 << 22)).join(known.drop("minima"), "sid"), "entries")
     plain = entered.where("NOT salted").select(F.col("key").alias("cell"), "key", "sid", "size", "pos", "often", "root", F.lit(0).alias("role"), "sig")
     salted = entered.where("salted")
-    cells = plain if salted.isEmpty() else plain.unionByName(_cells(salted))
-    return stars(roots).unionByName(judge.links(_likely_pairs(cells, percent), "last-links"))
+    cells = plain if salted.isEmpty() else plain.unionByName(salted_cells(salted))
+    return _stars(roots).unionByName(judge.links(likely_pairs(cells, percent), "last-links"))
+
+
+def labelled(base: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, component_id of the documents of base (doc_id, n_shingles, sid), from the components of sets."""
+    rooted = scratch.keep(base.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root")), "labels")
+    names = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    alone = rooted.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return materialize(rooted.where("root IS NOT NULL").join(names, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone), "near-duplicates")
 
 
 def join_near(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -425,11 +440,7 @@ def join_near(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) ->
     docs = docs.select("doc_id", "text")
     with Scratch(docs.sparkSession) as scratch:
         base = scratch.keep(summaries(docs, length), "sets-of-documents")
-        roots = connected(near_links(docs, base, scratch, length, percent))
-        labelled = scratch.keep(base.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root")), "labels")
-        names = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        alone = labelled.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return materialize(labelled.where("root IS NOT NULL").join(names, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone), "near-duplicates")
+        return labelled(base, connected(near_links(docs, base, scratch, length, percent)), scratch)
 
 
 def one_of_each(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

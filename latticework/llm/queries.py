@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, audit, conversations, fingerprints, jaccard, langid, mixing, packing, quality, substrings, toxicity, wrappers
+from . import attribution, audit, conversations, fingerprints, jaccard, langid, mixing, oddsketch, packing, quality, substrings, toxicity, wrappers
 from .common import documents, held_out, materialize
 from .sql import ORACLES
 
@@ -71,6 +71,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), length=3, percent=85)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
