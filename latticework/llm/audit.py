@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import parts_for
+
 #: Bytes of text that a task holds before the least ids of its block travel.
 BLOCK_BYTES = 16 << 20
-MOST_PARTITIONS = 1 << 16
+#: Bytes of text that a partition of fingerprints is planned for, were all texts different.
+PARTITION_BYTES = 64 << 20
 
 _CAPITALS = re.compile(rb"[A-Z]+")
 _SYMBOL = re.compile(rb"[#$%&*|]")
@@ -141,7 +144,8 @@ def masks(docs: DataFrame, rules: dict = RULES, part: str = "lang", block_bytes:
             yield from ((doc_id, part, mask, n) for part, n in parts.items())
 
     rows = docs.select("doc_id", F.coalesce(F.col(part).cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))).rdd
-    parts = min(MOST_PARTITIONS, max(2 * rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    parts = parts_for(n_bytes, PARTITION_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("part string, mask int, n long").fields])
     return spark.createDataFrame(rows.mapPartitions(local).partitionBy(parts).mapPartitions(least), schema, verifySchema=False)
 
