@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buckets import Entries, signature
+from .buckets import _APART, _LOWEST_BITS, BLOCK_SUMS, Entries, folded, overlap_needed, signature
 from .common import Scratch
 from .components import connected
 from .jaccard import CELL, Judge, _sid, _stars, _texts, labelled, likely_pairs, merged, salted_cells
@@ -108,13 +108,28 @@ class Sketcher:
 
 
 class OddEntries(Entries):
-    """Entries whose signatures are odd sketches; often: the bands of each set, key: the band that it is entered under."""
+    """Entries whose signatures are an odd sketch followed by the counts of the set's tokens by group; often: the bands of
+    each set, key: the band that it is entered under."""
+
+    def __init__(self, cell, sid, size, pos, root, role, sig, key=None, often=None):
+        super().__init__(cell, sid, size, pos, root, role, sig[:, BITS // 8 :], key, often)
+        self.odd = np.ascontiguousarray(sig[:, : BITS // 8]).view(np.uint64)
 
     def likely(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """As of the parent's: here the sketches decide first, and what they leave is bounded by the counts."""
         m, n = self.size[i], self.size[j]
         ok = (self.root[i] != self.root[j]) & (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent)
         i, j = i[ok], j[ok]
-        ok = np.bitwise_count(self.words[i] ^ self.words[j]).sum(axis=1, dtype=np.int64) <= most_flips(percent)
+        ok = np.bitwise_count(self.odd[i] ^ self.odd[j]).sum(axis=1, dtype=np.int64) <= most_flips(percent)
+        i, j = i[ok], j[ok]
+        alone = self.size[i] + self.size[j]
+        alone -= 2 * overlap_needed(alone, 0, percent)  # the most tokens that just one of them may have
+        ok = np.bitwise_count((self.words[i] ^ self.words[j]) & _LOWEST_BITS).sum(axis=1, dtype=np.int64) <= alone
+        i, j, alone = i[ok], j[ok], alone[ok]
+        ok = np.ones(len(i), bool)
+        for k in range(0, len(i), BLOCK_SUMS):
+            block = slice(k, k + BLOCK_SUMS)
+            ok[block] = _APART[self.sig[i[block]], self.sig[j[block]]].sum(axis=1, dtype=np.int64) <= alone[block]
         i, j = i[ok], j[ok]
         if self.often is not None and len(i):
             left, right = (np.array([self.often[k] for k in x.tolist()], np.int64) for x in (i, j))
@@ -126,8 +141,8 @@ class OddEntries(Entries):
 
 
 def sketches(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, sid (hash of the set), minima (keys of its bands), narrow (its odd sketch), sig; null but for the
-    first two where the set is empty."""
+    """doc_id, n_shingles, sid (hash of the set), minima (keys of its bands), narrow (its odd sketch and counts of its tokens
+    by group), sig (wide counts); null but for the first two where the set is empty."""
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, sid long, minima array<long>, narrow binary, sig binary").fields])
 
     def run(batches):
@@ -140,7 +155,9 @@ def sketches(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) ->
                 tokens = shingle_set(words, length)
                 if len(tokens):
                     samples = sketcher.samples(tokens)
-                    rows.append((len(tokens), _sid(tokens), sketcher.bands(samples), sketcher.sketch(samples), signature(tokens)))
+                    wide = signature(tokens)
+                    narrow = sketcher.sketch(samples) + folded(np.frombuffer(wide, np.uint8)).tobytes()
+                    rows.append((len(tokens), _sid(tokens), sketcher.bands(samples), narrow, wide))
                 else:
                     rows.append((0, None, None, None, None))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
