@@ -13,6 +13,7 @@ from ..operators import construct, convert, products, reduce, structure
 from ..solvers import graphs, integrate, linalg, multigrid, quantum
 from ..sources.matrix_market import mmread, mmwrite
 from .matrix import DenseMatrix, SparseMatrix, Vector
+from .ordering import numbered
 from .scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,140 +456,252 @@ def rk_stage(spark, d):
     return products.rk_stage(stages, [2.0, 4.0, 8.0], 0.5)
 
 
-# Solvers, with closed answers
+# Solvers. The systems come from the tables; solutions are planted whole numbers, so that SQL knows them.
 
-SIDE = 12
-TRUE_X = f"SELECT i, (i % 7 + 1)::DOUBLE AS x FROM (SELECT unnest(range({SIDE * SIDE})) AS i)"
+PLANTED = "SELECT s_suppkey AS i, (s_suppkey % 7 + 1)::DOUBLE AS x FROM supplier"
 
 
-def _system(spark: SparkSession) -> tuple[SparseMatrix, Vector]:
-    a = convert.stored(construct.poisson2d(spark, SIDE), "poisson")
-    x = Vector(spark.range(SIDE * SIDE).select(F.col("id").alias("i"), (F.col("id") % 7 + 1).cast("double").alias("v")), SIDE * SIDE)
-    return a, a @ x
+def supplier_gram(spark: SparkSession, d: str) -> SparseMatrix:
+    """How the suppliers go together: the part-by-supplier quantities times themselves, and the identity."""
+    p = part_supplier(spark, d)
+    return convert.stored((p.T @ p) + construct.eye(spark, p.shape[1]), "gram")
+
+
+def _system(spark: SparkSession, d: str) -> tuple[SparseMatrix, Vector]:
+    a = supplier_gram(spark, d)
+    b = a @ supplier_weights(spark, d)
+    return a, Vector(convert.materialize(b.df, "right-side"), b.size)
 
 
 def _solution(x: Vector) -> DataFrame:
     return x.df.select("i", F.round("v", 3).alias("x"))
 
 
-@register(TRUE_X)
+@register(PLANTED)
 def cg(spark, d):
-    return _solution(linalg.cg(*_system(spark), tol=1e-6, conv_test_iters=5)[0])
+    a, b = _system(spark, d)
+    return _solution(linalg.cg(a, b, tol=1e-9 * b.norm(), conv_test_iters=1)[0])
 
 
-@register(TRUE_X)
+@register(PLANTED)
 def cg_preconditioned(spark, d):
-    a, b = _system(spark)
-    jacobi = linalg.LinearOperator(a.shape, lambda r: r.select("i", (F.col("v") / 4).alias("v")))
-    return _solution(linalg.cg(a, b, M=jacobi, tol=1e-6, conv_test_iters=5)[0])
+    a, b = _system(spark, d)
+    scales = convert.materialize(a.diagonal().df.select("i", F.col("v").alias("_d")), "diagonal")
+    jacobi = linalg.LinearOperator(a.shape, lambda r: r.join(scales, "i").select("i", (F.col("v") / F.col("_d")).alias("v")))
+    return _solution(linalg.cg(a, b, M=jacobi, tol=1e-9 * b.norm(), conv_test_iters=1)[0])
 
 
-@register(TRUE_X)
+@register(PLANTED)
 def spsolve(spark, d):
-    return _solution(linalg.spsolve(*_system(spark)))
+    return _solution(linalg.spsolve(*_system(spark, d)))
 
 
-@register(TRUE_X)
+@register(PLANTED)
 def cgs(spark, d):
-    return _solution(linalg.cgs(*_system(spark), tol=1e-7))
+    a, b = _system(spark, d)
+    return _solution(linalg.cgs(a, b, tol=1e-9 * b.norm(), conv_test_iters=1))
 
 
-@register(TRUE_X)
+@register(PLANTED)
 def bicg(spark, d):
-    return _solution(linalg.bicg(*_system(spark), tol=1e-7))
+    a, b = _system(spark, d)
+    return _solution(linalg.bicg(a, b, tol=1e-9 * b.norm(), conv_test_iters=1))
 
 
-@register(TRUE_X)
+@register(PLANTED)
 def bicgstab(spark, d):
-    return _solution(linalg.bicgstab(*_system(spark), tol=1e-7))
+    a, b = _system(spark, d)
+    return _solution(linalg.bicgstab(a, b, tol=1e-9 * b.norm(), conv_test_iters=1))
 
 
-@register(TRUE_X)
+@register(PLANTED)
 def gmres(spark, d):
-    return _solution(linalg.gmres(*_system(spark), tol=1e-8, restart=30)[0])
+    return _solution(linalg.gmres(*_system(spark, d), tol=1e-10, restart=30)[0])
 
 
-@register(TRUE_X)
+@register(PLANTED)
 def lsqr(spark, d):
-    return _solution(linalg.lsqr(*_system(spark), atol=1e-9, btol=1e-9)[0])
+    """Many more parts than suppliers: a least-squares problem, whose residual is zero at the planted weights."""
+    p = convert.stored(part_supplier(spark, d), "parts")
+    return _solution(linalg.lsqr(p, p @ supplier_weights(spark, d), atol=1e-10, btol=1e-10)[0])
+
+
+BALANCES = "SELECT s_acctbal FROM supplier"
+
+
+def reflected_balances(spark: SparkSession, d: str) -> SparseMatrix:
+    """A dense symmetric matrix whose eigenvalues are the suppliers' balances: their diagonal, reflected at a plane."""
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("d"), (F.col("s_suppkey") % 5 + 1).cast("double").alias("u"))
+    n, square, weighted = rows.agg(F.count("*"), F.sum(F.col("u") * F.col("u")), F.sum(F.col("d") * F.col("u") * F.col("u"))).first()
+    c = 2.0 / square
+    x, y = rows, rows.select(F.col("i").alias("j"), F.col("d").alias("e"), F.col("u").alias("w"))
+    v = F.when(F.col("i") == F.col("j"), F.col("d")).otherwise(0.0) + F.col("u") * F.col("w") * (c * c * weighted - c * (F.col("d") + F.col("e")))
+    return convert.stored(SparseMatrix(x.crossJoin(y).select("i", "j", v.alias("v")), (n, n), "float64", "csr"), "reflected")  # as many cells as a dense matrix has
 
 
-@register("SELECT k - 11 AS rank, round(2 - 2 * cos(k * pi() / 13), 6) AS eigenvalue FROM (SELECT unnest(range(11, 13)) AS k)")
+@register("SELECT 3 - row_number() OVER (ORDER BY s_acctbal DESC) AS rank, round(s_acctbal, 4) AS eigenvalue FROM supplier ORDER BY s_acctbal DESC LIMIT 3")
 def eigsh(spark, d):
-    a = convert.stored(construct.diags(spark, [2.0, -1.0, -1.0], [0, -1, 1], (12, 12)), "laplace")
-    values = linalg.eigsh(a, 2, ncv=11, which="LA", return_eigenvectors=False)
-    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(values)], "rank long, eigenvalue double")
+    """The basis holds a tenth of the space or less, so the iteration has to restart."""
+    a = reflected_balances(spark, d)
+    values = linalg.eigsh(a, 3, ncv=min(a.shape[0] - 1, 20), which="LA", return_eigenvectors=False, tol=1e-8)
+    return spark.createDataFrame([(k, round(float(x), 4)) for k, x in enumerate(values)], "rank long, eigenvalue double")
 
 
-@register("SELECT 7.0::DOUBLE AS norm")
+@register(f"WITH {SN} SELECT round(sqrt(max(n)), 4) AS norm FROM (SELECT count(*) * power(j + 1, 4) AS n FROM n GROUP BY j)")
 def spectral_norm(spark, d):
-    a = construct.diags(spark, [[1.0, 7.0, 3.0, 2.0]], [0], (4, 4))
-    return spark.createDataFrame([(round(linalg.spectral_norm(a), 6),)], "norm double")
+    """Suppliers by nation, the columns weighted: columns do not meet, so the longest one is the norm."""
+    a = supplier_nation(spark, d)
+    weighted = a.over(a.df.select("i", "j", (F.col("v") * F.pow(F.col("j") + 1, F.lit(2))).alias("v")))
+    return spark.createDataFrame([(round(linalg.spectral_norm(convert.stored(weighted), iterations=200), 4),)], "norm double")
 
 
 def _rotation(method: str) -> Query:
     def run(spark, d):
-        y0 = construct.from_triples(spark, [1 + 0j], [0], [0], (1, 1)).df.select("i", "v")
-        out = integrate.solve_ivp(lambda t, y: y.select("i", num.pair(F.col("v.im"), -F.col("v.re")).alias("v")), (0.0, 0.5), Vector(y0, 1, "complex128"), method=method, rtol=1e-4, atol=1e-6)
+        """y' = -iy from the suppliers' weights: every entry turns about zero."""
+        x = supplier_weights(spark, d)
+        y0 = Vector(x.df.select("i", num.pair(F.col("v"), F.lit(0.0)).alias("v")), x.size, "complex128")
+        out = integrate.solve_ivp(lambda t, y: y.select("i", num.pair(F.col("v.im"), -F.col("v.re")).alias("v")), (0.0, 0.5), y0, method=method, rtol=1e-5, atol=1e-7)
         return out.y[-1].df.select("i", F.round("v.re", 3).alias("re"), F.round("v.im", 3).alias("im"))
 
     return run
 
 
 for _method in integrate.METHODS:
-    register("SELECT 0::BIGINT AS i, round(cos(0.5), 3) AS re, round(-sin(0.5), 3) AS im", f"solve_ivp_{_method.lower()}")(_rotation(_method))
+    register(f"WITH {XS} SELECT i, round(v * cos(0.5), 3) AS re, round(-v * sin(0.5), 3) AS im FROM x", f"solve_ivp_{_method.lower()}")(_rotation(_method))
 
 
 # Graphs
 
-CYCLE = 10
-CYCLE_COUNTS = "SELECT * FROM (VALUES (0, 1::BIGINT), (1, 10), (2, 35), (3, 50), (4, 25), (5, 2)) t(size, n)"
+#: Pairs of nations, of which customers of one ordered more from suppliers of the other than pairs do on average.
+TRADE = """trade AS (SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, sum(l_quantity) AS q
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
+edges AS (SELECT a, b FROM trade WHERE q * (SELECT count(*) FROM trade) > (SELECT sum(q) FROM trade)),
+nodes AS (SELECT u, 1::BIGINT << u AS bit, (SELECT coalesce(sum(1::BIGINT << k), 0)::BIGINT FROM (SELECT unnest(range(25)) AS k) WHERE k > u AND NOT EXISTS (SELECT 1 FROM edges WHERE a = u AND b = k)) AS allowed FROM (SELECT unnest(range(25))::INT AS u)),
+sets AS (SELECT 0::BIGINT AS mask, ((1::BIGINT << 25) - 1)::BIGINT AS candidates UNION ALL SELECT mask | bit, candidates & allowed FROM sets JOIN nodes ON candidates & bit <> 0)"""
+#: Names, brands and sizes of parts as nodes; an edge where some part has both values.
+VALUES_GRAPH = """vals AS (SELECT 0 AS kind, p_name AS v FROM part UNION SELECT 1, p_brand FROM part UNION SELECT 2, p_size::VARCHAR FROM part),
+nodes AS (SELECT row_number() OVER (ORDER BY kind, v) - 1 AS u, kind, v FROM vals),
+edges AS (SELECT x.u AS a, y.u AS b FROM part JOIN nodes x ON x.kind = 0 AND x.v = p_name JOIN nodes y ON y.kind = 1 AND y.v = p_brand UNION
+  SELECT x.u, y.u FROM part JOIN nodes x ON x.kind = 0 AND x.v = p_name JOIN nodes y ON y.kind = 2 AND y.v = p_size::VARCHAR UNION
+  SELECT x.u, y.u FROM part JOIN nodes x ON x.kind = 1 AND x.v = p_brand JOIN nodes y ON y.kind = 2 AND y.v = p_size::VARCHAR),
+apart AS (SELECT x.u AS a, y.u AS b FROM nodes x JOIN nodes y ON x.u < y.u WHERE NOT EXISTS (SELECT 1 FROM edges WHERE edges.a = x.u AND edges.b = y.u)),
+pairs AS (SELECT NULL::BIGINT AS a, NULL::BIGINT AS b, 0 AS size UNION ALL SELECT u, NULL, 1 FROM nodes UNION ALL SELECT a, b, 2 FROM apart),
+words AS (SELECT a, b, size, """ + ", ".join(
+    f"((CASE WHEN a // 63 = {k} THEN 1::BIGINT << (a % 63)::INT ELSE 0 END) + (CASE WHEN b // 63 = {k} THEN 1::BIGINT << (b % 63)::INT ELSE 0 END))::BIGINT AS w{k}" for k in range(3)
+) + " FROM pairs)"
+
+
+def trade_graph(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """(a, b), a < b: nations that trade more than pairs of nations do on average."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    sold = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    trade = sold.where("c_nationkey <> s_nationkey").groupBy(F.least("c_nationkey", "s_nationkey").alias("a"), F.greatest("c_nationkey", "s_nationkey").alias("b")).agg(F.sum("l_quantity").alias("q"))
+    trade = convert.materialize(trade, "trade")
+    pairs, total = trade.agg(F.count("*"), F.sum("q")).first()
+    return trade.where(F.col("q") * pairs > F.lit(total)).select("a", "b"), rows_of(spark, d, "nation")
+
+
+def trade_matrix(spark: SparkSession, d: str) -> SparseMatrix:
+    edges, n = trade_graph(spark, d)
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return construct.from_table(both.withColumn("one", F.lit(1.0)), (n, n), "a", "b", "one", assume_unique=True)
+
+
+def value_graph(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """(a, b): values of parts that occur together, numbered by kind and value."""
+    part = table(spark, d, "part").select(F.array("p_name", "p_brand", F.col("p_size").cast("string")).alias("x"))
+    values = part.select(F.posexplode("x").alias("kind", "v")).distinct()
+    nodes = convert.materialize(numbered(values, [F.col("kind"), F.col("v")], "u"), "values")
+    ends = part.distinct().select(F.col("x").alias("p"), F.posexplode("x").alias("kind", "v")).join(nodes, ["kind", "v"])
+    pairs = ends.select("p", F.col("kind").alias("k"), F.col("u").alias("a")).join(ends.select("p", F.col("kind").alias("l"), F.col("u").alias("b")), "p").where("k < l")
+    return pairs.select("a", "b").distinct(), nodes.count()
+
+
+@register(f"WITH RECURSIVE {TRADE} SELECT bit_count(mask)::INTEGER AS size, count(*) AS n FROM sets GROUP BY 1")
+def independence_polynomial(spark, d):
+    return quantum.independent_sets(spark, *trade_graph(spark, d)).groupBy("size").agg(F.count("*").alias("n"))
 
 
-def _cycle() -> list[tuple[int, int]]:
-    return [(k, (k + 1) % CYCLE) for k in range(CYCLE)]
+@register(f"WITH RECURSIVE {TRADE} SELECT mask, bit_count(mask)::INTEGER AS size FROM sets")
+def independent_sets(spark, d):
+    return quantum.sets_to_sizes(quantum.independent_sets(spark, *trade_graph(spark, d)))
 
 
-@register(CYCLE_COUNTS)
-def independence_polynomial(spark, d):
-    return quantum.independent_sets(spark, _cycle(), CYCLE).groupBy("size").agg(F.count("*").alias("n"))
+@register(f"""WITH RECURSIVE {TRADE}, s AS (SELECT mask, (SELECT count(*) FROM sets) - row_number() OVER (ORDER BY bit_count(mask), mask) AS i FROM sets),
+less AS (SELECT i, mask - (1::BIGINT << u) AS mask FROM s JOIN (SELECT unnest(range(25))::INT AS u) ON mask & (1::BIGINT << u) <> 0)
+SELECT less.i, s.i AS j, 1.0::DOUBLE AS v FROM less JOIN s USING (mask) UNION ALL SELECT s.i, less.i, 1.0 FROM less JOIN s USING (mask)""")
+def hamiltonian(spark, d):
+    return quantum.States(spark, *trade_graph(spark, d)).driver().df
 
 
-@register("SELECT mask::BIGINT AS mask, bit_count(mask)::INTEGER AS size FROM (SELECT unnest(range(1024)) AS mask) WHERE mask & (mask << 1) = 0 AND (mask & 1) * (mask >> 9) = 0")
-def independent_sets(spark, d):
-    return quantum.sets_to_sizes(quantum.independent_sets(spark, _cycle(), CYCLE))
+@register(f"WITH {VALUES_GRAPH} SELECT w0, w1, w2, size::INTEGER AS size FROM words")
+def independent_sets_wide(spark, d):
+    """Sets of up to two of more nodes than a word holds: names, brands and sizes that no part has together."""
+    edges, n = value_graph(spark, d)
+    sets = quantum.sets_to_sizes(quantum.independent_sets(spark, edges, n, most=2), n)
+    return sets.select(*(F.col(f"mask.w{k}") if k < quantum.Masks(n).words else F.lit(0).cast("long").alias(f"w{k}") for k in range(3)), "size")
 
 
-@register("""WITH s AS (SELECT mask, (SELECT count(*) FROM (SELECT unnest(range(1024)) AS m) WHERE m & (m << 1) = 0 AND (m & 1) * (m >> 9) = 0) - row_number() OVER (ORDER BY bit_count(mask), mask) AS i
-  FROM (SELECT unnest(range(1024)) AS mask) WHERE mask & (mask << 1) = 0 AND (mask & 1) * (mask >> 9) = 0)
-SELECT x.i::BIGINT AS i, y.i::BIGINT AS j, 1.0::DOUBLE AS v FROM s x JOIN s y ON bit_count(xor(x.mask, y.mask)) = 1""")
-def hamiltonian(spark, d):
-    return quantum.States(spark, _cycle(), CYCLE).driver().df
+@register(f"WITH {VALUES_GRAPH} SELECT size::INTEGER AS size, count(*) AS n FROM pairs GROUP BY size UNION ALL SELECT 3, count(*) FROM apart p JOIN apart q ON p.b = q.a JOIN apart r ON r.a = p.a AND r.b = q.b")
+def independence_polynomial_wide(spark, d):
+    edges, n = value_graph(spark, d)
+    return quantum.independent_sets(spark, edges, n, most=3).groupBy("size").agg(F.count("*").alias("n"))
+
+
+@register(f"""WITH {VALUES_GRAPH}, s AS (SELECT a, b, size, (SELECT count(*) FROM pairs) - row_number() OVER (ORDER BY size, w2, w1, w0) AS i FROM words),
+less AS (SELECT x.i, y.i AS j FROM s x JOIN s y ON x.size = 2 AND y.size = 1 AND (y.a = x.a OR y.a = x.b) UNION ALL SELECT x.i, y.i FROM s x JOIN s y ON x.size = 1 AND y.size = 0)
+SELECT i, j, 1.0::DOUBLE AS v FROM less UNION ALL SELECT j, i, 1.0 FROM less""")
+def hamiltonian_wide(spark, d):
+    edges, n = value_graph(spark, d)
+    return quantum.States(spark, edges, n, most=2).driver().df
+
+
+def part_links(spark: SparkSession, d: str) -> SparseMatrix:
+    """Parts that were ordered together."""
+    o = order_part(spark, d)
+    ones = o.with_data(lambda v: F.lit(1.0))
+    return convert.stored(ones.T @ ones, "links")
 
 
 @register("SELECT 0::BIGINT AS adjacent, 0::BIGINT AS uncovered")
 def mis_check(spark, d):
-    a = construct.poisson2d(spark, SIDE)
+    a = part_links(spark, d)
     return graphs.violations(a, graphs.maximal_independent_set(a))
 
 
-@register(f"SELECT {SIDE * SIDE}::BIGINT AS coloured, 0::BIGINT AS clashes")
+@register("SELECT count(*) AS coloured, 0::BIGINT AS clashes FROM nation")
 def colouring_check(spark, d):
-    a = construct.poisson2d(spark, SIDE)
+    a = convert.stored(trade_matrix(spark, d), "trade")
     colours = graphs.colouring(a)
     edges = a.df.where("i <> j").join(colours.withColumnRenamed("colour", "_c"), "i").join(colours.select(F.col("i").alias("j"), "colour"), "j")
     return colours.agg(F.count("*").alias("coloured")).join(edges.agg(F.count_if(F.col("_c") == F.col("colour")).alias("clashes")))
 
 
-@register(f"SELECT i, (i % 7 + 1)::DOUBLE AS x FROM (SELECT unnest(range({SIDE * SIDE})) AS i)")
+# Multigrid: the entries of a grid are the numbers of items by the months of their order and their shipment
+
+MONTHS = 12
+MONTH_COUNTS = """WITH c AS (SELECT (month(o_orderdate) - 1) * 12 + month(l_shipdate) - 1 AS i, count(*)::DOUBLE AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT r.i, coalesce(x, 0.0) AS x FROM (SELECT unnest(range(144)) AS i) r LEFT JOIN c USING (i)"""
+
+
+def _month_system(spark: SparkSession, d: str) -> tuple[SparseMatrix, Vector]:
+    """The five-point stencil on the grid of months, and what it makes of the counts."""
+    items = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    cell = ((F.month("o_orderdate") - 1) * MONTHS + F.month("l_shipdate") - 1).cast("long")
+    counts = Vector(items.groupBy(cell.alias("i")).agg(F.count("*").cast("double").alias("v")), MONTHS * MONTHS)
+    a = convert.stored(construct.poisson2d(spark, MONTHS), "poisson")
+    return a, Vector(convert.materialize((a @ counts).df, "right-side"), MONTHS * MONTHS)
+
+
+@register(MONTH_COUNTS)
 def gmg_solve(spark, d):
-    a, b = _system(spark)
-    m = multigrid.preconditioner(multigrid.geometric(spark, a, SIDE, coarsest=10))
-    return _solution(linalg.cg(a, b, M=m, tol=1e-6, conv_test_iters=1)[0])
+    a, b = _month_system(spark, d)
+    m = multigrid.preconditioner(multigrid.geometric(spark, a, MONTHS, coarsest=10))
+    return _solution(linalg.cg(a, b, M=m, tol=1e-8 * b.norm(), conv_test_iters=1)[0])
 
 
-@register(f"SELECT i, (i % 7 + 1)::DOUBLE AS x FROM (SELECT unnest(range({SIDE * SIDE})) AS i)")
+@register(MONTH_COUNTS)
 def amg_solve(spark, d):
-    a, b = _system(spark)
+    a, b = _month_system(spark, d)
     m = multigrid.preconditioner(multigrid.algebraic(a, coarsest=12))
-    return _solution(linalg.cg(a, b, M=m, tol=1e-6, conv_test_iters=1)[0])
+    return _solution(linalg.cg(a, b, M=m, tol=1e-8 * b.norm(), conv_test_iters=1)[0])

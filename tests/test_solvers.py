@@ -142,3 +142,41 @@ def test_a_span_of_no_length_has_a_constant_solution(spark):
     y0 = Vector(spark.createDataFrame([(0, 2.0)], "i long, v double"), 1)
     out = integrate.solve_ivp(lambda t, y: y, (1.0, 1.0), y0, method="DOP853", dense_output=True)
     assert out.status == 0 and [r.v for r in out.sol(1.0).df.collect()] == [2.0]
+
+
+def test_sets_of_several_words(spark):
+    """A graph of 130 nodes against plain Python, and that words change nothing for a small one."""
+    n, rng = 130, np.random.default_rng(4)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, n, (4000, 2)) if a < b}
+    apart = {(a, b) for a in range(n) for b in range(a + 1, n)} - edges
+    table = spark.createDataFrame([*edges, *((b, a) for a, b in list(edges)[:50])], "a long, b long")
+    sets = quantum.sets_to_sizes(quantum.independent_sets(spark, table, n, most=3), n).collect()
+    low = 1 << quantum.WORD
+    got = sorted((r["size"], r["mask"]["w0"] + low * r["mask"]["w1"] + low**2 * r["mask"]["w2"]) for r in sets)
+    threes = [(a, b, c) for a, b in apart for c in range(b + 1, n) if (a, c) in apart and (b, c) in apart]
+    assert got == sorted([(0, 0), *((1, 1 << u) for u in range(n)), *((2, 1 << a | 1 << b) for a, b in apart), *((3, 1 << a | 1 << b | 1 << c) for a, b, c in threes)])
+    assert quantum.independence_polynomial(spark, table, n, most=2) == [1, n, len(apart)]
+    states = quantum.States(spark, table, n, most=2)
+    assert states.optimum() == 2.0 and states.driver().nnz == 2 * (n + 2 * len(apart))
+    path = [(63 + k, 64 + k) for k in range(4)] + [(a, b) for a in range(63) for b in range(a + 1, 68)]  # the first 63 nodes exclude all others
+    assert quantum.independence_polynomial(spark, path, 68) == [1, 5 + 63, 6, 1]
+
+
+def test_conjugate_gradients_take_one_job_a_step(spark):
+    rng = np.random.default_rng(2)
+    s = rng.normal(size=(30, 12))
+    a, x = s.T @ s + np.eye(12), np.arange(12.0) - 4
+    m, b = sparse(spark, a), construct.vector(spark, a @ x)
+    m = m.over(m.df.coalesce(1).persist())
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for steps in (3, 7):
+        group = f"cg-{steps}"
+        spark.sparkContext.setJobGroup(group, group)
+        linalg.cg(m, b, tol=0.0, maxiter=steps)
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("others", "others")
+    per_step = (jobs[1] - jobs[0]) / 4
+    assert per_step <= 3, jobs  # stages of one query that are run apart (a broadcast, an exchange) count as jobs
+    got, _ = linalg.cg(m, b, tol=1e-9, conv_test_iters=1)
+    assert np.linalg.norm(a @ values(got) - a @ x) <= 1e-9
+    assert np.allclose(values(linalg.cg(m, b, tol=1e-30, maxiter=200, conv_test_iters=1)[0]), x)
