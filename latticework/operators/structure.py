@@ -1,4 +1,4 @@
-"""Diagonals and layout."""
+"""Diagonals."""
 
 from __future__ import annotations
 
@@ -15,9 +15,3 @@ def diagonal(a: SparseMatrix, k: int = 0) -> Vector:
     entries = a.df.where(F.col("j") - F.col("i") == k).select(F.least("i", "j").alias("i"), "v")
     summed = entries.groupBy("i").agg(num.total(F.col("v"), a.dtype).alias("v"))
     return Vector(Vector(summed, length, a.dtype).filled(), length, a.dtype)
-
-
-def balance(a: SparseMatrix, partitions: int | None = None) -> SparseMatrix:
-    """Entries dealt out by row so that partitions hold about equally many: ranges are chosen from a sample of the entries."""
-    by = [F.col("i")]
-    return a.over(a.df.repartitionByRange(partitions, *by) if partitions else a.df.repartitionByRange(*by))

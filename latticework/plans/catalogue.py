@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numbers as num
-from ..operators import construct, convert, products, reduce, structure
+from ..operators import construct, convert, partitioned, products, reduce, structure
 from ..solvers import graphs, integrate, linalg, multigrid, quantum
 from ..sources.matrix_market import mmread, mmwrite
 from .matrix import DenseMatrix, SparseMatrix, Vector
@@ -213,6 +214,14 @@ def nnz(spark, d):
     return a.df.agg(F.count("*").alias("nnz")).join(reduce.bounds(a))
 
 
+@register(f"WITH {PS} SELECT 16::BIGINT AS partitions, count(*)::BIGINT AS entries, 0::BIGINT AS uneven FROM a")
+def balance(spark, d):
+    """Suppliers by part in 16 partitions; uneven are those off the mean by more than a tenth."""
+    sizes = part_supplier(spark, d).T.balance(16).df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    mean = F.sum("n").over(Window.partitionBy()) / 16
+    return sizes.withColumn("_off", F.abs(F.col("n") / mean - 1)).agg(F.count("*").alias("partitions"), F.sum("n").alias("entries"), F.count_if(F.col("_off") > 0.1).alias("uneven"))
+
+
 @register(f"WITH {OP} SELECT r.i, coalesce(sum(o.v), 0) AS v FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS i) r LEFT JOIN o USING (i) GROUP BY r.i")
 def row_sums(spark, d):
     return order_part(spark, d).sum(axis=1).df
@@ -345,7 +354,23 @@ def spmv(spark, d):
 
 @register(SPMV)
 def spmv_colsplit(spark, d):
-    return part_supplier(spark, d).dot(supplier_weights(spark, d), column_split=True).df
+    with partitioned.ColumnBuckets(part_supplier(spark, d)) as buckets:
+        return convert.materialize(buckets.spmv(supplier_weights(spark, d)).df, "split-product")
+
+
+LINKS = "links AS (SELECT x.l_partkey AS i, y.l_partkey AS j, count(*)::DOUBLE AS v FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) y USING (l_orderkey) GROUP BY 1, 2)"
+
+
+@register(f"""WITH {LINKS}, s1 AS (SELECT i, sum(v) AS v FROM links GROUP BY i), s2 AS (SELECT links.i, sum(links.v * s1.v) AS v FROM links JOIN s1 ON s1.i = links.j GROUP BY 1)
+SELECT links.i, sum(links.v * s2.v) AS v FROM links JOIN s2 ON s2.i = links.j GROUP BY 1""")
+def repeated_products(spark, d):
+    """Walks of three steps from each part to parts ordered with it: three products with one exchange each."""
+    a = part_links(spark, d)
+    x = Vector(spark.range(a.shape[0]).select(F.col("id").alias("i"), F.lit(1.0).alias("v")), a.shape[0])
+    with partitioned.ColumnBuckets(a) as buckets:
+        for _ in range(3):
+            x = buckets.spmv(x)
+        return convert.materialize(x.df, "walks")
 
 
 @register(SPMV)
@@ -392,15 +417,26 @@ def spgemm_csr(spark, d):
 
 @register(SPGEMM)
 def spgemm_csc(spark, d):
-    return (part_supplier(spark, d) @ supplier_nation(spark, d).tocsc()).df
+    return (part_supplier(spark, d).tocsr() @ supplier_nation(spark, d).tocsc()).df
+
+
+GRAM = f"WITH {PS} SELECT x.j AS i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2"
 
 
-@register(f"WITH {PS} SELECT x.j AS i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2")
+@register(GRAM)
 def gram(spark, d):
     a = part_supplier(spark, d)
     return (a.T @ a).df
 
 
+@register(GRAM)
+def spgemm_grid(spark, d):
+    """The same product on a grid, sliced along the parts too."""
+    a = convert.stored(part_supplier(spark, d), "parts")
+    chosen = partitioned.choose_grid(partitioned.profile(a.T, a), spark.sparkContext.defaultParallelism) or partitioned.Grid(1, 1)
+    return partitioned.spgemm_grid(a.T.tocsr(), a.tocsc(), partitioned.Grid(chosen.rows, chosen.columns, 2)).df
+
+
 @register(f"WITH {PS} SELECT i, min(v) + 1 AS v FROM a GROUP BY i")
 def min_plus_spmv(spark, d):
     a = part_supplier(spark, d)

@@ -135,7 +135,7 @@ class SparseMatrix:
         return total(self, axis, dtype)
 
     def balance(self, partitions: int | None = None) -> SparseMatrix:
-        from ..operators.structure import balance
+        from ..operators.partitioned import balance
 
         return balance(self, partitions)
 
@@ -196,7 +196,11 @@ class SparseMatrix:
         if isinstance(other, DenseMatrix):
             return products.spmm(self, other)
         if isinstance(other, SparseMatrix):
-            return products.spgemm(self, other)
+            if (self.format, other.format) == ("csr", "csc") and not options:
+                from ..operators.partitioned import spgemm_grid
+
+                return spgemm_grid(self, other)
+            return products.spgemm(self, other, **options)
         raise TypeError("a product takes a vector or a matrix")
 
     def __matmul__(self, other):

@@ -26,7 +26,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
+def settings(spark: SparkSession, values: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in values}
     try:
         for k, v in values.items():
@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written once and read back, and where it lies."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _settings(spark, WHILE_WRITING):
+    with settings(spark, WHILE_WRITING):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
