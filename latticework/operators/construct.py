@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as num
@@ -118,22 +121,45 @@ def kron(a: SparseMatrix, b: SparseMatrix, format: str | None = None) -> SparseM
     return SparseMatrix(cells, (ma * mb, na * nb), dtype, format or a.format)
 
 
-def random(spark: SparkSession, m: int, n: int, density: float = 0.01, format: str = "coo", dtype: str = "float64", seed: int = 0) -> SparseMatrix:
-    """round(density * m * n) distinct cells with uniform values.
+#: Rounds of the permutation of cells, and the most steps of a walk along its cycles.
+ROUNDS, LONGEST_WALK = 7, 64
+
+
+def permuted(number: Column, size: int, seed: int) -> Column:
+    """The image of a number below size under a permutation of these numbers that the seed chooses.
+
+    A Feistel network permutes pairs of numbers below the square root of size, rounded up; a value that lies beyond size
+    is permuted again, until one does not: this walk stays on its cycle, so that no image is met twice. A cycle holds at
+    most side * side - size values beyond, which bounds the walk of small sizes; of large ones hardly any lies beyond."""
+    side = math.isqrt(max(0, size - 1)) + 1
+    half = F.lit(side).cast("long")
+
+    def network(x: Column) -> Column:
+        def turn(s: Column, k: Column) -> Column:
+            return F.struct(s["r"].alias("l"), ((s["l"] + F.pmod(F.xxhash64(s["r"], k, F.lit(seed)), half)) % half).alias("r"))
+
+        start = F.struct(F.floor(x / half).cast("long").alias("l") if size < 1 << 52 else F.call_function("div", x, half).alias("l"), (x % half).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["l"] * half + s["r"])
+
+    walk = F.sequence(F.lit(1), F.lit(max(1, min(LONGEST_WALK, side * side - size))))
+    end = F.aggregate(walk, network(number), lambda x, _: F.when(x < size, x).otherwise(network(x)))
+    return F.when(end < size, end).otherwise(F.raise_error(F.lit("a walk of the permutation is too long")).cast("long"))
+
+
+def random(spark: SparkSession, m: int, n: int, density: float = 0.01, format: str = "coo", dtype: str = "float64", seed: int = 0, data_rvs: Callable[[Column], Column] | None = None) -> SparseMatrix:
+    """round(density * m * n) distinct cells, drawn without replacement. data_rvs makes a value of a uniform number between
+    0 and 1, which is the value otherwise.
 
-    Cells are the images of 0, 1, 2 ... under a permutation of the cell numbers (an affine map modulo their number), so
-    that none is drawn twice and nothing is shuffled."""
+    Cells are the images of 0, 1, 2 ... under a keyed permutation of the cell numbers, so that none is drawn twice,
+    nothing is shuffled, and a lost part is drawn again alike."""
     check(0 <= density <= 1, "a density lies between 0 and 1")
-    cells, rng = m * n, np.random.default_rng(seed)
-    count = round(density * cells)
-    step = int(rng.integers(1, max(2, cells)))
-    while cells and np.gcd(step, cells) != 1:
-        step += 1
-    begin = int(rng.integers(0, max(1, cells)))
-    number = F.pmod(F.col("id").cast("decimal(38,0)") * F.lit(step).cast("decimal(19,0)") + F.lit(begin), F.lit(max(1, cells)).cast("decimal(19,0)")).cast("long")
+    cells = m * n
+    check(cells < 1 << 62, "too many cells to be numbered")
     uniform = F.shiftrightunsigned(F.xxhash64("c", F.lit(seed)), 11) / F.lit(float(1 << 53))  # of the cell, however rows are dealt
-    rows = spark.range(count).withColumn("c", number).select(F.floor(F.col("c") / n).cast("long").alias("i") if cells < 1 << 52 else F.expr(f"c div {n}").alias("i"), (F.col("c") % n).alias("j"), uniform.cast(num.spark_type(dtype)).alias("v"))
-    return SparseMatrix(rows, (m, n), dtype, format)
+    value = uniform if data_rvs is None else data_rvs(uniform)
+    row = F.floor(F.col("c") / n).cast("long") if cells < 1 << 52 else F.expr(f"c div {n}")
+    rows = spark.range(round(density * cells)).select(permuted(F.col("id"), max(1, cells), seed).alias("c"))
+    return SparseMatrix(rows.select(row.alias("i"), (F.col("c") % max(1, n)).alias("j"), value.cast(num.spark_type(dtype)).alias("v")), (m, n), dtype, format)
 
 
 rand = random

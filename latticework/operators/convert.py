@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import numbers as num
 from ..plans.matrix import DenseMatrix, SparseMatrix
 from ..plans.scratch import materialize
+from .blocks import row_array, sorted_entries
 
 #: Rows that are counted together before the running sum over the blocks.
 ROW_BLOCK = 1 << 16
@@ -54,13 +55,10 @@ def diagonals(a: SparseMatrix) -> DataFrame:
 
 
 def to_dense(a: SparseMatrix) -> DenseMatrix:
-    """Every row as an array of the matrix's width; for matrices whose rows fit in memory."""
-    n = a.shape[1]
-    entries = a.df.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("_m"))
+    """Every row as an array of the matrix's width; for matrices whose rows fit in memory (blocks are for all others)."""
+    entries = a.df.groupBy("i").agg(sorted_entries("j", "v").alias("_e"))
     every = a.spark.range(a.shape[0]).select(F.col("id").alias("i")).join(entries, "i", "left")
-    columns = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")) if n else F.array().cast("array<bigint>")
-    row = F.transform(columns, lambda j: F.coalesce(F.element_at("_m", j), num.zero(a.dtype)))
-    return DenseMatrix(every.select("i", row.alias("row")), a.shape, a.dtype)
+    return DenseMatrix(every.select("i", row_array("_e", a.shape[1], a.dtype).alias("row")), a.shape, a.dtype)
 
 
 def to_arrays(a: SparseMatrix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as num
 from ..plans.matrix import DenseMatrix, SparseMatrix, Vector, check
+from .blocks import laid_out, sorted_entries
 
 
 def _same(a, b) -> str:
@@ -50,6 +51,6 @@ def multiply_dense(a: SparseMatrix, b: DenseMatrix | Vector) -> SparseMatrix:
 def add_dense(a: SparseMatrix, b: DenseMatrix) -> DenseMatrix:
     """A dense sum; each dense row takes the entries of its row."""
     check(a.shape == b.shape, f"shapes {a.shape} and {b.shape} differ")
-    entries = a.astype("float64").df.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("_m"))
-    value = F.transform("row", lambda x, k: x + F.coalesce(F.element_at("_m", k.cast("long")), F.lit(0.0)))
-    return DenseMatrix(b.df.join(entries, "i", "left").select("i", F.when(F.col("_m").isNull(), F.col("row")).otherwise(value).alias("row")), a.shape)
+    entries = a.astype("float64").df.groupBy("i").agg(sorted_entries("j", "v").alias("_e"))
+    value = F.zip_with("row", laid_out(F.col("_e"), F.size("row"), F.lit(0.0)), lambda x, y: x + y)
+    return DenseMatrix(b.df.join(entries, "i", "left").select("i", F.when(F.col("_e").isNull(), F.col("row")).otherwise(value).alias("row")), a.shape)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as num
-from ..plans.matrix import DenseMatrix, SparseMatrix, Vector, check
+from ..plans.matrix import DenseBlocks, DenseMatrix, SparseMatrix, Vector, check
+from .blocks import row_array, sorted_entries
 
 BROADCAST_BYTES = 64 << 20
 
@@ -51,6 +52,13 @@ def spmv(a: SparseMatrix, x: Vector, column_split: bool = False, semiring: Semir
     return Vector(joined.groupBy("i").agg(ring.add(ring.multiply(F.col("v"), F.col("_x"))).alias("v")), a.shape[0], dtype)
 
 
+def spmv_many(a: SparseMatrix, x: DataFrame, width: int) -> DataFrame:
+    """(i, c, v): A times each of `width` vectors, given as (i, c, v) with c their number, through one join."""
+    values = x.select(F.col("i").alias("j"), "c", F.col("v").alias("_x"))
+    joined = a.astype("float64").df.join(hinted(values, a.shape[1] * width, 24), "j")
+    return joined.groupBy("i", "c").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
+
+
 def spgemm(a: SparseMatrix, b: SparseMatrix, semiring: Semiring | None = None) -> SparseMatrix:
     """C = A B; an entry whose terms cancel stays stored."""
     check(a.shape[1] == b.shape[0], f"shapes {a.shape} and {b.shape} do not fit")
@@ -92,19 +100,18 @@ def dense_times_sparse(b: DenseMatrix, a: SparseMatrix) -> DenseMatrix:
     left = b.long().select("i", F.col("j").alias("_k"), F.col("v").alias("_b"))
     right = a.astype("float64").df.select(F.col("i").alias("_k"), F.col("j").alias("c"), F.col("v").alias("_a"))
     cells = left.join(right, "_k").groupBy("i", "c").agg(F.sum(F.col("_b") * F.col("_a")).alias("v"))
-    n = a.shape[1]
-    rows = cells.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("_m"))
+    rows = cells.groupBy("i").agg(sorted_entries("c", "v").alias("_e"))
     every = a.spark.range(b.shape[0]).select(F.col("id").alias("i")).join(rows, "i", "left")
-    row = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda j: F.coalesce(F.element_at("_m", j), F.lit(0.0)))
-    return DenseMatrix(every.select("i", row.alias("row")), (b.shape[0], n))
+    return DenseMatrix(every.select("i", row_array("_e", a.shape[1]).alias("row")), (b.shape[0], a.shape[1]))
 
 
 def dot_of(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def sddmm(a: SparseMatrix, c: DenseMatrix, d: DenseMatrix) -> SparseMatrix:
-    """A_ij (C D)_ij where A stores an entry: each entry fetches its row of C and its column of D."""
+def sddmm(a: SparseMatrix, c: DenseMatrix, d: DenseMatrix | DenseBlocks) -> SparseMatrix:
+    """A_ij (C D)_ij where A stores an entry: each entry fetches its row of C and its column of D, arrays as long as the
+    factors share an index. D is best given in blocks, where it is wide."""
     check(c.shape[0] == a.shape[0] and d.shape[1] == a.shape[1] and c.shape[1] == d.shape[0], "the factors do not fit the matrix")
     columns = d.long().groupBy(F.col("j")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e")).select("j", F.col("e.v").alias("_d"))
     rows = c.df.select("i", F.col("row").alias("_c"))

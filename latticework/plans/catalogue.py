@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numbers as num
-from ..operators import construct, convert, partitioned, products, reduce, structure
+from ..operators import blocks, construct, convert, partitioned, products, reduce, structure
 from ..solvers import graphs, integrate, linalg, multigrid, quantum
 from ..sources.matrix_market import mmread, mmwrite
-from .matrix import DenseMatrix, SparseMatrix, Vector
+from .matrix import DenseBlocks, DenseMatrix, SparseMatrix, Vector
 from .ordering import numbered
 from .scratch import scratch_dir
 
@@ -141,7 +141,7 @@ def dense_to_csr(spark, d):
 
 @register(f"WITH {SN} SELECT r.i, c.j, coalesce(n.v, 0.0)::DOUBLE AS v FROM (SELECT unnest(range({SUPPLIERS})) AS i) r CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM nation))) AS j) c LEFT JOIN n ON n.i = r.i AND n.j = c.j")
 def csr_to_dense(spark, d):
-    return supplier_nation(spark, d).todense().long()
+    return supplier_nation(spark, d).toblocks(16).long()
 
 
 @register("SELECT j - k AS i, j::BIGINT AS j, (j + 1)::DOUBLE AS v FROM (SELECT unnest([0, -1, 2]) AS k) CROSS JOIN (SELECT unnest(range(4)) AS j) WHERE j - k BETWEEN 0 AND 3")
@@ -184,15 +184,24 @@ def kron(spark, d):
     return construct.kron(supplier_nation(spark, d), construct.eye(spark, 2, 3, 1)).df
 
 
-@register()
+def _random(spark, d, density: float = 0.01, **options) -> SparseMatrix:
+    return construct.random(spark, rows_of(spark, d, "part"), rows_of(spark, d, "supplier"), density, seed=7, **options)
+
+
+@register(f"SELECT i, j, 1.0::DOUBLE AS v FROM (SELECT unnest(range({SUPPLIERS})) AS i) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM nation))) AS j)")
 def random_density(spark, d):
-    return construct.random(spark, 2000, 500, 0.01, seed=7).df
+    """All cells are drawn, each once."""
+    return construct.random(spark, rows_of(spark, d, "supplier"), rows_of(spark, d, "nation"), 1.0, seed=3, data_rvs=lambda u: F.ceil(u + F.lit(1e-18))).df
 
 
-@register("SELECT 10000::BIGINT AS n, 10000::BIGINT AS cells, 0::BIGINT AS outside")
+@register(f"SELECT round(0.01 * {PARTS} * {SUPPLIERS})::BIGINT AS n, round(0.01 * {PARTS} * {SUPPLIERS})::BIGINT AS cells, 0::BIGINT AS outside, 0::BIGINT AS lopsided")
 def random_bounds(spark, d):
-    outside = ~(F.col("i").between(0, 1999) & F.col("j").between(0, 499) & (F.col("v") >= 0) & (F.col("v") < 1))
-    return construct.random(spark, 2000, 500, 0.01, seed=7).df.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("cells"), F.count_if(outside).alias("outside"))
+    """A hundredth of the cells of the part-by-supplier matrix; lopsided counts quarters of the values off by a tenth."""
+    a = _random(spark, d, data_rvs=lambda u: 4 * u)
+    parts, suppliers = a.shape
+    outside = ~(F.col("i").between(0, parts - 1) & F.col("j").between(0, suppliers - 1) & (F.col("v") >= 0) & (F.col("v") < 4))
+    lopsided = sum(F.when(F.abs(F.count_if(F.floor("v") == k) - F.count("*") / 4) > F.count("*") / 40 + 20, 1).otherwise(0) for k in range(4))
+    return a.df.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("cells"), F.count_if(outside).alias("outside"), lopsided.cast("long").alias("lopsided"))
 
 
 # Structure and reductions
@@ -339,7 +348,15 @@ def multiply_col_broadcast(spark, d):
 def add_dense(spark, d):
     a = supplier_nation(spark, d)
     dense = DenseMatrix(spark.range(a.shape[0]).select(F.col("id").alias("i"), F.array_repeat((F.col("id") % 3).cast("double"), a.shape[1]).alias("row")), a.shape)
-    return (a + dense).long()
+    return (a + blocks.from_rows(dense, 16)).long()
+
+
+@register(f"WITH {SN} SELECT r.i, list(coalesce(n.v, 0.0) + r.i % 3 ORDER BY c.j)::VARCHAR AS cells FROM (SELECT unnest(range({SUPPLIERS})) AS i) r CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM nation))) AS j) c LEFT JOIN n ON n.i = r.i AND n.j = c.j GROUP BY r.i")
+def add_dense_rows(spark, d):
+    """The same sum with whole rows as arrays."""
+    a = supplier_nation(spark, d)
+    dense = DenseMatrix(spark.range(a.shape[0]).select(F.col("id").alias("i"), F.array_repeat((F.col("id") % 3).cast("double"), a.shape[1]).alias("row")), a.shape)
+    return (a + dense).df.select("i", F.concat(F.lit("["), F.array_join("row", ", "), F.lit("]")).alias("cells"))
 
 
 # Products
@@ -403,8 +420,12 @@ def spmm_csc(spark, d):
 @register(f"WITH {UV}, {EI}, p AS (SELECT e.k::BIGINT AS i, u.i AS j, sum(u.v * e.x) AS v FROM u JOIN e ON e.i = u.j GROUP BY 1, 2) SELECT r.i, c.j, coalesce(p.v, 0) AS v FROM (SELECT DISTINCT k::BIGINT AS i FROM e) r CROSS JOIN (SELECT unnest(range({USERS})) AS j) c LEFT JOIN p ON p.i = r.i AND p.j = c.j")
 def rmatmul(spark, d):
     e, a = embedding_rows(spark, d), user_vector(spark, d)
-    rows = e.long().groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e")).select(F.col("j").alias("i"), F.col("e.v").alias("row"))
-    return a.T.__rmatmul__(DenseMatrix(rows, e.shape[::-1])).long()
+    return a.T.__rmatmul__(_turned(e)).long()
+
+
+def _turned(e: DenseMatrix) -> DenseBlocks:
+    """The transpose of a dense matrix of few columns, in blocks."""
+    return blocks.from_cells(e.long().select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), e.shape[::-1])
 
 
 SPGEMM = f"WITH {PS}, {SN} SELECT a.i, n.j, sum(a.v * n.v) AS v FROM a JOIN n ON n.i = a.j GROUP BY 1, 2"
@@ -450,8 +471,7 @@ SAMPLED = f"WITH {UV}, {EI}, c AS (SELECT i, j, unnest(range(64)) AS k, v FROM u
 def _sampled(a: SparseMatrix, spark: SparkSession, d: str) -> DataFrame:
     e = embedding_rows(spark, d)
     left = DenseMatrix(spark.range(a.shape[0]).select(F.col("id").alias("i"), F.array(*((F.col("id") * (k + 1) % 7).cast("double") for k in range(e.shape[1]))).alias("row")), (a.shape[0], e.shape[1]))
-    right = e.long().groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e")).select(F.col("j").alias("i"), F.col("e.v").alias("row"))
-    return a.sddmm(left, DenseMatrix(right, (e.shape[1], e.shape[0]))).df
+    return a.sddmm(left, _turned(e)).df
 
 
 @register(SAMPLED)
@@ -527,6 +547,17 @@ def cg_preconditioned(spark, d):
     return _solution(linalg.cg(a, b, M=jacobi, tol=1e-9 * b.norm(), conv_test_iters=1)[0])
 
 
+@register("SELECT s_suppkey AS i, c, ((s_suppkey * (c + 1)) % 7 + 1)::DOUBLE AS x FROM supplier CROSS JOIN (SELECT unnest(range(3)) AS c)")
+def cg_many(spark, d):
+    """Three right sides at once."""
+    a = supplier_gram(spark, d)
+    planted = spark.range(a.shape[0]).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c")).withColumn("v", ((F.col("i") * (F.col("c") + 1)) % 7 + 1).cast("double"))
+    b = convert.materialize(linalg.make_linear_operator(a).matmat(planted, 3), "right-sides")
+    size = b.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
+    x, _ = linalg.cg_many(a, b, 3, tol=1e-9 * size, conv_test_iters=1)
+    return x.select("i", F.col("c").cast("long").alias("c"), F.round("v", 3).alias("x"))
+
+
 @register(PLANTED)
 def spsolve(spark, d):
     return _solution(linalg.spsolve(*_system(spark, d)))

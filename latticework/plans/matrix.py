@@ -58,6 +58,30 @@ class DenseMatrix:
         return self.df.select("i", F.posexplode("row").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
 
 
+@dataclass(frozen=True)
+class DenseBlocks:
+    """(bi, bj, cells): squares of side rows and columns (less at the lower and right border), each an array by row. No value
+    grows with the matrix."""
+
+    df: DataFrame
+    shape: tuple[int, int]
+    side: int
+    dtype: str = "float64"
+
+    def width(self, bj: Column) -> Column:
+        """Columns of a block."""
+        return F.least(F.lit(self.side), F.lit(self.shape[1]) - bj * self.side).cast("int")
+
+    def height(self, bi: Column) -> Column:
+        return F.least(F.lit(self.side), F.lit(self.shape[0]) - bi * self.side).cast("int")
+
+    def long(self) -> DataFrame:
+        """(i, j, v) with every cell."""
+        cells = self.df.select("bi", "bj", F.posexplode("cells").alias("_k", "v")).withColumn("_w", self.width(F.col("bj")))
+        i, j = F.col("bi") * self.side + F.floor(F.col("_k") / F.col("_w")), F.col("bj") * self.side + F.col("_k") % F.col("_w")
+        return cells.select(i.cast("long").alias("i"), j.cast("long").alias("j"), "v")
+
+
 @dataclass(frozen=True)
 class SparseMatrix:
     df: DataFrame
@@ -108,6 +132,11 @@ class SparseMatrix:
 
         return to_dense(self)
 
+    def toblocks(self, side: int | None = None) -> DenseBlocks:
+        from ..operators.blocks import SIDE, to_blocks
+
+        return to_blocks(self, side or SIDE)
+
     # structure
     @property
     def T(self) -> SparseMatrix:
@@ -171,6 +200,10 @@ class SparseMatrix:
 
         if isinstance(other, DenseMatrix):
             return elementwise.add_dense(self, other)
+        if isinstance(other, DenseBlocks):
+            from ..operators.blocks import add_blocks
+
+            return add_blocks(self, other)
         if not isinstance(other, SparseMatrix):
             raise TypeError("only a matrix can be added to a matrix")
         return elementwise.add(self, other)
@@ -208,7 +241,11 @@ class SparseMatrix:
 
     matvec = dot
 
-    def __rmatmul__(self, other: DenseMatrix) -> DenseMatrix:
+    def __rmatmul__(self, other: DenseMatrix | DenseBlocks) -> DenseMatrix | DenseBlocks:
+        if isinstance(other, DenseBlocks):
+            from ..operators.blocks import blocks_times_sparse
+
+            return blocks_times_sparse(other, self)
         from ..operators.products import dense_times_sparse
 
         return dense_times_sparse(other, self)
