@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import numbers as num
 from ..operators import blocks, construct, convert, partitioned, products, reduce, structure
 from ..solvers import graphs, integrate, linalg, multigrid, quantum
+from ..sources import matrix_market as matrix_market_files
 from ..sources.matrix_market import mmread, mmwrite
 from .matrix import DenseBlocks, DenseMatrix, SparseMatrix, Vector
 from .ordering import numbered
@@ -134,6 +136,26 @@ def matrix_market(spark, d):
     return mmread(spark, path).df
 
 
+@register(f"WITH {PS} SELECT i, j, v::DOUBLE AS v FROM a")
+def matrix_market_source(spark, d):
+    """The same through the data source, in stretches of a tenth of a megabyte."""
+    path = f"{scratch_dir(spark)}/matrix-market-{uuid.uuid4().hex}"
+    mmwrite(part_supplier(spark, d), path)
+    return matrix_market_files.load(spark, path, 100_000).df
+
+
+@register(f"WITH {PS} SELECT row_number() OVER (ORDER BY i, j) - 1 AS k, j AS index, v FROM a")
+def csr_indices(spark, d):
+    a = convert.stored(part_supplier(spark, d).tocsr(), "parts")
+    return a.indices.join(a.data, "k")
+
+
+@register(f"WITH {PS} SELECT row_number() OVER (ORDER BY i, j) - 1 AS k, i, j FROM a")
+def coo_coordinates(spark, d):
+    a = convert.stored(part_supplier(spark, d), "parts")
+    return a.row.join(a.col, "k")
+
+
 @register(f"WITH {EI} SELECT i, k::BIGINT AS j, x AS v FROM e WHERE x <> 0")
 def dense_to_csr(spark, d):
     return construct.from_dense(embedding_rows(spark, d)).df
@@ -723,6 +745,33 @@ def hamiltonian_wide(spark, d):
     return quantum.States(spark, edges, n, most=2).driver().df
 
 
+#: Time of the evolution, and terms of the exponential series that SQL sums.
+SPAN, TERMS = 0.05, 14
+_SERIES = ", ".join(f"p{n} AS (SELECT h.i, sum(p{n - 1}.v) AS v FROM h JOIN p{n - 1} ON p{n - 1}.i = h.j GROUP BY h.i)" for n in range(1, TERMS))
+_PARTS = [" + ".join(f"coalesce(p{n}.v, 0) * {(-1) ** (n // 2) * SPAN**n / math.factorial(n)!r}" for n in range(k, TERMS, 2)) for k in range(2)]
+_JOINS = " ".join(f"LEFT JOIN p{n} ON p{n}.i = s.i" for n in range(TERMS))
+
+
+@register(f"""WITH {VALUES_GRAPH}, s AS (SELECT a, b, size, row_number() OVER (ORDER BY size, w2, w1, w0) AS i FROM words),
+less AS (SELECT x.i, y.i AS j FROM s x JOIN s y ON x.size = 2 AND y.size = 1 AND (y.a = x.a OR y.a = x.b) UNION ALL SELECT x.i, y.i FROM s x JOIN s y ON x.size = 1 AND y.size = 0),
+h AS (SELECT i, j FROM less UNION ALL SELECT j, i FROM less), p0 AS (SELECT i, 1.0::DOUBLE AS v FROM s WHERE size = 0), {_SERIES}
+SELECT size::INTEGER AS size, round(sum(pow({_PARTS[0]}, 2) + pow({_PARTS[1]}, 2)), 4) AS p FROM s {_JOINS} GROUP BY size""")
+def hamiltonian_evolution(spark, d):
+    """A state that starts at the empty set and evolves under the driver: how likely sets of each size are in the end."""
+    edges, n = value_graph(spark, d)
+    states = quantum.States(spark, edges, n, most=2)
+    h = convert.stored(states.driver(), "driver")
+
+    def change(t, y):
+        hy = products.spmv(h, Vector(y, states.count, "complex128")).df
+        return hy.select("i", num.pair(F.col("v.im"), -F.col("v.re")).alias("v"))
+
+    start = spark.range(states.count).select(F.col("id").alias("i"), num.pair(F.when(F.col("id") == states.count - 1, 1.0).otherwise(0.0), F.lit(0.0)).alias("v"))
+    out = integrate.solve_ivp(change, (0.0, SPAN), Vector(start, states.count, "complex128"), method="DOP853", rtol=1e-8, atol=1e-9)
+    weights = states.weights(out.y[-1])
+    return weights.groupBy(F.col("cost").cast("int").alias("size")).agg(F.round(F.sum("p"), 4).alias("p"))
+
+
 def part_links(spark: SparkSession, d: str) -> SparseMatrix:
     """Parts that were ordered together."""
     o = order_part(spark, d)

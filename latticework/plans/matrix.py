@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as num
+from .ordering import numbered
 
 FORMATS = ("coo", "csr", "csc", "dia")
 
@@ -153,6 +154,46 @@ class SparseMatrix:
     def nnz(self) -> int:
         return self.df.count()
 
+    def entries(self) -> DataFrame:
+        """(k, i, j, v): the stored entries numbered in their order, by column for csc and by row for all others."""
+        order = ["j", "i"] if self.format == "csc" else ["i", "j"]
+        return numbered(self.df, [F.col(c) for c in order], "k").select("k", "i", "j", "v")
+
+    @property
+    def data(self) -> DataFrame:
+        """(k, v) in the order of entries."""
+        return self.entries().select("k", "v")
+
+    @property
+    def row(self) -> DataFrame:
+        """(k, i) in the order of entries."""
+        return self.entries().select("k", "i")
+
+    @property
+    def col(self) -> DataFrame:
+        """(k, j) in the order of entries."""
+        return self.entries().select("k", "j")
+
+    @property
+    def indices(self) -> DataFrame:
+        """(k, index): columns of a csr matrix, rows of a csc matrix."""
+        check(self.format in ("csr", "csc"), "indices are of compressed formats")
+        return self.entries().select("k", F.col("i" if self.format == "csc" else "j").alias("index"))
+
+    @property
+    def indptr(self) -> DataFrame:
+        """(i, start, end): the stretch of entries of each row of a csr matrix, column of a csc matrix."""
+        from ..operators.convert import row_pointers
+
+        check(self.format in ("csr", "csc"), "pointers are of compressed formats")
+        return row_pointers(self.transpose() if self.format == "csc" else self).select("i", "start", "end")
+
+    def with_indices(self, indices: DataFrame) -> SparseMatrix:
+        """The matrix with other indices (k, index), the values and the pointers staying."""
+        check(self.format in ("csr", "csc"), "indices are of compressed formats")
+        place = "i" if self.format == "csc" else "j"
+        return self.over(self.entries().drop(place).join(indices.select("k", F.col("index").cast("long").alias(place)), "k"))
+
     def diagonal(self, k: int = 0) -> Vector:
         from ..operators.structure import diagonal
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from latticework.functions import numbers as num
 from latticework.operators import construct, convert, products, reduce, formats
 from latticework.plans.matrix import SparseMatrix, Vector, isspmatrix_csr, issparse
+from latticework.sources import matrix_market
 from latticework.sources.matrix_market import mmread, mmwrite
 
 DENSE = np.array([[2.0, 0, 0, 3, 0], [0, 0, 0, 0, 4], [0, 0, 0, 0, 0], [3, 0, 0, 0, 0], [0, 4, 0, 0, 0]])
@@ -182,3 +183,45 @@ def test_matrix_market_folder_whose_header_is_in_its_smallest_part(spark, tmp_pa
     (tmp_path / "part-1").write_text("".join(f"{k} {k} {k}.5\n" for k in range(1, 200)))
     a = mmread(spark, str(tmp_path))
     assert a.shape == (200, 200) and a.df.count() == 199 and a.df.agg(F.sum("v")).first()[0] == sum(range(1, 200)) + 199 / 2
+
+
+def test_matrix_market_data_source(spark, tmp_path):
+    a = sample(30, 20)
+    head = "%%MatrixMarket matrix coordinate real general\n% a comment\n\n"
+    rows = [(i, j) for i, j in zip(*np.nonzero(a), strict=True)]
+    text = head + f"30 20 {len(rows)}\n" + "".join(f"{i + 1}\t {j + 1}  {a[i, j]}\n" + ("% note\n\n" if k % 9 == 0 else "") for k, (i, j) in enumerate(rows))
+    (tmp_path / "a.mtx").write_text(text.rstrip("\n"))
+    matrix_market.register(spark)
+    for size in (1, 7, 64, 1 << 20):
+        got = matrix_market.load(spark, str(tmp_path / "a.mtx"), size)
+        assert got.shape == (30, 20) and {(r["i"], r["j"], r["v"]) for r in got.df.collect()} == {(i, j, a[i, j]) for i, j in rows} and got.nnz == len(rows)
+    assert matrix_market.load(spark, f"file://{tmp_path}/a.mtx", 200).df.rdd.getNumPartitions() > 3
+    (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate pattern symmetric\n3 3 3\n1 1\n2 1\n3 2\n")
+    got = spark.read.format("mtx").load(str(tmp_path / "s.mtx"))
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)]
+    mmwrite(sparse(spark, a), str(tmp_path / "parts"))
+    assert {(r["i"], r["j"], r["v"]) for r in matrix_market.load(spark, str(tmp_path / "parts"), 50).df.collect()} == {(i, j, a[i, j]) for i, j in rows}
+    for wrong in ("%%MatrixMarket matrix array real general\n1 1\n", "no header\n", "%%MatrixMarket matrix coordinate real general\n"):
+        (tmp_path / "wrong.mtx").write_text(wrong)
+        with pytest.raises(ValueError):
+            matrix_market.read_header(str(tmp_path / "wrong.mtx"))
+
+
+def test_parts_of_a_matrix(spark):
+    a = sample(6, 5)
+    i, j = np.nonzero(a)
+    m = sparse(spark, a)
+    assert [r["v"] for r in m.data.orderBy("k").collect()] == a[i, j].tolist()
+    assert [r["index"] for r in m.tocsr().indices.orderBy("k").collect()] == j.tolist()
+    assert [r["i"] for r in m.tocoo().row.orderBy("k").collect()] == i.tolist() and [r["j"] for r in m.tocoo().col.orderBy("k").collect()] == j.tolist()
+    by_column = sorted(zip(j.tolist(), i.tolist(), strict=True))
+    assert [r["index"] for r in m.tocsc().indices.orderBy("k").collect()] == [x for _, x in by_column]
+    ends = [r["end"] for r in m.tocsc().indptr.orderBy("i").collect()]
+    assert ends == np.cumsum((a != 0).sum(axis=0)).tolist()
+    moved = m.tocsr().with_indices(m.tocsr().indices.select("k", (4 - F.col("index")).alias("index")))
+    got = np.zeros((6, 5))
+    for r in moved.df.collect():
+        got[r["i"], r["j"]] = r["v"]
+    assert np.array_equal(got, a[:, ::-1])
+    with pytest.raises(ValueError):
+        m.todia().indices  # noqa: B018
