@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-scratch-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Only a local session, where driver and executors are one process, gets a
     folder of its own where that is unset."""
@@ -20,8 +26,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.partition("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder()
     return base.rstrip("/")
 
 
@@ -82,3 +87,21 @@ class Scratch:
 
     def __exit__(self, *exc) -> None:
         self.drop(*(table for table, _ in list(self._paths.values())))
+
+
+class Chain:
+    """Tables each of which is computed from the one before and replaces it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._path = spark, None
+
+    def next(self, df: DataFrame, name: str = "link") -> DataFrame:
+        out, path = written(df, name)
+        self.drop()
+        self._path = path
+        return out
+
+    def drop(self) -> None:
+        if self._path:
+            remove(self.spark, self._path)
+            self._path = None

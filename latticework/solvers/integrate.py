@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as num
 from ..plans.matrix import Vector, check
-from ..plans.scratch import materialize
+from ..plans.scratch import Chain, materialize, remove, written
 from . import order8
 
 SAFETY, MIN_FACTOR, MAX_FACTOR = 0.9, 0.2, 10.0
@@ -228,15 +228,19 @@ class OdeSolver:
         return StepControl.starting(self.tableau.error_order, state, slope, curvature, min(abs(self.t_bound - self.t), self.max_step))
 
     def _attempt(self, h: float) -> DataFrame:
-        """The stages k0, k1, ... and y_new of one step of length h; the last stage is the slope at y_new."""
+        """The stages k0, k1, ... and y_new of one step of length h; the last stage is the slope at y_new. The tables of the
+        stages before go as they are replaced; that of the attempt stays, for results and interpolants read it."""
         tab, last = self.tableau, len(self.tableau.c)
+        stages = Chain(self.frame.sparkSession)
         frame = self.frame.withColumn("k0", F.col("f"))
         for s in range(1, last):
             frame = frame.withColumn("ys", self.values.combine([(h * w, f"k{j}") for j, w in enumerate(tab.a[s])], "y"))
             # a stage refers to the frame before twice, so that a plan which is not cut would double
-            frame = materialize(self._stage(frame, "ys", self.t + tab.c[s] * h, f"k{s}").drop("ys"), "stage")
+            frame = stages.next(self._stage(frame, "ys", self.t + tab.c[s] * h, f"k{s}").drop("ys"), "stage")
         frame = frame.withColumn("y_new", self.values.combine([(h * w, f"k{s}") for s, w in enumerate(tab.b)], "y"))
-        return materialize(self._stage(frame, "y_new", self.t + h, f"k{last}"), "ode")
+        frame, self._attempted = written(self._stage(frame, "y_new", self.t + h, f"k{last}"), "ode")
+        stages.drop()
+        return frame
 
     def step(self) -> None:
         check(self.status == "running", f"the solver is {self.status}")
@@ -251,6 +255,8 @@ class OdeSolver:
                 return
             frame = self._attempt(h)
             accepted = self.control.accepts(h, self._error(frame, h))
+            if not accepted:
+                remove(frame.sparkSession, self._attempted)
         at_end = h == self.t_bound - self.t
         self.t_old, self.t = self.t, self.t_bound if at_end else self.t + h
         self.interpolant = Interpolant(self.t_old, self.t, frame, self)
@@ -280,9 +286,10 @@ class Interpolant:
     def _stages(self) -> DataFrame:
         if not self._complete:
             solver, h, first = self._solver, self.t - self.t_old, len(self._solver.tableau.c) + 1
+            stages = Chain(self._frame.sparkSession)
             for k, (c, row) in enumerate(solver.tableau.extra):
                 ahead = self._frame.withColumn("ys", solver.values.combine([(h * w, f"k{s}") for s, w in enumerate(row)], "y"))
-                self._frame = materialize(solver._stage(ahead, "ys", self.t_old + c * h, f"k{first + k}").drop("ys"), "stage")
+                self._frame = stages.next(solver._stage(ahead, "ys", self.t_old + c * h, f"k{first + k}").drop("ys"), "stage")
             self._complete = True
         return self._frame
 

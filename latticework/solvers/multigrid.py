@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.convert import stored, to_numpy
 from ..operators.products import hinted, spgemm, spmv
 from ..plans.matrix import SparseMatrix, Vector, check
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, remove, written
 from .graphs import aggregates
 from .linalg import LinearOperator, spectral_norm
 
@@ -111,7 +111,8 @@ def algebraic(a: SparseMatrix, theta: float = 0.0, coarsest: int = COARSEST, see
 
 
 def preconditioner(levels: list[Level]) -> LinearOperator:
-    """One V-cycle with a smoothing step before and after each coarse correction."""
+    """One V-cycle with a smoothing step before and after each coarse correction. The tables of a cycle live until the next
+    one begins, by which the caller has written what it makes of the result."""
     last = levels[-1].a
     inverse = np.linalg.pinv(to_numpy(last))
     spark = last.spark
@@ -120,6 +121,21 @@ def preconditioner(levels: list[Level]) -> LinearOperator:
         last.shape,
     )
 
+    tables: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        tables.append(path)
+        return out
+
+    def begun(b: DataFrame) -> DataFrame:
+        before = tables[:]
+        tables.clear()
+        b = kept(b, "cycle")
+        for path in before:
+            remove(spark, path)
+        return b
+
     def cycle(k: int, b: DataFrame) -> DataFrame:
         if k == len(levels) - 1:
             return spmv(dense, Vector(b, last.shape[1])).df
@@ -136,13 +152,13 @@ def preconditioner(levels: list[Level]) -> LinearOperator:
             ax = spmv(level.a, Vector(x, n)).df.select("i", F.col("v").alias("_ax"))
             return b.join(ax, "i", "full").select("i", (F.coalesce("v", F.lit(0.0)) - F.coalesce("_ax", F.lit(0.0))).alias("v"))
 
-        x = materialize(smooth(None, b), "smoothed")
-        coarse = materialize(spmv(level.p.transpose(), Vector(residual(x, b), n)).df, "restricted")
+        x = kept(smooth(None, b), "smoothed")
+        coarse = kept(spmv(level.p.transpose(), Vector(residual(x, b), n)).df, "restricted")
         fine = spmv(level.p, Vector(cycle(k + 1, coarse), level.p.shape[1])).df.select("i", F.col("v").alias("_c"))
-        x = materialize(x.join(fine, "i", "left").select("i", (F.col("v") + F.coalesce("_c", F.lit(0.0))).alias("v")), "corrected")
+        x = kept(x.join(fine, "i", "left").select("i", (F.col("v") + F.coalesce("_c", F.lit(0.0))).alias("v")), "corrected")
         return smooth(x, b)
 
-    return LinearOperator(levels[0].a.shape, lambda b: cycle(0, materialize(b, "cycle")))
+    return LinearOperator(levels[0].a.shape, lambda b: cycle(0, begun(b)))
 
 
 def complexities(levels: list[Level]) -> dict[str, float]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import construct
 from latticework.plans.matrix import Vector
+from latticework.plans.scratch import scratch_dir
 from latticework.solvers import graphs, integrate, linalg, multigrid, quantum
 
 from .test_matrix import sample, sparse, values
@@ -180,3 +183,30 @@ def test_conjugate_gradients_take_one_job_a_step(spark):
     got, _ = linalg.cg(m, b, tol=1e-9, conv_test_iters=1)
     assert np.linalg.norm(a @ values(got) - a @ x) <= 1e-9
     assert np.allclose(values(linalg.cg(m, b, tol=1e-30, maxiter=200, conv_test_iters=1)[0]), x)
+
+
+def test_solvers_leave_few_tables(spark):
+    """What is left behind does not grow with the steps that were taken."""
+    folder = Path(scratch_dir(spark))
+
+    def left(run) -> int:
+        before = set(folder.iterdir())
+        run()
+        return len(set(folder.iterdir()) - before)
+
+    a = construct.poisson2d(spark, 4)
+    x = construct.vector(spark, np.arange(16.0))
+    levels = multigrid.geometric(spark, a, 4, coarsest=5)
+    m = multigrid.preconditioner(levels)
+    few, more = (left(lambda n=n: linalg.cg(a, a @ x, M=m, tol=0.0, maxiter=n)) for n in (2, 5))
+    assert more <= few + 1
+    y0 = Vector(spark.createDataFrame([(0, 1.0)], "i long, v double"), 1)
+
+    def steps(n):
+        solver = integrate.METHODS["RK45"]
+        out = integrate.solve_ivp(lambda t, y: y.select("i", (-F.col("v")).alias("v")), (0.0, 1.0), y0, method=solver.name, first_step=1.0 / n, max_step=1.0 / n, rtol=1e-2, atol=1e-2)
+        assert len(out.t) == n + 1
+
+    two, four = (left(lambda n=n: steps(n)) for n in (2, 4))
+    assert four - two == 2  # one table a step, which the solution reads
+    assert left(lambda: graphs.maximal_independent_set(a)) == 1 and left(lambda: graphs.colouring(a).count()) <= 1 + 6
