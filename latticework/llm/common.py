@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.scratch import Scratch, materialize
 
-__all__ = ["Scratch", "documents", "held_out", "let", "materialize", "parts_for", "schema_with", "windows", "words_of"]
+__all__ = ["Scratch", "documents", "held_out", "let", "materialize", "parts_for", "schema_with", "shielded", "windows", "words_of"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,3 +57,14 @@ def parts_for(rows: int, per_part: int, least: int = 1, most: int = 1 << 16) ->
 
 def schema_with(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])
+
+
+def shielded(docs: DataFrame, used: set[str], made: set[str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """operator(docs), the columns that it does not use being renamed meanwhile, so that none of its own names can clash with
+    one of the input's. Columns named as those that are made are replaced; all others keep their names and order."""
+    tag = uuid.uuid4().hex[:8]
+    others = {c: f"other_{k}_{tag}" for k, c in enumerate(docs.columns) if c not in used and c not in made}
+    inside = [c for c in docs.columns if c in used and c not in made]
+    out = operator(docs.select(*inside, *(F.col(f"`{c}`").alias(n) for c, n in others.items())))
+    first = [c for c in docs.columns if c in others or c in inside and c in out.columns]
+    return out.select(*(F.col(others.get(c, c)).alias(c) for c in first), *(c for c in out.columns if c not in inside and c not in others.values()))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.ordering import numbered
-from .common import WORD, materialize, parts_for
+from .common import WORD, materialize, parts_for, shielded
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -62,6 +62,10 @@ def mix_sources(docs: DataFrame, sized: DataFrame | None = None, weights=WEIGHTS
     docs has doc_id, source and either size or text. sized: the same rows with doc_id, source and size, if the caller
     has them at hand in a form that is cheaper to read than docs.
     """
+    return shielded(docs, {"doc_id", "source", "size", "text"}, {"source_size", "target", "taken"}, lambda rows: _mixed(rows, sized, weights, share_percent, most_epochs))
+
+
+def _mixed(docs: DataFrame, sized: DataFrame | None, weights, share_percent: int, most_epochs: int) -> DataFrame:
     rows = docs if "size" in docs.columns else docs.withColumn("size", word_count())
     sized = (rows if sized is None else sized).select("doc_id", "source", "size")
     targets = materialize(source_targets(sized, weights, share_percent, most_epochs), "targets")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, let, materialize, windows, words_of
+from .common import SPACES, let, materialize, shielded, windows, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -165,8 +165,13 @@ def common_word_counts(words: Column, common: Column) -> Column:
 
 def judge(docs: DataFrame, references: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """docs with the counts, class_distance, word_distance, base_failed and kept."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
-    docs = docs.select(*(c for c in docs.columns if c not in made))
+    return shielded(docs, {"text", "lang"}, set(MADE), lambda rows: _judged(rows, references))
+
+
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, references: tuple[DataFrame, DataFrame] | None) -> DataFrame:
     docs = docs.withColumn("lang", F.col("lang").cast("string")) if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     classes, common = references or (materialize(class_references(class_counts(docs)), "class-references"), materialize(word_references(docs), "word-references"))
     every = F.broadcast(classes.where("lang IS NULL").select(F.col("class_ref").alias("_every")))  # one row
@@ -180,7 +185,7 @@ def judge(docs: DataFrame, references: tuple[DataFrame, DataFrame] | None = None
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     near = F.coalesce(F.col("class_distance") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
-    return out.select(*docs.columns, *made)
+    return out.select(*docs.columns, *MADE)
 
 
 def class_counts(docs: DataFrame) -> DataFrame:
