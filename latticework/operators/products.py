@@ -7,9 +7,11 @@ pre-aggregated before the second shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,21 +79,62 @@ def spgemm_terms(a: SparseMatrix, b: SparseMatrix) -> int:
 
 
 def spmm(a: SparseMatrix, b: DenseMatrix) -> DenseMatrix:
-    """C = A B with dense rows: row i of C sums the rows of B that row i of A names. Rows stay arrays up to the join;
-    cells are summed by (i, column), which the map side combines, and gathered into rows again."""
+    """C = A B with dense rows: row i of C sums the rows of B that row i of A names.
+
+    Rows stay arrays: an entry that has met its row of B is one value, never one for each column. Batches add up what
+    they hold of a row of C before anything is sent, so that a row with most of the entries comes to its task as one
+    array for each batch; there the arrays of a row, which stand together, are added as they come by."""
     check(a.shape[1] == b.shape[0], f"shapes {a.shape} and {b.shape} do not fit")
     m, n = a.shape[0], b.shape[1]
-    rows = b.df.select(F.col("i").alias("j"), F.col("row"))
+    rows = b.df.select(F.col("i").alias("j"), F.col("row").cast("array<double>").alias("row"))
     joined = a.astype("float64").df.join(hinted(rows, b.shape[0], 8 * max(1, n) + 16), "j")
-    cells = joined.select("i", "v", F.posexplode("row").alias("c", "x")).groupBy("i", "c").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-    return gathered(cells, (m, n), a.spark)
+    parts = joined.select("i", "v", "row").mapInArrow(lambda batches: _added(batches, n), _ROWS)
+    sums = parts.repartition("i").sortWithinPartitions("i").mapInArrow(lambda batches: _merged_rows(batches, n), _ROWS)
+    every = a.spark.range(m).select(F.col("id").alias("i")).join(sums, "i", "left")
+    return DenseMatrix(every.select("i", F.coalesce("row", F.array_repeat(F.lit(0.0), n)).alias("row")), (m, n))
+
+
+_ROWS = "i long, row array<double>"
+
+
+def _arrays(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    return batch.column("row").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
+
+
+def _as_rows(i: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    ends = np.arange(len(i) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(i), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], names=["i", "row"])
+
+
+def _sums(i: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with equal numbers added up; numbers ascending."""
+    order = np.argsort(i, kind="stable")
+    i, rows = i[order], rows[order]
+    starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    return i[starts], np.add.reduceat(rows, starts, axis=0) if rows.shape[1] else rows[starts]
+
+
+def _added(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            v = batch.column("v").to_numpy(zero_copy_only=False)
+            yield _as_rows(*_sums(batch.column("i").to_numpy(), v[:, None] * _arrays(batch, n)))
 
 
-def gathered(cells: DataFrame, shape: tuple[int, int], spark) -> DenseMatrix:
-    """Dense rows from cells (i, c, v) that hold every column of the rows that occur; other rows are zero."""
-    rows = cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("e")).select("i", F.col("e.v").alias("row"))
-    every = spark.range(shape[0]).select(F.col("id").alias("i")).join(rows, "i", "left")
-    return DenseMatrix(every.select("i", F.coalesce("row", F.array_repeat(F.lit(0.0), shape[1])).alias("row")), shape)
+def _merged_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        i, rows = batch.column("i").to_numpy(), _arrays(batch, n)
+        if held is not None:
+            i, rows = np.concatenate((held[0], i)), np.concatenate((held[1], rows))
+        i, rows = _sums(i, rows)
+        held = i[-1:].copy(), rows[-1:].copy()  # its next part may be in the next batch
+        if len(i) > 1:
+            yield _as_rows(i[:-1], rows[:-1])
+    if held is not None:
+        yield _as_rows(*held)
 
 
 def dense_times_sparse(b: DenseMatrix, a: SparseMatrix) -> DenseMatrix:

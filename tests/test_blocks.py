@@ -132,3 +132,20 @@ def test_several_right_sides(spark):
     alone, _ = linalg.cg(sparse(spark, a), construct.vector(spark, a @ x[:, 0]), tol=1e-10, conv_test_iters=1)
     assert np.allclose([r["v"] for r in alone.df.orderBy("i").collect()], from_many(got, x.shape)[:, 0])
     assert isinstance(sparse(spark, a), SparseMatrix)
+
+
+def test_products_with_dense_rows(spark):
+    """A row with most of the entries, empty rows and columns, and batches that cut rows apart."""
+    rng = np.random.default_rng(3)
+    a = sample(40, 300)
+    a[7], a[9:20] = 1, 0
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        for n in (1, 5):
+            b = rng.integers(-4, 5, (300, n)).astype(float)
+            got = sparse(spark, a) @ construct.dense_matrix(spark, b)
+            assert np.array_equal(dense(got), a @ b)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert np.array_equal(dense(construct.make_empty(spark, (3, 2)) @ construct.dense_matrix(spark, np.ones((2, 4)))), np.zeros((3, 4)))
