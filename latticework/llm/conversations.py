@@ -16,13 +16,13 @@ least text of each layer.
 Edge cases: null columns read as one space (a null turn comes first all the same); rows of one turn are ordered by role
 and text; a role is its initial in the pattern, an empty role or one with another initial can be changed or deleted
 alone; a null conv_id is a conversation of its own; conversations that lose all rows are reported with zeros; other
-columns are not read; an empty table gives an empty result. A conversation is one task's: its rows are held together.
+columns are not read; an empty table gives an empty result. A conversation of more than LONG_ROWS rows is never held: its
+rows stream through a task in order, as the hash of its repaired text asks for, at some bytes of memory a row.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACES
+from .common import SPACES, materialize
 
 #: Costs of the edits.
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
@@ -41,10 +42,9 @@ _NEXT = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
 _ENDS = (START, ASSISTANT)
 _INITIAL = {SYSTEM: "s", USER: "u", ASSISTANT: "a"}
 _ROLE = {USER: "user", ASSISTANT: "assistant"}
-#: Text of the rows that a task takes together.
-BLOCK_CHARS = 8 << 20
-
-_SEEN = re.compile(f"[^{SPACES}]")
+#: Text of the rows that a task takes together, rows of a conversation that is held, and conversations beyond these whose
+#: ids are broadcast.
+BLOCK_CHARS, LONG_ROWS, MOST_BROADCAST = 8 << 20, 20_000, 100_000
 
 MUST_GO = "x"
 
@@ -131,6 +131,19 @@ def repaired(rows: list[tuple[str, str]], edits: str) -> Iterator[tuple[str, str
         yield (role if edit == "K" else _ROLE[state]), text
 
 
+class _Symbols:
+    """A long signature at a byte a symbol."""
+
+    def __init__(self):
+        self._bytes = bytearray()
+
+    def append(self, symbol: str) -> None:
+        self._bytes += symbol.encode()
+
+    def __iter__(self) -> Iterator[str]:
+        return map(chr, self._bytes)
+
+
 class _Conversation:
     def __init__(self, conv_id):
         self.conv_id = conv_id
@@ -140,21 +153,27 @@ class _Conversation:
         self.seen: set[tuple[str, str]] = set()
         self.faults = dict.fromkeys(("blank", "duplicate", "truncated"), 0)
         self.illegal = 0
+        self.last: str | None = None
 
     def add(self, turn, role: str, text: str) -> int:
         if turn is not None:
             self.turns.add(turn)
-        if self.rows and self.rows[-1][0][:1] + role[:1] not in ("su", "ua", "au"):
+        self.note(role, text, (role, text) in self.seen)
+        self.seen.add((role, text))
+        self.rows.append((role, text))
+        return len(text)
+
+    def note(self, role: str, text: str, again: bool) -> None:
+        """Counts the row's fault and takes its symbol."""
+        if self.last is not None and self.last + role[:1] not in ("su", "ua", "au"):
             self.illegal += 1
-        again, shown = (role, text) in self.seen, text.rstrip(SPACES)
-        fault = "blank" if not _SEEN.search(text) else "duplicate" if again else "truncated" if shown[-1] not in ".!?" else None
+        self.last = role[:1]
+        shown = text.rstrip(SPACES)
+        fault = "blank" if not shown else "duplicate" if again else "truncated" if shown[-1] not in ".!?" else None
         if fault:
             self.faults[fault] += 1
         initial = role[:1] if role[:1] in ("s", "u", "a") else "o"
         self.symbols.append(MUST_GO if fault in ("blank", "duplicate") else initial.upper() if fault else initial)
-        self.seen.add((role, text))
-        self.rows.append((role, text))
-        return len(text)
 
     def gaps(self) -> int:
         return max(self.turns) - min(self.turns) + 1 - len(self.turns) if self.turns else 0
@@ -175,45 +194,167 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.when(~lost, F.col("turn")).alias("turn"), F.when(~lost, role).alias("role"), text.alias("text"), lost.alias("lost"), F.explode(times).alias("_k")).drop("_k")
 
 
-_RESULT = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
+_COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal")
+_RESULT = f"{', '.join(f'{c} long' for c in _COUNTS)}, cost long, audit string, repaired_sha256 string"
+_TURNS = "place long, role string, text string"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[list[_Conversation]]:
+    """Conversations of sorted rows, so many at a time that their texts come to block_chars."""
+    held, chars = [], 0
+    for batch in batches:
+        for conv_id, turn, role, text, lost in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "lost")), strict=True):
+            if not held or held[-1].conv_id != conv_id:
+                if chars >= block_chars:
+                    yield held
+                    held, chars = [], 0
+                held.append(_Conversation(conv_id))
+                chars += 100
+            if not lost:
+                chars += held[-1].add(turn, role, text)
+    if held:
+        yield held
 
 
-def repair(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each conversation of rows (conv_id, turn, role, text, lost), with its repaired turns as `repaired`."""
-    turns = "array<struct<role: string, text: string>>"
-    schema = T.StructType([rows.schema["conv_id"], *T.StructType.fromDDL(f"{_RESULT}, repaired {turns}").fields])
-    kinds = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.select("conv_id", "turn", "role", "text", "lost").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def block(held: list[_Conversation], id_type) -> pa.RecordBatch:
-        answers = solve({x for c in held if (x := "".join(c.symbols))} | {""})
-        out = []
-        for c in held:
-            cost, edits = answers["".join(c.symbols)]
-            done = list(repaired(c.rows, edits))
-            digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in done).encode()).hexdigest()
-            out.append((c.conv_id, c.gaps(), *c.faults.values(), c.illegal, cost, edits, digest, [{"role": r, "text": t} for r, t in done]))
-        types = [id_type, *[pa.int64()] * 6, pa.string(), pa.string(), kinds]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    arrow = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+
+def _with_conv_id(rows: DataFrame, fields: str) -> T.StructType:
+    return T.StructType([T.StructField("conv_id", rows.schema["conv_id"].dataType), *T.StructType.fromDDL(fields).fields])
+
+
+def _line(first: bool, role: str, text: str) -> bytes:
+    return f"{'' if first else chr(10)}{role}:{text}".encode("utf-8", "surrogatepass")
+
+
+def _repair_short(rows: DataFrame, block_chars: int) -> DataFrame:
+    schema = _with_conv_id(rows, _RESULT)
 
     def run(batches):
-        held, chars, id_type = [], 0, None
+        for held in _grouped(batches, block_chars):
+            answers, out = solve({"".join(c.symbols) for c in held}), []
+            for c in held:
+                cost, edits = answers["".join(c.symbols)]
+                digest = hashlib.sha256(b"".join(_line(not k, *row) for k, row in enumerate(repaired(c.rows, edits)))).hexdigest()
+                out.append((c.conv_id, c.gaps(), *c.faults.values(), c.illegal, cost, edits, digest))
+            yield _batch(out, schema)
+
+    return _sorted(rows).mapInArrow(run, schema)
+
+
+def repaired_turns(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """conv_id, place, role, text: the conversations of rows (conv_id, turn, role, text, lost) after their edits."""
+    schema = _with_conv_id(rows, _TURNS)
+
+    def run(batches):
+        for held in _grouped(batches, block_chars):
+            answers = solve({"".join(c.symbols) for c in held})
+            out = [(c.conv_id, k, role, text) for c in held for k, (role, text) in enumerate(repaired(c.rows, answers["".join(c.symbols)][1]))]
+            if out:
+                yield _batch(out, schema)
+
+    return _sorted(rows).mapInArrow(run, schema)
+
+
+def _repair_long(rows: DataFrame) -> DataFrame:
+    """The same for conversations that are not to be held: their rows stream by twice, and a task keeps some bytes a row.
+
+    Which texts were seen before is found by grouping; the first pass keeps the symbols and the layers, which are shared
+    objects, the second has the edits come before the rows and hashes what they leave."""
+    key = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("conv_id", "role", "text")]
+    kept = rows.where("NOT lost")
+    earliest = kept.groupBy("conv_id", "role", "text").agg(F.min(F.coalesce("turn", F.lit(-(1 << 63)))).alias("_first"))
+    earliest = earliest.select("_first", *(F.col(c).alias(f"_{c}") for c in ("conv_id", "role", "text")))
+    seen = F.coalesce(F.col("turn"), F.lit(-(1 << 63))) > F.col("_first")
+    marked = rows.join(earliest, key[0] & key[1] & key[2], "left").select("conv_id", "turn", "role", "text", "lost", F.coalesce(seen, F.lit(False)).alias("seen"))
+    schema = _with_conv_id(rows, _RESULT.removesuffix(", repaired_sha256 string"))
+
+    def answers(batches):
+        c, before, last_turn, spans = None, None, None, None
+
+        def answer():
+            path = [_ROOT]
+            for symbol in c.symbols:
+                path.append(_layer(*path[-1][:2], symbol))
+            cost, edits = _answer(path)
+            gaps = spans[1] - spans[0] + 1 - spans[2] if spans else 0
+            return _batch([(c.conv_id, gaps, *c.faults.values(), c.illegal, cost, edits)], schema)
+
+        for batch in batches:
+            for conv_id, turn, role, text, lost, seen in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "turn", "role", "text", "lost", "seen")), strict=True):
+                if c is None or c.conv_id != conv_id:
+                    if c is not None:
+                        yield answer()
+                    c, before, spans = _Conversation(conv_id), None, None
+                    c.symbols = _Symbols()
+                if lost:
+                    continue
+                c.note(role, text, seen or before == (turn, role, text))
+                if turn is not None:
+                    spans = (turn, turn, 1) if spans is None else (spans[0], turn, spans[2] + (turn != spans[1]))
+                before = turn, role, text
+        if c is not None:
+            yield answer()
+
+    found = materialize(marked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(answers, schema), "long-conversations")
+    digests = _with_conv_id(rows, "repaired_sha256 string")
+    lead = found.select("conv_id", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.col("audit").alias("text"))
+    both = lead.unionByName(kept.select("conv_id", F.lit(1).alias("kind"), "turn", "role", "text"))
+
+    def hashes(batches):
+        conv_id, edits, at, state, digest, first = None, None, 0, START, None, True
+
+        def write(role: str, text: str):
+            nonlocal first
+            digest.update(_line(first, role, text))
+            first = False
+
+        def inserts():
+            nonlocal at, state
+            while at < len(edits) and edits[at] == "I":
+                state = _NEXT[state]
+                write(_ROLE[state], "")
+                at += 1
+
         for batch in batches:
-            id_type = batch.schema.field("conv_id").type
-            for conv_id, turn, role, text, lost in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "lost")), strict=True):
-                if not held or held[-1].conv_id != conv_id:
-                    if chars >= block_chars:
-                        yield block(held, id_type)
-                        held, chars = [], 0
-                    held.append(_Conversation(conv_id))
-                    chars += 100
-                if not lost:
-                    chars += held[-1].add(turn, role, text)
-        if held:
-            yield block(held, id_type)
-
-    dealt = rows.select("conv_id", "turn", "role", "text", "lost").repartition("conv_id")
-    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, schema)
+            for row_id, kind, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "kind", "role", "text")), strict=True):
+                if kind == 0:
+                    if edits is not None:
+                        inserts()
+                        yield _batch([(conv_id, digest.hexdigest())], digests)
+                    conv_id, edits, at, state, digest, first = row_id, text, 0, START, hashlib.sha256(), True
+                    continue
+                inserts()
+                edit, at = edits[at], at + 1
+                if edit != "D":
+                    state = _kept(state, role[:1]) if edit == "K" else _NEXT[state]
+                    write(role if edit == "K" else _ROLE[state], text)
+        if edits is not None:
+            inserts()
+            yield _batch([(conv_id, digest.hexdigest())], digests)
+
+    hashed = both.repartition("conv_id").sortWithinPartitions("conv_id", "kind", "turn", "role", "text").mapInArrow(hashes, digests)
+    hashed = hashed.select(F.col("conv_id").alias("_conv_id"), "repaired_sha256")
+    return found.join(hashed, F.col("conv_id").eqNullSafe(F.col("_conv_id"))).drop("_conv_id")
+
+
+def repair(rows: DataFrame, block_chars: int = BLOCK_CHARS, long_rows: int = LONG_ROWS) -> DataFrame:
+    """One row for each conversation of rows (conv_id, turn, role, text, lost): gaps, counts of faults, cost and edits, and
+    the hash of the repaired turns. Conversations of more rows than long_rows are streamed."""
+    long = materialize(rows.groupBy("conv_id").count().where(F.col("count") > long_rows).select(F.col("conv_id").alias("_long")), "long")
+    n = long.count()
+    if not n:
+        return _repair_short(rows, block_chars)
+    ids = F.broadcast(long) if n <= MOST_BROADCAST else long  # others are joined
+    same = F.col("conv_id").eqNullSafe(F.col("_long"))
+    return _repair_short(rows.join(ids, same, "left_anti"), block_chars).unionByName(_repair_long(rows.join(ids, same, "left_semi")))
 
 
 def repair_damaged(conversations: DataFrame) -> DataFrame:
-    return repair(damaged(conversations)).drop("repaired")
+    return repair(damaged(conversations))

@@ -113,5 +113,25 @@ def test_small_blocks_ids_and_empty(spark):
     rows = [(f"c{k % 7}", k, ("user", "assistant", "system")[k % 3], f"t{k % 5}.", 1) for k in range(60)]
     table = conversations.damaged(spark.createDataFrame(rows, schema))
     a, b = (sorted(map(tuple, conversations.repair(table, n).collect())) for n in (1, 1 << 20))
-    assert a == b and all(re.fullmatch("(s?(ua)+)?", "".join(t["role"][0] for t in r[-1])) for r in a)
+    assert a == b
+    turns = conversations.repaired_turns(table).orderBy("conv_id", "place").collect()
+    for conv_id, *_, digest in a:
+        own = [t for t in turns if t["conv_id"] == conv_id]
+        assert re.fullmatch("(s?(ua)+)?", "".join(t["role"][0] for t in own)) and [t["place"] for t in own] == list(range(len(own)))
+        assert hashlib.sha256("\n".join(f"{t['role']}:{t['text']}" for t in own).encode()).hexdigest() == digest
     assert conversations.repair_damaged(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_conversations(spark):
+    """Streamed conversations get what held ones get, whatever their length."""
+    rows = table()
+    damaged = conversations.damaged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cost string").repartition(3))
+    key = lambda r: tuple(str(x) for x in r)
+    held = sorted(map(key, conversations.repair(damaged).collect()))
+    for most in (0, 1, 5):
+        assert sorted(map(key, conversations.repair(damaged, long_rows=most).collect())) == held
+    hot = spark.range(60_000).selectExpr("CAST(NULL AS BIGINT) AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('Text ', id, '.') AS text", "false AS lost")
+    (one,) = conversations.repair(hot).collect()
+    assert one["conv_id"] is None and one["cost"] == 0 and one["audit"] == "K" * 60_000
+    lines = "\n".join(f"{('user', 'assistant')[k % 2]}:Text {k}." for k in range(60_000))
+    assert one["repaired_sha256"] == hashlib.sha256(lines.encode()).hexdigest()
