@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numbers as num
-from ..operators import blocks, construct, convert, partitioned, products, reduce, structure
+from ..operators import blocks, construct, convert, packed, partitioned, products, reduce, structure
 from ..solvers import graphs, integrate, linalg, multigrid, quantum
 from ..sources import matrix_market as matrix_market_files
 from ..sources.matrix_market import mmread, mmwrite
@@ -412,6 +412,12 @@ def repeated_products(spark, d):
         return convert.materialize(x.df, "walks")
 
 
+@register(SPMV)
+def spmv_packed(spark, d):
+    a = packed.PackedBlocks(part_supplier(spark, d), 1 << 10)
+    return a.spmv(supplier_weights(spark, d)).df
+
+
 @register(SPMV)
 def spmv_csc(spark, d):
     return (part_supplier(spark, d).tocsc() @ supplier_weights(spark, d)).df
@@ -632,7 +638,7 @@ def reflected_balances(spark: SparkSession, d: str) -> SparseMatrix:
 def eigsh(spark, d):
     """The basis holds a tenth of the space or less, so the iteration has to restart."""
     a = reflected_balances(spark, d)
-    values = linalg.eigsh(a, 3, ncv=min(a.shape[0] - 1, 20), which="LA", return_eigenvectors=False, tol=1e-8)
+    values = linalg.eigsh(a, 3, ncv=min(a.shape[0] - 1, 20), which="LA", return_eigenvectors=False, tol=1e-6)
     return spark.createDataFrame([(k, round(float(x), 4)) for k, x in enumerate(values)], "rank long, eigenvalue double")
 
 

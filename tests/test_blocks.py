@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.operators import blocks, construct
+from latticework.operators import blocks, construct, packed
 from latticework.plans.matrix import SparseMatrix
 from latticework.solvers import linalg
 
-from .test_matrix import dense, sample, sparse
+from .test_matrix import dense, sample, sparse, values
 
 
 def cells(x) -> np.ndarray:
@@ -149,3 +149,23 @@ def test_products_with_dense_rows(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert np.array_equal(dense(construct.make_empty(spark, (3, 2)) @ construct.dense_matrix(spark, np.ones((2, 4)))), np.zeros((3, 4)))
+
+
+def test_packed_blocks(spark):
+    a, x = sample(50, 33), np.arange(33.0) - 9
+    a[20:31] = 0
+    for side, piece in ((8, 1000), (16, 3), (64, 1000)):
+        p = packed.PackedBlocks(sparse(spark, a), side, piece)
+        assert p.df.agg(F.max(F.octet_length("rows"))).first()[0] <= 4 * max(piece, side * side)
+        got = p.spmv(construct.vector(spark, x))
+        assert np.allclose(values(got), a @ x)
+        again = p.apply(p.stretches(construct.vector(spark, x)))
+        assert np.allclose(values(p.vector(again, 50)), a @ x)
+    square = sample(20, 20)
+    p = packed.PackedBlocks(sparse(spark, square), 7)
+    y = p.stretches(construct.vector(spark, np.ones(20)))
+    for _ in range(3):
+        y = p.apply(y)
+    assert np.allclose(values(p.vector(y, 20)), np.linalg.matrix_power(square, 3) @ np.ones(20))
+    with pytest.raises(ValueError):
+        packed.PackedBlocks(sparse(spark, a).scale(1j))

@@ -11,7 +11,7 @@ import __spark_entry__
 from latticework.plans import catalogue
 
 D = "/root/testdata/sf0.001"
-SAMPLE = ["coo_from_table", "coo_to_csr_indptr", "csr_to_dense", "kron", "diagonal_k", "ufunc_log1p", "add", "multiply", "spmv", "matvec_2d", "spgemm_csr", "sddmm", "cdist", "tropical_spmv", "independent_sets", "hamiltonian"]
+SAMPLE = ["coo_from_table", "coo_to_csr_indptr", "csr_to_dense", "kron", "diagonal_k", "ufunc_log1p", "add", "multiply", "spmv", "matvec_2d", "spgemm_csr", "sddmm", "cdist", "tropical_spmv", "independent_sets", "independent_sets_wide", "hamiltonian_wide", "balance", "spgemm_grid", "repeated_products", "random_bounds", "csr_indices", "matrix_market_source", "add_dense", "cg_many", "lsqr", "eigsh"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
