@@ -37,7 +37,7 @@ from .shingles import WordHasher, released, window_hashes
 LENGTH = 13
 SHORTEST = 8
 #: Words that a task takes together, and entries that a bucket is planned for.
-BLOCK_WORDS, BUCKET_ENTRIES = 600_000, 500_000
+BLOCK_WORDS, BUCKET_ENTRIES = 400_000, 250_000
 LAST = (1 << 63) - 1
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
