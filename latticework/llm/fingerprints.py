@@ -131,6 +131,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fingerprint", packed(bins_of(F.coalesce(F.col("text").cast("string"), F.lit("")))))
 
 
+def same_rows(left: DataFrame, right: DataFrame, of_left: tuple[str, str], of_right: tuple[str, str]) -> DataFrame:
+    """Pairs of rows with the same id (null as null) and the same hash, by their names on either side."""
+    (id_left, h_left), (id_right, h_right) = of_left, of_right
+    return left.join(right, F.col(id_left).eqNullSafe(F.col(id_right)) & (F.col(h_left) == F.col(h_right)))
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Each document with the fingerprints of its text and of its edited text, and their likeness.
 
@@ -146,25 +152,24 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     following = placed.select(F.col("doc_id").alias("_next"), F.col("_h").alias("_next_h"), F.pmod(F.col("position") - 1, F.lit(max(n, 1))).alias("position"))
     links = materialize(placed.join(following, "position").drop("position"), "links")
 
-    keyed = rows.select(F.xxhash64("doc_id", "_h").alias("_key"), "text")  # the same two columns for both joins, so that their exchange is shared
-    own = links.withColumn("_key", F.xxhash64("doc_id", "_h"))
-    needed = links.select(F.xxhash64("_next", "_next_h").alias("_key"), F.col("doc_id").alias("_for"), F.col("_h").alias("_for_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("_n"))
-    heads = keyed.join(needed.hint("shuffle_hash"), "_key").select("_for", "_for_h", F.substring("text", F.lit(1), F.col("_n")).alias("_head"))
+    # The same columns for both joins, so that their exchange is shared.
+    keyed = rows.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_id_h"), "text")
+    needed = links.select("_next", "_next_h", F.col("doc_id").alias("_for"), F.col("_h").alias("_for_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("_n"))
+    heads = same_rows(keyed, needed.hint("shuffle_hash"), ("_id", "_id_h"), ("_next", "_next_h")).select("_for", "_for_h", F.substring("text", F.lit(1), F.col("_n")).alias("_head"))
     if all_rows > n:
         heads = heads.dropDuplicates(["_for", "_for_h"])
-    heads = heads.select(F.xxhash64("_for", "_for_h").alias("_key"), "_head")
     cut = F.floor(F.length("text") / 3).cast("int")
-    joined = keyed.join(own.hint("shuffle_hash"), "_key").join(heads, "_key")
+    joined = same_rows(same_rows(keyed, links.hint("shuffle_hash"), ("_id", "_id_h"), ("doc_id", "_h")), heads, ("_id", "_id_h"), ("_for", "_for_h"))
     edited = joined.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.col("_head")))
     prints = edited.select("doc_id", "_h", "n_chars", "_next", "_next_h", F.sha2("_edited", 256).alias("edited_sha256"), bins_of(F.col("text")).alias("_bins"), bins_of(F.col("_edited")).alias("_edited_bins"))
     prints = materialize(
         prints.select("doc_id", "_h", "n_chars", "_next", "_next_h", "edited_sha256", packed(F.col("_bins")).alias("fingerprint"), packed(F.col("_edited_bins")).alias("edited_fingerprint"), likeness(F.col("_bins"), F.col("_edited_bins")).alias("near_edited")),
         "fingerprints",
     )
-    others = prints.select(F.xxhash64("doc_id", "_h").alias("_key"), F.col("fingerprint").alias("_next_print"))
+    others = prints.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_id_h"), F.col("fingerprint").alias("_next_print"))
     if all_rows > n:
-        others = others.groupBy("_key").agg(F.max("_next_print").alias("_next_print"))
-    pairs = prints.withColumn("_key", F.xxhash64("_next", "_next_h")).join(others, "_key")
+        others = others.groupBy("_id", "_id_h").agg(F.max("_next_print").alias("_next_print"))
+    pairs = same_rows(prints, others, ("_next", "_next_h"), ("_id", "_id_h"))
     near = likeness(unpacked(F.col("fingerprint")), unpacked(F.col("_next_print")))
     return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near.alias("near_next"))
 
