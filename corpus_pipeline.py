@@ -5,6 +5,8 @@ Jaccard join keeps one document of each group of near duplicates (five words, si
 passages of 13 words or more out of all documents but the first that has them, and drops documents of which nothing is
 left; mixing repeats, keeps, cuts or leaves out documents so that each source comes to its share; packing lays what is
 left into sequences of 4,096 tokens.
+
+A stage's result is written by whoever called it, so stages that end in Python set the size of its batches for the session.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from latticework.llm import jaccard, langid, mixing, packing, substrings
 from latticework.llm.common import documents, materialize
 from latticework.llm.queries import tokenizer_path
+from latticework.plans.scratch import SMALL_BATCHES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,7 +27,13 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    for key, value in SMALL_BATCHES.items():
+        spark.conf.set(key, value)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     return langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
@@ -34,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     cleaned = substrings.dedup_substrings(docs.select(*COLUMNS))
     return _columns(cleaned.where("n_removed < n_words OR n_words = 0"))
 

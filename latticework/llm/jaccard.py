@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .buckets import Entries, apart, folded, overlap_needed, signature
 from .common import Scratch, materialize, parts_for
 from .components import connected
-from .shingles import WordHasher, _mixed, released, shingle_set
+from .shingles import WordHasher, _mixed, frugal, shingle_set
 
 SHINGLE = 5
 PERCENT = 80
@@ -135,7 +135,7 @@ def summaries(docs: DataFrame, length: int) -> DataFrame:
                     sigs.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names)
 
-    return _texts(docs, "doc_id").mapInArrow(run, schema)
+    return _texts(docs, "doc_id").mapInArrow(frugal(run), schema)
 
 
 def frequent_tokens(docs: DataFrame, length: int) -> FrequentClass:
@@ -162,9 +162,8 @@ def frequent_tokens(docs: DataFrame, length: int) -> FrequentClass:
                     n = 0
         if held:
             yield counted()
-        released()
 
-    counts = _texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
+    counts = _texts(docs).mapInArrow(frugal(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
     largest = counts.orderBy(F.desc("n"), "token").limit(LARGEST_CLASS).toPandas()
     return FrequentClass(largest["token"].to_numpy(np.int64).view(np.uint64), largest["n"].to_numpy(np.int64))
 
@@ -213,8 +212,6 @@ def _index(docs: DataFrame, frequent: FrequentClass, length: int, percent: int,
                     held, n = ([], [], {}), 0
         if n:
             yield block(*held)
-        del held, seen, hasher
-        released()
 
     def shared_keys(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -232,7 +229,7 @@ def _index(docs: DataFrame, frequent: FrequentClass, length: int, percent: int,
         often = pa.array([lists[x] for x in sids.tolist()] if paired else [None] * len(sids), pa.binary())
         return pa.table({"key": keys.view(np.int64), "sid": sids, "pos": pos.astype(np.int32), "often": often, "salted": pa.array(np.full(len(keys), salted))})
 
-    rows = _texts(docs).mapInArrow(run, "part long, keys binary, sids binary, pos binary, names array<long>, lists array<binary>")
+    rows = _texts(docs).mapInArrow(frugal(run), "part long, keys binary, sids binary, pos binary, names array<long>, lists array<binary>")
     return rows.groupBy("part").applyInArrow(shared_keys, "key long, sid long, pos int, often binary, salted boolean")
 
 
@@ -281,10 +278,9 @@ def likely_pairs(cells: DataFrame, percent: int, kind: type[Entries] = Entries)
                 limit = max(HELD_ROWS, 2 * rows)  # a cell that fills the hold is not gone through again for each batch
         if rows:
             yield from settled(True)
-        released()
 
     dealt = cells.select(*names, "often", "sig").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(frugal(run), "a long, b long")
 
 
 def _neighbours(sets: DataFrame, percent: int, reach: int, kind: type[Entries] = Entries) -> DataFrame:
@@ -308,7 +304,7 @@ def _neighbours(sets: DataFrame, percent: int, reach: int, kind: type[Entries] =
     turns = F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.col("minima")[k].alias("first"), F.col("minima")[(k + 1) % 4].alias("then")) for k in range(4))))
     rows = sets.select("sid", "size", "root", "sig", turns.alias("_t")).select("_t.*", "sid", "size", "root", "sig")
     order = ["turn", "first", "then", "sid"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(frugal(run), "a long, b long")
 
 
 def _narrow(sets: DataFrame) -> DataFrame:
@@ -320,7 +316,7 @@ def _narrow(sets: DataFrame) -> DataFrame:
             narrow = [folded(np.frombuffer(x, np.uint8)).tobytes() for x in batch.column("sig").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(narrow, pa.binary())], names=schema.names)
 
-    return sets.mapInArrow(run, schema)
+    return sets.mapInArrow(frugal(run), schema)
 
 
 class Judge:
@@ -345,7 +341,7 @@ class Judge:
                 rows = zip(*(batch.column(c).to_pylist() for c in ("_sig_a", "_sig_b", "_size_a", "_size_b")), strict=True)
                 yield batch.select(["a", "b"]).filter(pa.array([(m + n - apart(x, y)) // 2 >= overlap_needed(m, n, percent) for x, y, m, n in rows], pa.bool_()))
 
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "_sig_a", "_sig_b", "_size_a", "_size_b").mapInArrow(run, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "_sig_a", "_sig_b", "_size_a", "_size_b").mapInArrow(frugal(run), "a long, b long")
 
     def _texts_of(self, pairs: DataFrame, name: str) -> DataFrame:
         """sid, text of one document for each set in the pairs. The ids of those documents are broadcast if they are few."""
@@ -379,7 +375,7 @@ class Judge:
                     keep.append(100 * both >= percent * (len(s) + len(t) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(frugal(run), "a long, b long")
 
 
 def _with_sid(docs: DataFrame, length: int) -> DataFrame:
@@ -391,7 +387,7 @@ def _with_sid(docs: DataFrame, length: int) -> DataFrame:
             sids = [_sid(shingle_set(w, length)) for w in hasher.texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_sid"), pa.array(sids, pa.int64()), batch.column("text")], names=["_sid", "sid", "text"])
 
-    return _texts(docs, "_sid").mapInArrow(run, "_sid long, sid long, text binary")
+    return _texts(docs, "_sid").mapInArrow(frugal(run), "_sid long, sid long, text binary")
 
 
 def _stars(roots: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out
+from .shingles import frugal
 
 #: The bound of the sample that the references are taken from: hash buckets of documents for each language, characters
 #: taken of a document, characters of a language's reference, characters of all references (or LEAST_CHARS for each).
@@ -232,4 +233,4 @@ def identify(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFram
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], names=schema.names)
 
-    return docs.select(*(f.name for f in kept)).mapInArrow(predict, schema)
+    return docs.select(*(f.name for f in kept)).mapInArrow(frugal(predict), schema)

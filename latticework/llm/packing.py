@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialize, parts_for
+from .shingles import frugal
 from .tokens import WordEncoder
 
 CAPACITY = 4096
@@ -129,7 +130,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             piece, start, length, crc = np.asarray(out, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc))], names=schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(encode), schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

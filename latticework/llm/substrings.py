@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ..plans.ordering import numbered
 from .common import materialize, parts_for
-from .shingles import WordHasher, released, window_hashes
+from .shingles import WordHasher, frugal, released, window_hashes
 
 LENGTH = 13
 SHORTEST = 8
@@ -173,10 +173,8 @@ def _entries(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                     held, words_held, block_id = {"windows": [], "orders": [], "rows": []}, 0, block_id + 1
         if held["rows"]:
             yield block(held, block_id)
-        del held
-        released()
 
-    return docs.mapInArrow(run, _ENTRIES)
+    return docs.mapInArrow(frugal(run), _ENTRIES)
 
 
 def _answers(entries: DataFrame, last: bool) -> DataFrame:
@@ -305,4 +303,4 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Tr
                 digests.append(hashlib.sha256(b" ".join(words_kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(frugal(run), schema)
