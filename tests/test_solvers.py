@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import construct
+from latticework.plans import catalogue
 from latticework.plans.matrix import Vector
 from latticework.plans.scratch import scratch_dir
 from latticework.solvers import graphs, integrate, linalg, multigrid, quantum
@@ -210,3 +211,14 @@ def test_solvers_leave_few_tables(spark):
     two, four = (left(lambda n=n: steps(n)) for n in (2, 4))
     assert four - two == 2  # one table a step, which the solution reads
     assert left(lambda: graphs.maximal_independent_set(a)) == 1 and left(lambda: graphs.colouring(a).count()) <= 1 + 6
+
+
+def test_reflected_balances_is_no_table(spark):
+    """The operator keeps no cell for each two suppliers, and does what the matrix does."""
+    op = catalogue.reflected_balances(spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").orderBy("s_suppkey").collect()
+    d, u = np.array([r["s_acctbal"] for r in rows]), np.array([r["s_suppkey"] % 5 + 1.0 for r in rows])
+    mirror = np.eye(len(d)) - 2 * np.outer(u, u) / (u @ u)
+    x = np.arange(len(d)) + 1.0
+    got = op.matvec(construct.vector(spark, x).df)
+    assert np.allclose(values(Vector(got, len(d))), mirror @ np.diag(d) @ mirror @ x)
