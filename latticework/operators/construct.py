@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,10 @@ def kron(a: SparseMatrix, b: SparseMatrix, format: str | None = None) -> SparseM
 
 #: Rounds of the permutation of cells, and the most steps of a walk along its cycles.
 ROUNDS, LONGEST_WALK = 7, 64
+#: Shifts and factors of the mixing function of a round (the finaliser of splitmix64).
+MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
+#: Cells that a task draws.
+DRAWN = 1 << 22
 
 
 def permuted(number: Column, size: int, seed: int) -> Column:
@@ -130,20 +135,40 @@ def permuted(number: Column, size: int, seed: int) -> Column:
 
     A Feistel network permutes pairs of numbers below the square root of size, rounded up; a value that lies beyond size
     is permuted again, until one does not: this walk stays on its cycle, so that no image is met twice. A cycle holds at
-    most side * side - size values beyond, which bounds the walk of small sizes; of large ones hardly any lies beyond."""
+    most side * side - size values beyond, which bounds the walk of small sizes; of large ones hardly any lies beyond.
+    Numbers come in batches, each round being a few operations on all of them."""
     side = math.isqrt(max(0, size - 1)) + 1
-    half = F.lit(side).cast("long")
-
-    def network(x: Column) -> Column:
-        def turn(s: Column, k: Column) -> Column:
-            return F.struct(s["r"].alias("l"), ((s["l"] + F.pmod(F.xxhash64(s["r"], k, F.lit(seed)), half)) % half).alias("r"))
-
-        start = F.struct(F.floor(x / half).cast("long").alias("l") if size < 1 << 52 else F.call_function("div", x, half).alias("l"), (x % half).alias("r"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["l"] * half + s["r"])
-
-    walk = F.sequence(F.lit(1), F.lit(max(1, min(LONGEST_WALK, side * side - size))))
-    end = F.aggregate(walk, network(number), lambda x, _: F.when(x < size, x).otherwise(network(x)))
-    return F.when(end < size, end).otherwise(F.raise_error(F.lit("a walk of the permutation is too long")).cast("long"))
+    keys = np.random.SeedSequence([seed & (1 << 64) - 1, size]).generate_state(ROUNDS, np.uint64)
+    walk = max(1, min(LONGEST_WALK, side * side - size))
+
+    def network(x: np.ndarray) -> np.ndarray:
+        half = np.uint64(side)
+        l, r = np.divmod(x, half)  # noqa: E741
+        for key in keys:
+            h = r + key
+            for shift, factor in MIX:
+                h ^= h >> shift
+                h *= factor
+            h ^= h >> np.uint64(31)
+            h %= half
+            h += l
+            h -= half * (h >= half)
+            l, r = r, h  # noqa: E741
+        return l * half + r
+
+    def images(numbers: pd.Series) -> pd.Series:
+        out = network(numbers.to_numpy().astype(np.uint64))
+        for _ in range(walk):
+            beyond = np.flatnonzero(out >= np.uint64(size))
+            if not len(beyond):
+                break
+            out[beyond] = network(out[beyond])
+        if len(out) and out.max() >= size:
+            raise ValueError("a walk of the permutation is too long")
+        return pd.Series(out.astype(np.int64))
+
+    images.__annotations__ = {"numbers": pd.Series, "return": pd.Series}  # as types, which pandas_udf looks for
+    return F.pandas_udf(images, "long")(number)
 
 
 def random(spark: SparkSession, m: int, n: int, density: float = 0.01, format: str = "coo", dtype: str = "float64", seed: int = 0, data_rvs: Callable[[Column], Column] | None = None) -> SparseMatrix:
@@ -158,7 +183,9 @@ def random(spark: SparkSession, m: int, n: int, density: float = 0.01, format: s
     uniform = F.shiftrightunsigned(F.xxhash64("c", F.lit(seed)), 11) / F.lit(float(1 << 53))  # of the cell, however rows are dealt
     value = uniform if data_rvs is None else data_rvs(uniform)
     row = F.floor(F.col("c") / n).cast("long") if cells < 1 << 52 else F.expr(f"c div {n}")
-    rows = spark.range(round(density * cells)).select(permuted(F.col("id"), max(1, cells), seed).alias("c"))
+    drawn = round(density * cells)
+    parts = max(spark.sparkContext.defaultParallelism, -(-drawn // DRAWN))
+    rows = spark.range(0, drawn, 1, parts).select(permuted(F.col("id"), max(1, cells), seed).alias("c"))
     return SparseMatrix(rows.select(row.alias("i"), (F.col("c") % max(1, n)).alias("j"), value.cast(num.spark_type(dtype)).alias("v")), (m, n), dtype, format)
 
 

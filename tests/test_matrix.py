@@ -225,3 +225,13 @@ def test_parts_of_a_matrix(spark):
     assert np.array_equal(got, a[:, ::-1])
     with pytest.raises(ValueError):
         m.todia().indices  # noqa: B018
+
+
+def test_distinct_cells(spark, monkeypatch):
+    """Cells are counted once, wherever they lie, from runs that are sorted and packed."""
+    monkeypatch.setattr(reduce, "SORTED", 7)
+    i, j = np.arange(60) * 7919 % 50, np.arange(60) % 5 * 199_999_999_999
+    rows = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in [*zip(i, j, strict=True)] * 2], "i long, j long, v double")
+    a = SparseMatrix(rows, (50, 10**12))
+    assert reduce.distinct_cells(a, 120).first()[0] == len(set(zip(i.tolist(), j.tolist(), strict=True)))
+    assert reduce.distinct_cells(construct.make_empty(spark, (3, 4)), 0).first()[0] == 0
